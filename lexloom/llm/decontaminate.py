@@ -24,7 +24,10 @@ full; documents may repeat, each row has its own result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -139,6 +142,35 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> list[DataFrame]:
+    """The items (item, text) in blocks of bounded size."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(1, -(-chars // (4 * block_words)))
+    return [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b) if n > 1 else items for b in range(n)]
+
+
+def _hits(matcher):
+    @F.pandas_udf("boolean")
+    def hit(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for t in texts:
+            yield pd.Series([bool(spans) for _, spans, _ in matcher.value.search(t.tolist())], dtype=bool)
+
+    return hit
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id",
+                      item_text_col: str = "text", block_words: int = 2_000_000) -> DataFrame:
+    """The rows of ``docs`` in which no window of the benchmark occurs, columns unchanged."""
+    spark = docs.sparkSession
+    prepare(spark)
+    for block in item_blocks(benchmark, item_col, item_text_col, block_words):
+        matcher = spark.sparkContext.broadcast(Matcher([(r["item"], r["text"]) for r in block.collect()], window))
+
+        docs = docs.where(~_hits(matcher)(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return docs
+
+
 SPANS = "array<struct<start:long,end:long>>"
 
 
@@ -149,19 +181,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     ``spans`` are the hit words as merged [start, end) word positions, ``items``
     the distinct items with occurring windows.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    bench = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
-    chars = bench.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-chars // (4 * block_words)))
+    prepare(docs.sparkSession)
+    blocks = item_blocks(benchmark, item_col, item_text_col, block_words)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    if blocks == 1:
-        return _scan(src, bench.collect(), window).drop("row")
+    if len(blocks) == 1:
+        return _scan(src, blocks[0].collect(), window).drop("row")
     src = src.select(F.monotonically_increasing_id().alias("row"), "id", "text")
-    block = F.pmod(F.xxhash64("item"), F.lit(blocks))
     found = None
-    for b in range(blocks):
-        part = _scan(src, bench.where(block == b).collect(), window)
+    for block in blocks:
+        part = _scan(src, block.collect(), window)
         found = part if found is None else found.unionByName(part)
     merged = found.groupBy("row").agg(
         F.first("id").alias("id"), F.first("n_words").alias("n_words"),

@@ -21,6 +21,23 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .paragraph_dedup import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "line", "start", "length", "words", "whole", "cluster", "cluster_size", F.col("keep_id").alias("keep_doc_id"), "removed")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, fold, scored, threshold
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    return scored(docs, model, "score").select(
+        "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        threshold(model, F.col("lang")).alias("threshold"), (F.col("score") >= threshold(model, F.col("lang"))).alias("rejected"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import place, tokenize_pieces
 
@@ -41,6 +58,27 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import format_windows, read_loss, read_turns
+
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    windows = format_windows(turns)
+    own = F.filter(read_turns(F.col("text")), lambda t, i: i >= F.col("repeated"))
+    read = windows.select(
+        "conv_id", "first_turn", F.length("text").cast("long").alias("chars"), F.size(own).cast("long").alias("n"),
+        F.array_join(F.transform(own, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("turns"),
+        read_loss(F.col("text"), F.col("loss")).alias("loss"))
+    joined = read.groupBy("conv_id").agg(
+        F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"), F.array_sort(F.collect_list(F.struct("first_turn", "turns", "loss"))).alias("w"))
+    loss = F.array_join(F.col("w.loss"), "")
+    return joined.select(
+        "conv_id", "n_turns", F.sha2(F.array_join(F.col("w.turns"), ""), 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -48,6 +86,13 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_mixing import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_count import count_tokens
 
@@ -75,7 +120,8 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_best_fit_packing, op4_benchmark_decontamination, op6_simhash_near_dedup, op8_token_counts, op9_exact_dedup, op10_url_filters)
+    for f in (op1_substring_dedup, op2_toxicity, op3_best_fit_packing, op4_benchmark_decontamination, op5_chat_formatting,
+              op6_simhash_near_dedup, op7_lm_scoring, op8_token_counts, op9_exact_dedup, op10_url_filters)
 }
 
 SQL = {

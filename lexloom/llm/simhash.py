@@ -64,16 +64,16 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, fp), fp as a signed 64-bit number, written to the shared folder."""
+    """Rows (id, h, fp), fp as a signed 64-bit number, h the text's hash, written to the shared folder."""
     prepare(docs.sparkSession)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         for b in batches:
-            fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["id", "fp"])
+            fps = np.array([fingerprint(t, shingle) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], names=["id", "h", "fp"])
 
-    return materialize(src.mapInArrow(run, "id long, fp long"), "fingerprints")
+    return materialize(src.mapInArrow(run, "id long, h long, fp long"), "fingerprints")
 
 
 def group_bits(bits: np.ndarray, m: int) -> list[list[int]]:
@@ -166,11 +166,12 @@ def near_edges(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
     if all(t == 0 for _, t in parts):
         probes = index.withColumnRenamed("fp", "q")
     else:
-        flips = F.explode(F.concat(*[
-            F.transform(F.array(*[F.lit(_signed(v)) for v in _variants(mask, t)]),
-                        lambda v, i=i, mask=mask: F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).bitwiseXOR(v).alias("key")))
-            for i, (mask, t) in enumerate(parts)
-        ])).alias("e")
+        def probed(i: int, mask: int, t: int):
+            key = F.col("fp").bitwiseAND(F.lit(_signed(mask)))
+            values = F.array(*[F.lit(_signed(v)) for v in _variants(mask, t)])
+            return F.transform(values, lambda v: F.struct(F.lit(i).alias("part"), key.bitwiseXOR(v).alias("key")))
+
+        flips = F.explode(F.concat(*[probed(i, mask, t) for i, (mask, t) in enumerate(parts)])).alias("e")
         probes = distinct.select(F.col("fp").alias("q"), flips).select("q", "e.*")
     on = ["part", "key"]
     members = skew_join(index, sizes, on, "size", n * len(parts))
@@ -198,7 +199,10 @@ def near_edges(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, fp, component): component is the smallest id reachable."""
+    """Rows (id, h, fp, root, component): component is the smallest id reachable.
+
+    ``root`` names the group, also where ids are missing or repeated.
+    """
     marked = fingerprints(docs, shingle, id_col, text_col)
     classes = materialize(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("copies")), "classes")
     roots = connected_components(near_edges(classes.select("fp"), max_bits))
@@ -206,22 +210,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col
         "fp", "least", "copies", F.coalesce("root", "fp").alias("root"))
     rooted = materialize(rooted, "rooted")
     low = rooted.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("size"))
-    named = materialize(skew_join(rooted, low, ["root"], "size", rooted.count()).select("fp", "copies", "component"), "named")
-    return skew_join(marked, named, ["fp"], "copies", marked.count()).select("id", "fp", "component")
+    named = materialize(skew_join(rooted, low, ["root"], "size", rooted.count()).select("fp", "copies", "root", "component"), "named")
+    return skew_join(marked, named, ["fp"], "copies", marked.count()).select("id", "h", "fp", "root", "component")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each group, that of the smallest id, columns unchanged.
 
-    Rows without an id stay. If several rows share the smallest id, one stays.
+    A group without ids keeps any one row, equal rows are folded to one.
     """
-    keep = materialize(
-        near_duplicates(docs, shingle, max_bits, id_col, text_col).where("id = component").groupBy("id").agg(F.count("*").alias("rows")), "keep")
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "h")
+    groups = near_duplicates(docs, shingle, max_bits, id_col, text_col).groupBy("root", "id", "h").agg(F.count("*").alias("rows"))
+    keep = materialize(groups.groupBy("root").agg(F.min_by(F.struct("id", "h", "rows"), first).alias("k")).select("k.*"), "keep")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    keyed = docs.select(row, F.col(id_col).cast("long").alias("k"))
-    stay = keyed.join(keep.where("rows = 1"), F.col("k") == F.col("id"), "left_semi")
-    stay = stay.unionByName(keyed.where("k IS NULL"))
+    keyed = docs.select(row, F.col(id_col).cast("long").alias("k_id"), F.xxhash64(F.col(text_col).cast("string")).alias("k_h"))
+    on = [F.col("k_id").eqNullSafe(F.col("id")), F.col("k_h") == F.col("h")]
+    stay = keyed.join(keep.where("rows = 1"), on, "left_semi")
     if not keep.where("rows > 1").isEmpty():
-        again = keyed.join(keep.where("rows > 1"), F.col("k") == F.col("id"), "left_semi")
-        stay = stay.unionByName(again.dropDuplicates(["k"]))
+        again = keyed.join(keep.where("rows > 1"), on, "left_semi")
+        stay = stay.unionByName(again.dropDuplicates(["k_id", "k_h"]))
     return stay.select("row.*")
