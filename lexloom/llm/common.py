@@ -12,6 +12,8 @@ import atexit
 import tempfile
 import uuid
 import weakref
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,11 +22,21 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 256
 
 _roots: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> None:
-    """Session settings the Python-backed operators rely on."""
+    """Session settings the Python-backed operators rely on, and their code for the executors."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        _shipped.add(app)
+        package = Path(__file__).resolve().parent.parent
+        name = Path(tempfile.mkdtemp(prefix="lexloom-code-")) / "lexloom-code.zip"
+        with zipfile.ZipFile(name, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        spark.sparkContext.addPyFile(str(name))
 
 
 def shared_root(spark: SparkSession) -> str:
