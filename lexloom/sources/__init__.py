@@ -1,0 +1 @@
+"""Sources and sinks: saved API listings, the raw store, question sets, reports."""

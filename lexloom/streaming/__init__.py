@@ -1,0 +1 @@
+"""Structured Streaming forms of limits, ingest and event counts."""
