@@ -86,12 +86,12 @@ def both_paths(t, spark):
     c, q = chunk_table(t), questions(t, spark)
     dense = retrieval.dense_topk(c, q, n_queries=len(QUESTIONS))
     n, mean = retrieval.corpus_stats(c)
-    return c, q, dense, retrieval.lexical_topk(retrieval.postings(c), n, mean, q)
+    return c, q, dense, retrieval.lexical_topk(retrieval.postings(c), n, mean, q, n_queries=len(QUESTIONS))
 
 
 @query(f"""{WITH} SELECT id, sim, rank FROM dense WHERE qid = 0""")
 def dense_topk(t, spark):
-    return retrieval.dense_topk(chunk_table(t), questions(t, spark).where("qid = 0")).select("id", "sim", "rank")
+    return retrieval.dense_topk(chunk_table(t), questions(t, spark).where("qid = 0"), n_queries=1).select("id", "sim", "rank")
 
 
 @query(f"{WITH} SELECT qid, id, sim, rank FROM dense")
@@ -108,12 +108,12 @@ def dense_topk_cells(t, spark):
 
 @query(f"{WITH}, {POSTINGS_SQL} SELECT qid, id, count(*) AS hits FROM post JOIN terms USING (term) GROUP BY qid, id HAVING count(*) = any_value(n_terms)")
 def lexical_match(t, spark):
-    return retrieval.lexical_match(retrieval.postings(chunk_table(t)), questions(t, spark))
+    return retrieval.lexical_match(retrieval.postings(chunk_table(t)), questions(t, spark), n_queries=len(QUESTIONS))
 
 
 @query(f"{WITH}, {POSTINGS_SQL} SELECT qid, id, count(*) AS hits FROM post JOIN terms USING (term) GROUP BY qid, id")
 def lexical_match_any(t, spark):
-    return retrieval.lexical_match(retrieval.postings(chunk_table(t)), questions(t, spark), "or")
+    return retrieval.lexical_match(retrieval.postings(chunk_table(t)), questions(t, spark), "or", n_queries=len(QUESTIONS))
 
 
 @query(f"{WITH_LEX} SELECT qid, id, score, rank FROM lexical")

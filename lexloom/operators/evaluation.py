@@ -133,6 +133,6 @@ def basis_path(rows: DataFrame, article: str = "article") -> DataFrame:
 
 def oracle_chunks(keys: DataFrame, chunks: DataFrame, limit: int = 8) -> DataFrame:
     """(nr, id, text) of the exact article of the answer key; rows carry no locator."""
-    hits = chunks.join(F.broadcast(keys.select("nr", "external_id", "article")), "external_id").where(same_unit(F.col("article_no"), F.col("article")))
+    hits = chunks.join(keys.select("nr", "external_id", "article"), "external_id").where(same_unit(F.col("article_no"), F.col("article")))
     hits = hits.withColumn("_n", F.row_number().over(W.partitionBy("nr").orderBy("chunk_index", "id"))).where(F.col("_n") <= limit)
     return hits.select("nr", "id", "text")

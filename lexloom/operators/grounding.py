@@ -56,7 +56,7 @@ def append_amendments(rows: DataFrame, cited: DataFrame, unabsorbed: DataFrame,
     interest = hits.join(asked, "qid", "left").select("qid", "act", F.array_union("own", F.coalesce("asked", F.array().cast("array<string>"))).alias("articles"))
     wanted = interest.join(unabsorbed, "act").groupBy("qid", "amendment").agg(
         F.array_distinct(F.flatten(F.collect_list("articles"))).alias("articles"), F.max("effective_date").alias("amendment_date"))
-    found = chunks.withColumn("amendment", F.lower("external_id")).join(F.broadcast(wanted), "amendment").where(mentions_any(F.col("text"), F.col("articles")))
+    found = chunks.withColumn("amendment", F.lower("external_id")).join(wanted, "amendment").where(mentions_any(F.col("text"), F.col("articles")))
     found = found.join(rows.select("qid", "id"), ["qid", "id"], "left_anti")
     last = rows.groupBy("qid").agg(F.max("pos").alias("last"))
     mark = F.concat(F.lit("[NOWELIZACJA"), F.when(F.col("amendment_date").isNotNull(), F.concat(F.lit(" od "), F.col("amendment_date"))).otherwise(""), F.lit("] "))

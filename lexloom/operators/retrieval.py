@@ -53,12 +53,12 @@ def top_k(df: DataFrame, k: int, key: str, *order: Column, rank: str = "rank") -
     return df.withColumn(rank, F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def small_side(queries: DataFrame, n_queries: int, bytes_per_query: int = 8192) -> DataFrame:
-    """Broadcast hint only for a batch whose size is known to be small."""
-    return F.broadcast(queries) if n_queries * bytes_per_query <= BROADCAST_BYTES else queries
+def small_side(df: DataFrame, n_queries: int | None, bytes_per_query: int = 8192) -> DataFrame:
+    """Broadcast hint only for a batch whose size is known to be small; else the optimizer decides."""
+    return F.broadcast(df) if n_queries is not None and n_queries * bytes_per_query <= BROADCAST_BYTES else df
 
 
-def dense_topk(chunks: DataFrame, queries: DataFrame, k: int = 50, n_queries: int = 1, digits: int = 9, unit_norm: bool = True) -> DataFrame:
+def dense_topk(chunks: DataFrame, queries: DataFrame, k: int = 50, n_queries: int | None = None, digits: int = 9, unit_norm: bool = True) -> DataFrame:
     """Exact search: (qid, id, sim, rank). chunks (id, embedding); queries (qid, query_vector).
 
     Every chunk meets every question of the stated batch once; the ranking keeps
@@ -117,22 +117,22 @@ def query_terms(queries: DataFrame, text_col: str = "question") -> DataFrame:
     return queries.select("qid", F.explode(terms).alias("term"), F.size(terms).alias("n_terms"))
 
 
-def lexical_match(index: DataFrame, queries: DataFrame, mode: str = "and", text_col: str = "question") -> DataFrame:
+def lexical_match(index: DataFrame, queries: DataFrame, mode: str = "and", text_col: str = "question", n_queries: int | None = None) -> DataFrame:
     """(qid, id, hits): chunks with all (or any) terms of the question; vectors are not needed."""
-    hits = index.join(F.broadcast(query_terms(queries, text_col)), "term").groupBy("qid", "id").agg(
+    hits = index.join(small_side(query_terms(queries, text_col), n_queries), "term").groupBy("qid", "id").agg(
         F.count("*").alias("hits"), F.first("n_terms").alias("n_terms"))
     return (hits.where("hits = n_terms") if mode == "and" else hits).drop("n_terms")
 
 
 def lexical_topk(index: DataFrame, chunks_count: int, mean_length: float, queries: DataFrame, k: int = 50, mode: str = "and", digits: int = 9,
-                 text_col: str = "question") -> DataFrame:
+                 text_col: str = "question", n_queries: int | None = None) -> DataFrame:
     """(qid, id, score, rank) by Okapi BM25 over the matching chunks."""
     terms = query_terms(queries, text_col)
-    df = index.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    df = index.join(small_side(terms.select("term").distinct(), n_queries), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(float(chunks_count)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(mean_length))))
     weighted = terms.join(df, "term").select("qid", "term", "n_terms", "df")
-    hits = index.join(F.broadcast(weighted), "term").groupBy("qid", "id").agg(
+    hits = index.join(small_side(weighted, n_queries), "term").groupBy("qid", "id").agg(
         F.round(F.sum(part), digits).alias("score"), F.count("*").alias("hits"), F.first("n_terms").alias("n_terms"))
     hits = hits.where("hits = n_terms") if mode == "and" else hits
     return top_k(hits.select("qid", "id", "score"), k, "qid", F.desc("score"), F.asc("id"))
@@ -170,7 +170,7 @@ def assemble(structural: DataFrame, ranked: DataFrame, k: int) -> DataFrame:
     return top_k(once, k, "qid", F.asc("path"), F.asc("pos"), F.asc("id"))
 
 
-def hybrid(chunks: DataFrame, queries: DataFrame, k: int = 8, per_path: int = 50, n_queries: int = 1, structural: DataFrame | None = None,
+def hybrid(chunks: DataFrame, queries: DataFrame, k: int = 8, per_path: int = 50, n_queries: int | None = None, structural: DataFrame | None = None,
            reranker: Callable | None = None, mode: str = "and", structural_needs_candidates: bool = True) -> tuple[DataFrame, DataFrame]:
     """(rows, signals) for queries (qid, question, query_vector) over chunks (id, text, embedding).
 
@@ -181,10 +181,10 @@ def hybrid(chunks: DataFrame, queries: DataFrame, k: int = 8, per_path: int = 50
     """
     dense = dense_topk(chunks, queries, per_path, n_queries)
     n, mean = corpus_stats(chunks)
-    lexical = lexical_topk(postings(chunks), n, mean, queries, per_path, mode)
+    lexical = lexical_topk(postings(chunks), n, mean, queries, per_path, mode, n_queries=n_queries)
     best = top_k(rrf(dense, lexical), OVERFETCH * k, "qid", F.desc("rrf"), F.asc("id"), rank="rrf_rank")
-    hydrated = chunks.select("id", "text").join(F.broadcast(best), "id")
-    distinct = text_dedup(hydrated).join(F.broadcast(queries.select("qid", "question")), "qid")
+    hydrated = chunks.select("id", "text").join(small_side(best, n_queries), "id")
+    distinct = text_dedup(hydrated).join(queries.select("qid", "question"), "qid")
     scored = rerank(distinct, reranker)
     order = [F.desc("rerank_score"), F.desc("rrf"), F.asc("id")] if reranker else [F.desc("rrf"), F.asc("id")]
     ranked = scored.withColumn("pos", F.row_number().over(W.partitionBy("qid").orderBy(*order)))

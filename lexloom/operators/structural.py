@@ -24,7 +24,8 @@ def resolve_acts(hints: DataFrame, acts: DataFrame) -> DataFrame:
 
     A known abbreviation takes the shortest title that holds its canonical
     name; any other hint the title of greatest trigram similarity, if that is
-    enough. Titles are read once per distinct hint.
+    enough. Titles are compared with every distinct hint: a question names at
+    most ``CITED`` units, so a stated batch bounds what is broadcast.
     """
     h = hints.select("hint").where("hint IS NOT NULL").distinct().withColumn("name", canonical_title(F.col("hint")))
     pairs = acts.select("external_id", "title").join(F.broadcast(h), F.col("name").isNull() | F.contains(F.lower("title"), F.lower("name")))
@@ -41,7 +42,7 @@ def structural_lookup(cited: DataFrame, resolved: DataFrame, chunks: DataFrame,
     compared with case.
     """
     wanted = cited.join(resolved, cited["act_hint"] == resolved["hint"]).select("qid", "n", "external_id", F.col("article").alias("article_no"))
-    hits = chunks.select("id", "external_id", "article_no", "chunk_index").join(F.broadcast(wanted), ["external_id", "article_no"])
+    hits = chunks.select("id", "external_id", "article_no", "chunk_index").join(wanted, ["external_id", "article_no"])
     own = W.partitionBy("qid", "n").orderBy("chunk_index", "id")
     hits = hits.withColumn("r", F.row_number().over(own)).where(F.col("r") <= per_unit)
     return hits.select("qid", "id", F.row_number().over(W.partitionBy("qid").orderBy("n", "r")).alias("pos"))

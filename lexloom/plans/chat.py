@@ -12,7 +12,7 @@ from ..operators import embedding, grounding, retrieval, structural
 
 
 def search(chunks: DataFrame, questions: DataFrame, provider: Callable, dim: int, acts: DataFrame | None = None, k: int = 8, per_path: int = 50,
-           n_queries: int = 1, reranker: Callable | None = None, mode: str = "and") -> tuple[DataFrame, DataFrame]:
+           n_queries: int | None = None, reranker: Callable | None = None, mode: str = "and") -> tuple[DataFrame, DataFrame]:
     """(rows, signals) for questions (qid, question); acts (external_id, title) enable unit lookup."""
     q = embedding.embed_queries(questions, "question", provider, dim)
     units = None
@@ -23,7 +23,7 @@ def search(chunks: DataFrame, questions: DataFrame, provider: Callable, dim: int
 
 
 def answer(chunks: DataFrame, questions: DataFrame, provider: Callable, dim: int, model: Callable, acts: DataFrame | None = None, history: DataFrame | None = None,
-           unabsorbed: DataFrame | None = None, k: int = 8, n_queries: int = 1, threshold: float = 0.55, margin: float = 0.02) -> DataFrame:
+           unabsorbed: DataFrame | None = None, k: int = 8, n_queries: int | None = None, threshold: float = 0.55, margin: float = 0.02) -> DataFrame:
     """One row per question: abstained, sources, answer, check, refused.
 
     With a history (qid, turn, question, answer) every question is also searched
