@@ -303,8 +303,8 @@ def citation_validate(t, spark):
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
-  o AS (SELECT *, coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM l)
-  SELECT doc_id, line, (at + length(raw) - length(ltrim(raw)))::BIGINT AS "offset", length(trim(raw)) AS chars, len(string_split_regex(trim(raw), '\\s+')) AS words
+  o AS (SELECT *, coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l)
+  SELECT doc_id, line, (before + length(raw) - length(ltrim(raw)))::BIGINT AS "offset", length(trim(raw)) AS chars, len(string_split_regex(trim(raw), '\\s+')) AS words
   FROM o WHERE length(trim(raw)) > 0""")
 def chunk_units(t, spark):
     u = chunking.text_units(t("documents"), "doc_id", "text")
@@ -510,17 +510,17 @@ def rate_sliding_greedy(t, spark):
 @query("""WITH r AS (SELECT event_id, ts, ts::DATE AS day, user_id, length(props) AS c, row_number() OVER (PARTITION BY ts::DATE, user_id ORDER BY ts, event_id) <= 3 AS k FROM events),
   n AS (SELECT *, coalesce(sum(k::INT) OVER w, 0) AS n FROM r WINDOW w AS (PARTITION BY day ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
   s AS (SELECT *, coalesce(sum(CASE WHEN k AND n < 120 THEN c ELSE 0 END) OVER w, 0) AS s FROM n WINDOW w AS (PARTITION BY day ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-  SELECT day, event_id, CASE WHEN s >= 2500 THEN 'chars' WHEN n >= 120 THEN 'requests' WHEN NOT k THEN 'user' ELSE 'ok' END AS verdict FROM s""")
+  SELECT strftime(day, '%Y-%m-%d') AS day, event_id, CASE WHEN s >= 2500 THEN 'chars' WHEN n >= 120 THEN 'requests' WHEN NOT k THEN 'user' ELSE 'ok' END AS verdict FROM s""")
 def cost_daily(t, spark):
     e = t("events").withColumn("chars", F.length("props"))
-    return limits.daily_caps(e, 2500, 120, 3)
+    return limits.daily_caps(e, 2500, 120, 3).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
-@query("""WITH p AS (SELECT o_custkey AS c, max(o_orderdate) AS u FROM orders GROUP BY o_custkey), k AS (SELECT c FROM p WHERE u >= TIMESTAMP '1998-06-01' - INTERVAL 183 DAYS)
+@query("""WITH p AS (SELECT o_custkey AS c, max(o_orderdate) AS u FROM orders GROUP BY o_custkey), k AS (SELECT c FROM p WHERE u >= TIMESTAMP '2001-06-01' - INTERVAL 183 DAYS)
   SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c FROM k)""")
 def retention(t, spark):
     parents = t("orders").groupBy("o_custkey").agg(F.max("o_orderdate").cast("timestamp").alias("updated_at"))
-    return conversations.cascade(t("orders"), conversations.retain(parents, "1998-06-01"), "o_custkey").select("o_orderkey")
+    return conversations.cascade(t("orders"), conversations.retain(parents, "2001-06-01"), "o_custkey").select("o_orderkey")
 
 
 BASES = ("(1, 'art. 63(1) k.k.'), (2, 'art. 5 ustawy z dnia 29 lipca 2005 r. o przeciwdziałaniu narkomanii.'), (3, 'Art. 3310 KPC'), (4, ''), (5, 'Traktat, art. 2'), (6, 'art. 7 Konstytucji')")

@@ -120,7 +120,7 @@ def group_accuracy(answers: DataFrame, by: str) -> DataFrame:
 def letter_distribution(answers: DataFrame) -> DataFrame:
     """Per mode and for the key: how often each letter was given."""
     given = answers.select("mode", "letter").unionByName(answers.select(F.lit("key").alias("mode"), F.col("key").alias("letter")))
-    return given.groupBy("mode").pivot("letter", ["A", "B", "C"]).agg(F.count("*")).fillna(0, ["A", "B", "C"])
+    return given.groupBy("mode").pivot("letter", ["A", "B", "C"]).agg(F.count(F.lit(1))).fillna(0, ["A", "B", "C"])
 
 
 def basis_path(rows: DataFrame, article: str = "article") -> DataFrame:

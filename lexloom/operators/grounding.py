@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -112,8 +113,6 @@ def grounded_prompt(questions: DataFrame, rows: DataFrame, history: DataFrame |
 
 def complete(prompts: DataFrame, model: Callable[[list[dict]], str]) -> DataFrame:
     """Adds the model's answer and a token estimate of a quarter of the characters."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def ask(messages: pd.Series) -> pd.Series:
         return pd.Series([model([dict(m) for m in row]) for row in messages])

@@ -63,7 +63,8 @@ def exam_set(spark: SparkSession, path: str) -> DataFrame:
 def pdf_texts(spark: SparkSession, path: str, pages: Callable[[bytes], list[str]]) -> DataFrame:
     """(path, text, error) of PDF files; ``pages`` is the injected page extractor.
 
-    Pages are joined by line breaks; empty files and blank texts are errors.
+    Pages are joined by line breaks; blank texts are errors. Spark's reader does
+    not deliver files of no bytes, so they show as missing paths.
     """
     def run(frames):
         for f in frames:

@@ -169,13 +169,13 @@ def test_daily_caps_match_sequence(spark):
     want, state = {}, {}
     for k, u, c, t in sorted(rows, key=lambda r: (r[3], r[0])):
         s = state.setdefault(t // 86400, {"c": 0, "n": 0, "u": {}})
-        v = "chars" if s["c"] >= 800 else "requests" if s["n"] >= 40 else "user" if s["u"].get(u, 0) >= 12 else "ok"
+        v = "chars" if s["c"] >= 560 else "requests" if s["n"] >= 24 else "user" if s["u"].get(u, 0) >= 5 else "ok"
         if v == "ok":
             s["c"], s["n"] = s["c"] + c, s["n"] + 1
             s["u"][u] = s["u"].get(u, 0) + 1
         want[k] = v
     df = spark.createDataFrame(rows, "event_id int, user_id int, chars int, t long").withColumn("ts", F.timestamp_seconds("t"))
-    assert {r["event_id"]: r["verdict"] for r in limits.daily_caps(df, 800, 40, 12).collect()} == want
+    assert {r["event_id"]: r["verdict"] for r in limits.daily_caps(df, 560, 24, 5).collect()} == want
     assert set(want.values()) >= {"ok", "user"}
 
 

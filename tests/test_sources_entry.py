@@ -62,9 +62,9 @@ def test_stores(spark, tmp_path):
     assert stores.read_raw(spark, str(tmp_path / "raw"), "E").count() == 1
     (tmp_path / "pdf").mkdir()
     (tmp_path / "pdf/a.pdf").write_bytes(b"one\ftwo")
-    (tmp_path / "pdf/b.pdf").write_bytes(b"")
+    (tmp_path / "pdf/b.pdf").write_bytes(b" \n")
     got = {r["path"][-5:]: (r["text"], r["error"]) for r in stores.pdf_texts(spark, str(tmp_path / "pdf"), lambda b: b.decode().split("\f")).collect()}
-    assert got == {"a.pdf": ("one\ntwo", None), "b.pdf": (None, "empty file")}
+    assert got == {"a.pdf": ("one\ntwo", None), "b.pdf": (None, "no text")}
     out = spark.createDataFrame([("S", "1", "Failed", "[x] y"), ("S", "2", "Indexed", None)], "source string, external_id string, status string, failure_reason string")
     stores.write_failures(out, str(tmp_path / "fail"))
     assert spark.read.json(str(tmp_path / "fail")).count() == 1
