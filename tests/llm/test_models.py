@@ -84,7 +84,7 @@ def test_probabilities_sum_to_one():
     bits = 8
     counts = [rng.integers(0, 50, (1 << bits, 2)) for _ in range(2)]
     model = lm_mixing.Model(code, bits, lm_mixing.node_counts(code, np.array([5, 2, 2, 3]), np.ones(257)),
-                            [lm_mixing.stretch_counts(c[:, 0], c[:, 1]) for c in counts], [lm_mixing.known(c.sum(axis=1)) for c in counts])
+                            [lm_mixing.slot_table(c) for c in counts])
 
     def p(symbols):
         inputs, gate, bit = model.features(np.array(symbols))
