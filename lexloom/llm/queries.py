@@ -24,8 +24,8 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .paragraph_dedup import repeated_passages
 
-    return repeated_passages(table(spark, sf_dir, "documents")).select(
-        F.col("id").alias("doc_id"), "line", "start", "length", "words", "whole", "cluster", "cluster_size", F.col("keep_id").alias("keep_doc_id"), "removed")
+    return repeated_passages(table(spark, sf_dir, "documents")).where("passage").select(
+        F.col("id").alias("doc_id"), "line", "start", "length", "words", "run_words", "whole", "cluster", "cluster_size", F.col("keep_id").alias("keep_doc_id"), "removed")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
