@@ -103,7 +103,8 @@ def dense_topk_batch(t, spark):
 def dense_topk_cells(t, spark):
     c = chunk_table(t)
     centres = retrieval.fit_cells(c, 16)
-    return retrieval.dense_topk_cells(c, questions(t, spark), centres, 8)
+    q = t("embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query_vector"))
+    return retrieval.dense_topk_cells(c, q, centres, 8)
 
 
 @query(f"{WITH}, {POSTINGS_SQL} SELECT qid, id, count(*) AS hits FROM post JOIN terms USING (term) GROUP BY qid, id HAVING count(*) = any_value(n_terms)")

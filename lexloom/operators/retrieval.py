@@ -95,14 +95,33 @@ def cell_of(vector: Column, centres: list[list[float]], n: int = 1) -> Column:
 
 
 def dense_topk_cells(chunks: DataFrame, queries: DataFrame, centres: list[list[float]], probes: int = 8, k: int = 50, digits: int = 9) -> DataFrame:
-    """Approximate search: only chunks of each question's nearest cells are compared.
+    """Exact search that compares each question with its nearest cells first.
 
-    With the cell stored as a partition column the join prunes whole partitions.
+    The k-th similarity found in ``probes`` cells is a floor; a further cell is
+    read unless no member can reach it: q.x = q.c + q.(x - c) is at most
+    q.c + |q| times the cell's radius. With the cell stored as a partition
+    column the join prunes whole partitions.
     """
-    placed = chunks.where("embedding IS NOT NULL").select("id", "embedding", F.element_at(cell_of(F.col("embedding"), centres), 1).alias("cell"))
-    wanted = queries.select("qid", "query_vector", F.explode(cell_of(F.col("query_vector"), centres, probes)).alias("cell"))
-    scored = placed.join(wanted, "cell").select("qid", "id", F.round(dot(F.col("embedding"), F.col("query_vector")), digits).alias("sim"))
-    return top_k(scored, k, "qid", F.desc("sim"), F.asc("id"))
+    if not centres:  # no vectors
+        return dense_topk(chunks, queries, k, digits=digits)
+    vectors = chunks.where("embedding IS NOT NULL").select("id", "embedding")
+    placed = vectors.withColumn("cell", F.element_at(cell_of(F.col("embedding"), centres), 1))
+    c = F.element_at(F.array(*[F.array(*map(F.lit, c)) for c in centres]), F.col("cell") + 1)
+    away = F.zip_with("embedding", c, lambda x, y: x.cast("double") - y)
+    radius = {r["cell"]: r["radius"] for r in placed.groupBy("cell").agg(F.sqrt(F.max(dot(away, away))).alias("radius")).collect()}  # a row a cell
+    q = F.col("query_vector")
+
+    def scored(wanted: DataFrame) -> DataFrame:
+        return placed.join(wanted, "cell").select("qid", "id", F.round(dot(F.col("embedding"), q), digits).alias("sim"))
+
+    asked = queries.select("qid", "query_vector", cell_of(q, centres, probes).alias("near"))
+    first = top_k(scored(asked.select("qid", "query_vector", F.explode("near").alias("cell"))), k, "qid", F.desc("sim"), F.asc("id")).drop("rank")
+    floor = first.groupBy("qid").agg(F.min("sim").alias("floor"), F.count("*").alias("n")).where(F.col("n") >= k).select("qid", "floor")
+    reach = F.array(*[F.struct(F.lit(i).alias("cell"), (dot(q, F.array(*map(F.lit, centres[i]))) + F.sqrt(dot(q, q)) * r).alias("most")) for i, r in sorted(radius.items())])
+    more = asked.join(floor, "qid", "left").select("qid", "query_vector", "near", "floor", F.explode(reach).alias("r"))
+    open_ = more.where(~F.array_contains("near", F.col("r.cell")) & (F.col("floor").isNull() | (F.col("r.most") >= F.col("floor") - 1e-6)))
+    found = first.unionByName(scored(open_.select("qid", "query_vector", F.col("r.cell").alias("cell"))))
+    return top_k(found, k, "qid", F.desc("sim"), F.asc("id"))
 
 
 def postings(chunks: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:

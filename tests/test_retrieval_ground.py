@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lexloom import catalog
 from lexloom.operators import conversations, embedding, evaluation, grounding, ingest, limits, retrieval, structural
 from lexloom.plans import chat
 from lexloom.plans import ingest as jobs
@@ -54,6 +55,16 @@ def test_cells_find_most_neighbours(spark):
     assert len(exact & found) >= 0.9 * len(exact)
 
 
+def test_registered_cells_find_all_neighbours(spark):
+    """The setting of the registered query: 50 neighbours, 16 cells, ids divisible by 50."""
+    sf = "/root/testdata/sf0.01"
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"))
+    q = e.where("id % 50 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("query_vector"))
+    exact = {(r["qid"], r["id"], r["rank"]) for r in retrieval.dense_topk(e.join(docs, "id"), q).collect()}
+    assert {(r["qid"], r["id"], r["rank"]) for r in catalog.QUERIES["dense_topk_cells"](spark, sf).collect()} == exact
+
+
 def test_structural_lookup_and_assembly(spark, chunks):
     acts = spark.createDataFrame([("DU/1", "Ustawa - Kodeks karny"), ("DU/2", "Ustawa o podatku od towarów"), ("DU/3", "Kodeks karny skarbowy i inne")], "external_id string, title string")
     q = ask(spark, "art. 148 kk kara zabójstwo", "art. 5 ustawy", "nic")
