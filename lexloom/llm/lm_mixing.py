@@ -14,7 +14,7 @@ A text is its lower-cased words and one end, coded bit by bit:
   refined by an adaptive table over (gate, prediction).
 * Weights and refinement start from values learned on a bounded sample of
   training texts, each predicted without its own counts, and go on learning
-  inside every text: after each block of bits, only from bits already coded.
+  inside every text: after each ``BLOCK`` bits, only from bits already coded.
 
 The counts cover all training texts (fold of 10 not 0): word counts by an
 aggregate, context tables by summing the tables of all tasks in two rounds.
@@ -45,7 +45,9 @@ BITS = 21
 CHUNK = 1 << 17
 SAMPLE = 300
 SAMPLE_BYTES = 8192
-BLOCK = 4096
+BLOCK = 64
+#: Bits of texts that are coded side by side.
+SIDE_BITS = 1 << 21
 EVENTS = 1 << 18
 END = b"\n"
 ESCAPE = -1
@@ -228,6 +230,69 @@ class Model:
                 total += state.code(inputs[k:k + BLOCK], gate[k:k + BLOCK], bit[k:k + BLOCK])
         return total
 
+    def nats_of(self, texts: list[list[bytes]]) -> list[float]:
+        """``nats`` of each text from its own copy of the state, side by side.
+
+        Texts take each step of ``BLOCK`` bits together; a text of more than one
+        piece goes alone.
+        """
+        out, group, size = [0.0] * len(texts), [], 0
+
+        def flush():
+            if group:
+                for i, n in zip([i for i, _ in group], self._side_by_side([f for _, f in group]), strict=True):
+                    out[i] = n
+                group.clear()
+
+        for i, words in enumerate(texts):
+            symbols = self.code.symbols(words)
+            if len(symbols) > EVENTS // 8:
+                out[i] = self.nats(words, self.state.copy())
+                continue
+            found = self.features(symbols)
+            if size + len(found[2]) > SIDE_BITS:
+                flush()
+                size = 0
+            group.append((i, found))
+            size += len(found[2])
+        flush()
+        return out
+
+    def _side_by_side(self, found: list[tuple]) -> list[float]:
+        order = sorted(range(len(found)), key=lambda i: -len(found[i][2]))
+        sizes = np.array([len(found[i][2]) for i in order], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        inputs, gate, bit = (np.concatenate([found[i][j] for i in order]) for j in range(3))
+        n, width = len(order), inputs.shape[1]
+        weights = np.tile(self.state.weights, (n, 1))
+        refined = np.tile(self.state.refined.reshape(-1), n)
+        loss = np.zeros(n)
+        for at in range(0, int(sizes[0]), BLOCK):
+            live = int(np.searchsorted(-sizes, -at, "left"))  # texts with bits left come first
+            take = np.minimum(sizes[:live] - at, BLOCK)
+            text = np.repeat(np.arange(live), take)
+            pick = np.repeat(starts[:live] + at - (np.cumsum(take) - take), take) + np.arange(int(take.sum()))
+            x, own_gate, hit_bit = inputs[pick], gate[pick].astype(np.int64) + text * GATES, bit[pick].astype(np.float32)
+            mixed = np.einsum("ij,ij->i", x, weights.take(own_gate, axis=0))
+            np.clip(mixed, -12, 12, out=mixed)
+            p = 1 / (1 + np.exp(-mixed))
+            cell = (mixed * np.float32(BUCKETS / 16) + np.float32(BUCKETS / 2)).astype(np.int64)
+            np.clip(cell, 0, BUCKETS - 1, out=cell)
+            cell += own_gate * BUCKETS
+            final = np.float32(0.6) * p + np.float32(0.4) * refined.take(cell)
+            np.clip(final, 1e-5, 1 - 1e-5, out=final)
+            loss[:live] -= np.bincount(text, np.log(np.abs(1 - hit_bit - final)), live)
+            err, gates = hit_bit - p, live * GATES
+            scale = RATE / np.sqrt(1 + np.bincount(own_gate, minlength=gates))
+            for j in range(width):
+                weights[:gates, j] += scale * np.bincount(own_gate, err * x[:, j], gates)
+            touched, where = np.unique(cell, return_inverse=True)
+            seen, ones = np.bincount(where), np.bincount(where, hit_bit)
+            refined[touched] += ((ones - seen * refined[touched]) / (seen + 60)).astype(np.float32)
+        out = np.zeros(n)
+        out[order] = loss
+        return out.tolist()
+
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     fold = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(10)), F.lit(1))
@@ -389,12 +454,12 @@ def score_texts(docs: DataFrame, bits: int = BITS, vocab: int = VOCAB, id_col: s
         row = TaskContext.get().partitionId() << 33
         for b in batches:
             out = [[] for _ in range(9)]
-            for doc, text, held in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                tokens = [*lower_words(text, BLANKS), END]
+            split = [[*lower_words(text, BLANKS), END] for text in b.column(1).to_pylist()]
+            for doc, text, held, tokens, nats in zip(*(c.to_pylist() for c in b.columns), split, model.nats_of(split), strict=True):
                 ids = np.fromiter(map(index.get, tokens, [-1] * len(tokens)), np.int64, len(tokens))
                 inside = ids >= 0 if known_end else np.zeros(len(ids), bool)
                 rest = Counter(tokens[i] for i in np.flatnonzero(~inside).tolist())
-                for col, v in zip(out, (row, doc, held, len(tokens), int(inside.sum()), float(logs[ids[inside]].sum()), model.nats(tokens, model.state.copy()),
+                for col, v in zip(out, (row, doc, held, len(tokens), int(inside.sum()), float(logs[ids[inside]].sum()), nats,
                                         len(text.encode("utf-8", "surrogatepass")) if text else 0, [{"word": w, "n": n} for w, n in rest.items()]), strict=True):
                     col.append(v)
                 row += 1

@@ -125,3 +125,31 @@ def test_model_beats_the_base_on_held_out_texts(spark):
     assert len(got) > 20
     assert sum(r["score"] for r in got) > 0.6 * sum(r["base_score"] for r in got)
     assert all(r["score"] > r["base_score"] for r in got)
+
+
+def small_model():
+    words = [(b"a", 5), (b"b", 3), (b"c", 2), (b"\n", 2)]
+    code = lm_mixing.Code(words, 3, np.ones(257, int))
+    rng = np.random.default_rng(1)
+    counts = [rng.integers(0, 50, (1 << 8, 2)) for _ in range(2)]
+    base = lm_mixing.node_counts(code, np.array([5, 3, 2, 2, 3]), np.ones(257))
+    return lm_mixing.Model(code, 8, base, [lm_mixing.slot_table(c) for c in counts])
+
+
+def test_short_texts_learn_while_they_are_scored():
+    """A text far below the former block of 4096 bits, coded by one frozen state and by the model."""
+    model = small_model()
+    text = [b"c", b"c", b"b"] * 200 + [b"\n"]
+    inputs, gate, bit = model.features(model.code.symbols(text))
+    assert len(bit) < 4096
+    frozen = model.state.copy().code(inputs, gate, bit)
+    assert model.nats(text, model.state.copy()) < 0.9 * frozen
+
+
+def test_texts_side_by_side_score_as_alone():
+    model = small_model()
+    rng = random.Random(2)
+    texts = [[rng.choice([b"a", b"b", b"c", b"zz"]) for _ in range(n)] + [b"\n"] for n in (0, 1, 7, 300, 40, 300, 2000)]
+    alone = [model.nats(t, model.state.copy()) for t in texts]
+    assert np.allclose(model.nats_of(texts), alone, rtol=1e-4)
+    assert model.nats_of([]) == []
