@@ -1,7 +1,8 @@
 """Token counts with a whole-token shortcut.
 
 Offline, every vocabulary string is encoded on its own by the library; those
-that come back as exactly one token are proven whole. A pre-token that equals
+that come back as exactly their own id are proven whole. A file with any string that
+does not is counted by its library. A pre-token that equals
 one of them counts as one token without any merging; only the rest is merged,
 and its count is remembered in a bounded cache.
 
@@ -58,7 +59,24 @@ def load_spec(path: str) -> dict | None:
     ranks = {bytes(letters[c] for c in s): i for s, i in model["vocab"].items() if s not in special}
     merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
     ordered = all(model["vocab"][a + b] == 256 + i for i, (a, b) in enumerate(merges)) and len(ranks) == 256 + len(merges)
-    return {"ranks": ranks, "special": special} if ordered else None
+    if not ordered:
+        return None
+    whole = encoded_alone(path, ranks)
+    return {"ranks": ranks, "special": special, "whole": whole} if whole is not None else None
+
+
+def encoded_alone(path: str, ranks: dict[bytes, int]) -> set[str] | None:
+    """The vocabulary strings that are text, if the library encodes each alone as its own id."""
+    from tokenizers import Tokenizer
+
+    texts = {}
+    for raw, i in ranks.items():
+        try:
+            texts[raw.decode("utf-8")] = i
+        except UnicodeDecodeError:
+            continue
+    found = Tokenizer.from_file(path).encode_batch(list(texts), add_special_tokens=False)
+    return set(texts) if all(e.ids == [i] for e, i in zip(found, texts.values(), strict=True)) else None
 
 
 def merge_engine(spec: dict):
@@ -71,17 +89,8 @@ def merge_engine(spec: dict):
 
 
 def whole_tokens(spec: dict) -> set[str]:
-    """Vocabulary strings proven to encode alone as one token."""
-    engine = merge_engine(spec)
-    out = set()
-    for raw in spec["ranks"]:
-        try:
-            text = raw.decode("utf-8")
-        except UnicodeDecodeError:
-            continue
-        if engine.encode_single_token(raw) is not None and len(engine._encode_single_piece(raw)) == 1:
-            out.add(text)
-    return out
+    """Vocabulary strings proven by the library to encode alone as one token."""
+    return spec["whole"]
 
 
 class Counts(dict):

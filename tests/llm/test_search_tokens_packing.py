@@ -174,3 +174,24 @@ def test_pieces_round_trip(spark, library):
     joined = packing.sequences(packing.pack(fixtures.docs(spark), PATH, 1024, 2)).agg(F.sum(F.length("ids"))).first()[0]
     assert joined == 4 * sum(r["length"] for r in packed)
     assert packing.pack(fixtures.docs(spark, []), PATH).count() == 0
+
+
+def test_unreachable_vocabulary_strings_are_no_whole_tokens(spark, tmp_path):
+    """"abc" is in the vocabulary, but "ab" is merged first."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    letters = {b: c for c, b in token_count.byte_alphabet().items()}
+    spec["model"]["vocab"] = {letters[b]: b for b in range(256)} | {"ab": 256, "bc": 257, "abc": 258}
+    spec["model"]["merges"] = [["a", "b"], ["b", "c"], ["a", "bc"]]
+    spec["added_tokens"] = []
+    path = str(tmp_path / "small.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    rows = [(1, "abc"), (2, "xabc abc"), (3, "ab bc")]
+    got = {r["id"]: r["n_tokens"] for r in token_count.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()}
+    library = Tokenizer.from_file(path)
+    assert got == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in rows} and got[1] == 2
