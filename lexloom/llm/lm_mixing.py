@@ -1,477 +1,572 @@
 """Language-model scores by online logistic context mixing.
 
-A text is its lower-cased words and one end, coded bit by bit:
-
-* a word of the vocabulary (the ``VOCAB`` most frequent ones that occur at
-  least ``MIN_COUNT`` times) by its Huffman code, any other by an escape code and the Huffman codes of its bytes and a
-  word end; so every text has a probability, and they sum to one.
-* Each bit is predicted in three contexts: none, the previous word, and the two
-  previous words (for bytes: the two and the four bytes before). The last two
-  are hashed, with the place in the code, into tables of 2**``bits`` slots
-  that hold how often either bit followed in the training texts.
+A text is its lower-cased words and one end. Every symbol is coded in eight
+binary decisions:
+
+* a word of the vocabulary by its class (the first eight bits of its place in
+  the counted, alphabetical vocabulary: classes of nearly equal weight), then by
+  its share of the class, exact from the counts. Any other word is the escape,
+  followed by its bytes two by two and an end, in classes of byte pairs made the
+  same way. Decisions with one possible outcome cost nothing, so the
+  probabilities of all texts sum to one.
+* Each decision is predicted by five hashed contexts (one, two and three
+  preceding words; the word before the last; the classes of the last two; in
+  spelled words the one to four pairs before, and the place), by
+  the exact counts without context, and by what the text itself has taken so far
+  (counts that adapt inside the text).
 * The predictions, in the logistic domain, are summed with weights chosen by a
-  gate (how well each context is known, and the kind of symbol). The result is
-  refined by an adaptive table over (gate, prediction).
-* Weights and refinement start from values learned on a bounded sample of
-  training texts, each predicted without its own counts, and go on learning
-  inside every text: after each ``BLOCK`` bits, only from bits already coded.
-
-The counts cover all training texts (fold of 10 not 0): word counts by an
-aggregate, context tables by summing the tables of all tasks in two rounds.
-Base scores of frequent words use the broadcast vocabulary, those of all other
-words a shuffle join with the full word counts.
-
-Null texts count as empty: just the end. Rows may repeat. Without training
-texts all words are spelled and all counts are zero.
+  gate (words or spelling, and how often the one-word and two-word contexts were
+  seen). The result is refined by an adaptive table over predictions.
+* Weights, refinement and the text's own counts learn while a text is coded:
+  after every ``STEP`` symbols at first, and never later than after a sixteenth
+  of what the text has shown. Nothing is reset inside a text. Texts are coded
+  side by side, each with its own state.
+
+Training texts are those whose fold of 10 is not 0. Word counts, and with them
+the classes, cover all of them. Contexts are counted over all of them but one in
+``TUNE``, on which the starting weights and refinement are learned (averaged
+over the texts that used them). Context tables are counted by as many tasks as
+the cluster has cores, so what is shuffled does not grow with the splits; their
+size, ``table_bits``, doubles with the training tokens up to ``MAX_BITS``, which
+is what a Python worker can hold. Base scores of words outside the vocabulary
+come from a shuffle join with the full word counts.
+
+Null texts count as empty: just the end. Ids may be null (then they train),
+repeated or of any type; rows may repeat; very long texts and words are coded
+whole; other columns are ignored, whatever their names. Without training texts
+all words are spelled and all counts are zero. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import heapq
-import zlib
-from collections import Counter
+import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, lower_words, materialize, prepare
+from .common import BLANKS, materialize, prepare
 
-VOCAB = 1 << 18
+#: Memory limits of a worker: words of the vocabulary, and slots of each context table.
+VOCAB = 1 << 19
+MAX_BITS = 23
 MIN_COUNT = 2
-BITS = 21
-CHUNK = 1 << 17
-SAMPLE = 300
-SAMPLE_BYTES = 8192
-BLOCK = 64
-#: Bits of texts that are coded side by side.
-SIDE_BITS = 1 << 21
-EVENTS = 1 << 18
+TUNE = 64
+TUNE_ROUNDS = 2
+STEP = 8
+#: Symbols that are coded side by side.
+GROUP = 1 << 18
+CHUNK = 1 << 16
 END = b"\n"
-ESCAPE = -1
+CONTEXTS = 5
+INPUTS = CONTEXTS + 3
 GATES = 2 * 4 * 4
 BUCKETS = 24
-RATE = 0.08
-MULT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-
-
-def huffman(weights: list[int]) -> tuple[list[list[int]], list[list[int]], int]:
-    """Per symbol the inner nodes on its path and the bits taken; number of inner nodes."""
-    n = len(weights)
-    if n == 1:
-        return [[]], [[]], 0
-    heap = [(w, i) for i, w in enumerate(weights)]
-    heapq.heapify(heap)
-    parent, bit, nxt = [0] * (2 * n - 1), [0] * (2 * n - 1), n
-    while len(heap) > 1:
-        for b in (0, 1):
-            w, i = heapq.heappop(heap)
-            parent[i], bit[i] = nxt, b
-            total = w if b == 0 else total + w
-        heapq.heappush(heap, (total, nxt))
-        nxt += 1
-    root, paths, bits = nxt - 1, [], []
-    for i in range(n):
-        path, taken = [], []
-        while i != root:
-            taken.append(bit[i])
-            i = parent[i]
-            path.append(i - n)
-        paths.append(path[::-1])
-        bits.append(taken[::-1])
-    return paths, bits, n - 1
+#: Predictions end here, inside the first and the last bucket.
+LIMIT = np.float32(7.99)
+RATE = 0.04
+SCALE = np.float32(4096)
+#: Codes of byte pairs; the blank is in no word, so it fills the last pair, and two of them are the end.
+PAIRS, PAIR_END = 1 << 16, 32 * 257
+M = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
+
+_depth, _class = np.arange(8), np.arange(256)[:, None]
+#: The eight decisions of each class: outcome, node of the tree (1..255), place in its half of the tree (1..15).
+BIT = ((_class >> (7 - _depth)) & 1).astype(np.float32)
+NODE = ((1 << _depth) | (_class >> (8 - _depth))).astype(np.int64)
+PLACE = np.concatenate([NODE[:, :4], (1 << _depth[:4]) | ((_class & 15) >> (4 - _depth[:4]))], axis=1).astype(np.int64)
+
+
+def table_bits(tokens: int) -> int:
+    """Slots of a context table, as a power of two: one for 8 training tokens, 2**20 at least."""
+    return min(MAX_BITS, max(20, math.ceil(math.log2(max(2, tokens))) - 3))
+
+
+def steps(longest: int) -> np.ndarray:
+    """Symbols after which a text learns: its ``STEP``, then a sixteenth of itself more."""
+    out = [0]
+    while out[-1] < longest:
+        out.append(out[-1] + max(STEP, out[-1] // 16 // STEP * STEP))
+    return np.array(out, np.int64)
+
+
+def logit_counts(n0, n1):
+    return np.log((n1 + np.float32(0.35)) / (n0 + np.float32(0.35)))
 
 
 class Code:
-    """Codes of vocabulary words, the escape and bytes, flattened for numpy.
+    """Classes and shares of the vocabulary's words, of the escape (their last symbol), and of byte pairs.
 
-    Symbols: 0..V-1 words, V the escape, V+1..V+256 bytes, V+257 the word end.
+    ``pair_counts`` tells how often a pair (first byte * 256 + second) spelled a rare word.
     """
 
-    def __init__(self, words: list[tuple[bytes, int]], escaped: int, byte_counts: np.ndarray):
-        self.index = {w: i for i, (w, _) in enumerate(words)}
-        self.v = len(words)
-        paths, bits, inner = huffman([c for _, c in words] + [max(1, escaped)])
-        byte_paths, byte_bits, byte_inner = huffman((byte_counts + 1).tolist())
-        self.nodes = inner + byte_inner
-        paths += [[inner + x for x in p] for p in byte_paths]
-        bits += byte_bits
-        self.length = np.array([len(p) for p in paths], np.int32)
-        self.start = np.cumsum(self.length, dtype=np.int64) - self.length
-        self.path = np.array([x for p in paths for x in p], np.int32)
-        self.bit = np.array([x for b in bits for x in b], np.uint8)
-
-    def symbols(self, words: list[bytes]) -> np.ndarray:
-        """Symbols of a text's words and its end."""
-        ids = np.fromiter(map(self.index.get, words, [ESCAPE] * len(words)), np.int32, len(words))
-        out = np.flatnonzero(ids == ESCAPE)
-        if not out.size:
-            return ids
-        parts, at = [], 0
-        for i in out.tolist():
-            parts += [ids[at:i], self.spelled(words[i])]
-            at = i + 1
-        return np.concatenate([*parts, ids[at:]])
-
-    def spelled(self, word: bytes) -> np.ndarray:
-        v = self.v
-        return np.array([v, *(v + 1 + b for b in word), v + 257], np.int32)
-
-    def events(self, symbols: np.ndarray, bits: int):
-        """(node, bit, spelled, slot of the previous symbol, slot of the previous two)."""
-        n = self.length[symbols]
-        total = int(n.sum())
-        first = np.repeat((self.start[symbols] - (np.cumsum(n) - n)), n)
-        at = first + np.arange(total)
-        node = self.path[at]
-        before = np.concatenate([np.zeros(4, np.int64), symbols.astype(np.int64) + 1]).astype(np.uint64)
-        p1, p2, p3, p4 = (before[4 - k:len(before) - k] for k in (1, 2, 3, 4))
-        word_one = p1 * MULT[0]
-        word_two = (word_one ^ (p2 * MULT[1])) * MULT[0]
-        # bytes see the bytes before them; words among those count as a boundary
-        edge = np.uint64(self.v + 1)
-        b1, b2, b3, b4 = (np.where(p > edge, p, np.uint64(0)) for p in (p1, p2, p3, p4))
-        byte_one = ((b1 * MULT[0]) ^ b2) * MULT[1] + np.uint64(1)
-        byte_two = ((((byte_one ^ b3) * MULT[0]) ^ b4) * MULT[1]) + np.uint64(2)
-        byte = symbols > self.v
-        one, two = np.where(byte, byte_one, word_one), np.where(byte, byte_two, word_two)
-        step = node.astype(np.uint64) * MULT[1]
-        shift = np.uint64(64 - bits)
-        slots = [(((np.repeat(h, n) ^ step) * MULT[0]) >> shift).astype(np.int32) for h in (one, two)]
-        return node, self.bit[at], np.repeat(symbols > self.v, n), slots[0], slots[1]
-
-
-def stretch_counts(n0, n1):
-    return np.log((n1 + np.float32(0.35)) / (n0 + np.float32(0.35))).astype(np.float32)
-
-
-def known(total):
-    return np.digitize(total, (1, 4, 32)).astype(np.uint8)
+    def __init__(self, words: list[bytes], counts, escaped: int, pair_counts: np.ndarray):
+        order = sorted(range(len(words)), key=words.__getitem__)
+        self.blob = b" ".join(words[i] for i in order)
+        self.counts = np.array([counts[i] for i in order], np.int64)
+        self.cls, self.tail, whole = self.classes(np.append(self.counts, max(1, escaped)).astype(np.float64))
+        first, second = np.divmod(np.arange(PAIRS), 256)
+        blanks = np.array([9, 10, 11, 12, 13, 32])
+        never = np.isin(first, blanks) | np.isin(second, blanks[:-1])
+        never[PAIR_END] = False
+        self.pair_cls, self.pair_tail, pairs = self.classes(np.where(never, 0, pair_counts + 1 / 64))
+        self.base, self.free = np.zeros(512, np.float32), np.zeros(512, np.float32)
+        self.share = np.full(512, 0.5, np.float32)
+        for kind, mass in enumerate((whole, pairs)):
+            n = np.bincount(NODE.reshape(-1), np.repeat(mass, 8), 256)
+            ones = np.bincount(NODE.reshape(-1), (mass[:, None] * BIT).reshape(-1), 256)
+            at = slice(256 * kind, 256 * kind + 256)
+            self.free[at] = (ones > 0) & (ones < n)
+            self.base[at] = logit_counts(n - ones, ones)
+            self.share[at] = np.clip((ones + 0.01) / (n + 0.02), 1e-4, 1 - 1e-4)
+        self._index = None
+
+    @staticmethod
+    def classes(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Class of each symbol, nats of its share of the class, and the weight of the 256 classes."""
+        place = (np.cumsum(weight) - weight / 2) / weight.sum()
+        cls = np.minimum(place * 256, 255).astype(np.uint8)
+        whole = np.bincount(cls, weight, 256)
+        with np.errstate(divide="ignore"):
+            return cls, (np.log(whole[cls]) - np.log(weight)).astype(np.float32), whole
+
+    def __getstate__(self):
+        return self.__dict__ | {"_index": None}
+
+    @property
+    def index(self) -> dict[bytes, int]:
+        if self._index is None:
+            self._index = {w: i for i, w in enumerate(self.blob.split(b" "))}
+        return self._index
+
+    def symbols(self, ids: np.ndarray, sizes: np.ndarray, unknown: list[bytes]) -> Symbols:
+        """Symbols of texts: word ids (-1 unknown), words of each text, and the unknown words in order."""
+        return Symbols(self, ids, sizes, unknown)
+
+
+class Symbols:
+    """Texts as symbols in order: class, kind (0 word, 1 byte pair), nats of the share, text, place, and context sources."""
+
+    def __init__(self, code: Code, ids: np.ndarray, sizes: np.ndarray, unknown: list[bytes], words: bool = True):
+        v = len(code.counts)
+        known = np.where(ids < 0, v, ids).astype(np.int64)
+        n = len(known)
+        spelled = np.zeros(n, np.int64)
+        spelled[ids < 0] = np.fromiter(map(len, unknown), np.int64, len(unknown)) // 2 + 1
+        first = np.cumsum(spelled + 1) - spelled - 1  # symbol of each word
+        total = n + int(spelled.sum())
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        own = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # place among the text's words
+        back = [np.where(own >= k, np.concatenate([np.zeros(k, np.int64), known[:max(0, n - k)] + 1])[:n], 0) for k in (1, 2, 3)]
+        cls = code.cls[known]
+        pair = np.where(back[0] > 0, code.cls[back[0] - 1] + 1, 0).astype(np.int64) * 257 + np.where(back[1] > 0, code.cls[back[1] - 1] + 1, 0)
+        self.kind = np.ones(total, np.int64)
+        self.kind[first] = 0
+        self.cls = np.empty(total, np.uint8)
+        self.cls[first] = cls
+        self.tail = np.zeros(total, np.float32)
+        self.tail[first] = code.tail[known]
+        self.text = np.empty(total, np.int32)
+        self.text[first] = text
+        self.source = np.zeros((4, total), np.int64)
+        self.source[:, first] = [*back, pair]
+        if unknown:
+            # a word of even length ends with a pair of blanks, one of odd length with a half pair
+            letters = np.frombuffer(b"".join([w + (b" " if len(w) % 2 else b"  ") for w in unknown]), np.uint8).reshape(-1, 2).astype(np.int64)
+            pair = letters[:, 0] * 256 + letters[:, 1]
+            size = spelled[ids < 0]
+            at = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)  # place in the word
+            put = np.repeat(first[ids < 0] + 1, size) + at
+            self.cls[put] = code.pair_cls[pair]
+            self.tail[put] = code.pair_tail[pair]
+            self.text[put] = np.repeat(text[ids < 0], size)
+            for k in range(4):
+                shifted = np.concatenate([np.zeros(k + 1, np.int64), pair[:max(0, len(pair) - k - 1)] + 1])[:len(pair)]
+                self.source[k, put] = np.where(at > k, shifted, 0)
+            self.source[3, put] += np.minimum(at, 15) << 17
+        starts = np.searchsorted(self.text, np.arange(len(sizes)))
+        self.place = np.arange(total) - starts[self.text] if total else np.zeros(0, np.int64)
+        if not words:  # spelling only: leave the escapes out
+            self.take(np.flatnonzero(self.kind))
+
+    def take(self, at: np.ndarray) -> None:
+        self.kind, self.cls, self.tail, self.text, self.place = (x[at] for x in (self.kind, self.cls, self.tail, self.text, self.place))
+        self.source = self.source[:, at]
+
+    def blocks(self, rows: slice, bits: int) -> list[np.ndarray]:
+        """For each context the first slots (symbols, 2) of the halves of the tree."""
+        a, b, c, d = (self.source[k, rows].astype(np.uint64) for k in range(4))
+        kind = self.kind[rows].astype(np.uint64) * M[4]
+        one = (a + kind + np.uint64(1)) * M[0]
+        two = (one ^ (one >> np.uint64(32)) ^ (b * M[1])) * M[2]
+        three = (two ^ (two >> np.uint64(29)) ^ (c * M[3])) * M[0]
+        skip = (b + kind + np.uint64(7)) * M[3]
+        classes = (d + kind + np.uint64(3)) * M[1]
+        half = ((self.cls[rows] >> 4).astype(np.uint64) + np.uint64(1)) * M[2]
+        shift, out = np.uint64(64 - (bits - 4)), []
+        for h in (one, two, three, skip, classes):
+            h ^= h >> np.uint64(31)
+            both = np.empty((len(h), 2), np.int64)
+            both[:, 0] = (h * M[1]) >> shift
+            both[:, 1] = ((h ^ half) * M[3]) >> shift
+            out.append(both << 4)
+        return out
+
+
+def slot_table(counts: np.ndarray) -> np.ndarray:
+    """One 16-bit entry per slot: the logistic prediction; the first of 16 tells how often its block was seen.
+
+    counts: how often each of the 16 outcomes of half a tree followed, block by block.
+    """
+    level = counts.reshape(-1, 16).astype(np.float32)
+    entry = np.empty((len(level), 16), np.int16)
+    for first in (8, 4, 2, 1):  # nodes of a depth; ``level`` holds the counts of their outcomes
+        pair = level.reshape(len(level), first, 2)
+        entry[:, first:2 * first] = np.clip(logit_counts(pair[:, :, 0], pair[:, :, 1]) * SCALE, -32767, 32767)
+        level = pair.sum(axis=2)
+    entry[:, 0] = np.digitize(level[:, 0], (1, 4, 32))
+    return entry.reshape(-1)
 
 
 class State:
-    """Mixing weights and the refinement table."""
+    """Mixing weights (inputs, gates) and the refinement table."""
 
     def __init__(self):
-        self.weights = np.tile(np.array([0.6, 0.3, 0.2, 0.0], np.float32), (GATES, 1))
+        start = np.array([0.35, 0.35, 0.3, 0.15, 0.15, 0.05, 0.1, 0.0], np.float32)
+        self.weights = np.repeat(start[:, None], GATES, axis=1)
         centre = (np.arange(BUCKETS, dtype=np.float32) - BUCKETS / 2 + 0.5) * (16 / BUCKETS)
-        self.refined = np.tile(1 / (1 + np.exp(-centre)), (GATES, 1)).astype(np.float32)
+        self.refined = np.tile(1 / (1 + np.exp(-centre)), 2).astype(np.float32)
 
-    def copy(self) -> State:
-        out = State.__new__(State)
-        out.weights, out.refined = self.weights.copy(), self.refined.copy()
-        return out
-
-    def code(self, inputs: np.ndarray, gate: np.ndarray, bit: np.ndarray, rate: float = RATE) -> float:
-        """Nats for one block of bits; learns from them afterwards."""
-        mixed = np.einsum("ij,ij->i", inputs, self.weights.take(gate, axis=0))
-        np.clip(mixed, -12, 12, out=mixed)
-        p = 1 / (1 + np.exp(-mixed))
-        cell = (mixed * np.float32(BUCKETS / 16) + np.float32(BUCKETS / 2)).astype(np.int32)
-        np.clip(cell, 0, BUCKETS - 1, out=cell)
-        cell += gate * BUCKETS
-        flat = self.refined.reshape(-1)
-        final = np.float32(0.6) * p + np.float32(0.4) * flat.take(cell)
-        np.clip(final, 1e-5, 1 - 1e-5, out=final)
-        hit_bit = bit.astype(np.float32)
-        loss = -float(np.log(np.abs(1 - hit_bit - final)).sum(dtype=np.float64))
-        err = hit_bit - p
-        scale = rate / np.sqrt(1 + np.bincount(gate, minlength=GATES))
-        for j in range(inputs.shape[1]):
-            self.weights[:, j] += scale * np.bincount(gate, err * inputs[:, j], GATES)
-        seen, ones = np.bincount(cell, minlength=flat.size), np.bincount(cell, hit_bit, flat.size)
-        flat += ((ones - seen * flat) / (seen + 60)).astype(np.float32)
-        return loss
-
-
-#: Slot entries: the logistic prediction in 1/STEPS, shifted by 2**13, and two bits of how well it is known.
-STEPS = 512.0
-LEVELS = ((np.arange(1 << 16) >> 2) - (1 << 13)).astype(np.float32) / np.float32(STEPS)
 
+class Model:
+    """Broadcast to the tasks: the code and the context tables."""
 
-def slot_table(counts: np.ndarray) -> np.ndarray:
-    """One 16-bit entry per slot, so a context costs one random read."""
-    st = stretch_counts(counts[:, 0].astype(np.float32), counts[:, 1].astype(np.float32))
-    level = np.clip(np.round(st * STEPS), -(1 << 13), (1 << 13) - 1).astype(np.int64) + (1 << 13)
-    return ((level << 2) | known(counts.sum(axis=1))).astype(np.uint16)
+    def __init__(self, code: Code, bits: int, tables: list[np.ndarray]):
+        self.code, self.bits, self.tables = code, bits, tables
 
+    def nats(self, sym: Symbols, texts: int, state: State, learned: list | None = None) -> np.ndarray:
+        """Nats of each text, every one from its own copy of the state.
 
-class Model:
-    """Broadcast to the tasks: codes, logistic tables, how well slots are known, initial state."""
-
-    def __init__(self, code: Code, bits: int, base: np.ndarray, tables: list[np.ndarray]):
-        self.code, self.bits, self.base, self.tables, self.state = code, bits, base, tables, State()
-
-    def features(self, symbols: np.ndarray, own=None):
-        node, bit, spelled, a, b = self.code.events(symbols, self.bits)
-        entry = [self.tables[0].take(a), self.tables[1].take(b)]
-        st, kind = [LEVELS.take(e) for e in entry], [e & 3 for e in entry]
-        if own is not None:  # leave the text's own counts out
-            for i, slot in enumerate((a, b)):
-                rows, inverse = np.unique(slot, return_inverse=True)
-                ones = np.bincount(inverse, bit, len(rows))
-                alls = np.bincount(inverse, minlength=len(rows))
-                n = own[i][rows].astype(np.float64)
-                n0, n1 = np.maximum(n[:, 0] - (alls - ones), 0), np.maximum(n[:, 1] - ones, 0)
-                st[i], kind[i] = stretch_counts(n0, n1)[inverse], known(n0 + n1)[inverse]
-        inputs = np.empty((len(node), 4), np.float32)
-        inputs[:, 0], inputs[:, 1], inputs[:, 2], inputs[:, 3] = self.base[node], st[0], st[1], 0.3
-        gate = ((spelled.astype(np.int32) * 4 + kind[0]) * 4 + kind[1]).astype(np.int32)
-        return inputs, gate, bit
-
-    def nats(self, words: list[bytes], state: State, own=None) -> float:
-        total, symbols = 0.0, self.code.symbols(words)
-        # long texts go piece by piece; a piece sees its two preceding symbols as nothing
-        for at in range(0, len(symbols), EVENTS // 8):
-            inputs, gate, bit = self.features(symbols[at:at + EVENTS // 8], own)
-            for k in range(0, len(bit), BLOCK):
-                total += state.code(inputs[k:k + BLOCK], gate[k:k + BLOCK], bit[k:k + BLOCK])
-        return total
-
-    def nats_of(self, texts: list[list[bytes]]) -> list[float]:
-        """``nats`` of each text from its own copy of the state, side by side.
-
-        Texts take each step of ``BLOCK`` bits together; a text of more than one
-        piece goes alone.
+        With ``learned``, the states the texts end with, weighted by their use,
+        are added to it.
         """
-        out, group, size = [0.0] * len(texts), [], 0
-
-        def flush():
-            if group:
-                for i, n in zip([i for i, _ in group], self._side_by_side([f for _, f in group]), strict=True):
-                    out[i] = n
-                group.clear()
-
-        for i, words in enumerate(texts):
-            symbols = self.code.symbols(words)
-            if len(symbols) > EVENTS // 8:
-                out[i] = self.nats(words, self.state.copy())
+        code, bits = self.code, self.bits
+        sizes = np.bincount(sym.text, minlength=texts)
+        rank = np.empty(texts, np.int64)
+        rank[np.argsort(-sizes, kind="stable")] = np.arange(texts)  # texts with symbols left come first
+        cuts = steps(int(sizes.max(initial=0)))
+        step = (np.searchsorted(cuts, sym.place, "right") - 1).astype(np.int16)
+        own = rank[sym.text]
+        order = np.lexsort((own, step))
+        sym.take(order)
+        own, step = own[order], step[order]
+        ends = np.searchsorted(step, np.arange(len(cuts) - 1), "right").tolist()
+        weights = [np.tile(w, texts) for w in state.weights]
+        refined = np.tile(state.refined, texts)
+        taken = [np.tile(4 * (1 - code.share), texts), np.tile(4 * code.share, texts)]
+        used = np.zeros(texts * GATES, np.float32) if learned is not None else None
+        all_free = bool(code.free.reshape(2, 256)[:, 1:].all())
+        loss = np.bincount(own, sym.tail, texts).astype(np.float64)
+        at = 0
+        for end in ends:
+            rows, n = slice(at, end), end - at
+            at = end
+            if not n:
                 continue
-            found = self.features(symbols)
-            if size + len(found[2]) > SIDE_BITS:
-                flush()
-                size = 0
-            group.append((i, found))
-            size += len(found[2])
-        flush()
-        return out
-
-    def _side_by_side(self, found: list[tuple]) -> list[float]:
-        order = sorted(range(len(found)), key=lambda i: -len(found[i][2]))
-        sizes = np.array([len(found[i][2]) for i in order], np.int64)
-        starts = np.cumsum(sizes) - sizes
-        inputs, gate, bit = (np.concatenate([found[i][j] for i in order]) for j in range(3))
-        n, width = len(order), inputs.shape[1]
-        weights = np.tile(self.state.weights, (n, 1))
-        refined = np.tile(self.state.refined.reshape(-1), n)
-        loss = np.zeros(n)
-        for at in range(0, int(sizes[0]), BLOCK):
-            live = int(np.searchsorted(-sizes, -at, "left"))  # texts with bits left come first
-            take = np.minimum(sizes[:live] - at, BLOCK)
-            text = np.repeat(np.arange(live), take)
-            pick = np.repeat(starts[:live] + at - (np.cumsum(take) - take), take) + np.arange(int(take.sum()))
-            x, own_gate, hit_bit = inputs[pick], gate[pick].astype(np.int64) + text * GATES, bit[pick].astype(np.float32)
-            mixed = np.einsum("ij,ij->i", x, weights.take(own_gate, axis=0))
-            np.clip(mixed, -12, 12, out=mixed)
+            text, kind, cls = own[rows], sym.kind[rows], sym.cls[rows]
+            live = int(text.max()) + 1
+            bit, node = BIT.take(cls, axis=0), NODE.take(cls, axis=0) + kind[:, None] * 256
+            free, cell = None if all_free else code.free.take(node), node + text[:, None] * 512
+            place = PLACE.take(cls, axis=0).reshape(n, 2, 4)
+            x = [code.base.take(node), np.log(taken[1].take(cell) / taken[0].take(cell))]
+            seen = []
+            for k, block in enumerate(sym.blocks(rows, bits)):
+                if k < 2:
+                    seen.append(self.tables[k].take(block))
+                slots = (block[:, :, None] + place).reshape(n, 8)
+                x.append(self.tables[k].take(slots).astype(np.float32) * (1 / SCALE))
+            gate = (kind[:, None] * 4 + seen[0]) * 4 + seen[1] + text[:, None] * GATES  # (n, 2)
+            mixed = np.repeat(np.float32(0.3) * weights[-1].take(gate), 4, axis=1)
+            for w, values in zip(weights, x, strict=False):
+                mixed += values * np.repeat(w.take(gate), 4, axis=1)
+            mixed = np.clip(mixed, -LIMIT, LIMIT)
             p = 1 / (1 + np.exp(-mixed))
-            cell = (mixed * np.float32(BUCKETS / 16) + np.float32(BUCKETS / 2)).astype(np.int64)
-            np.clip(cell, 0, BUCKETS - 1, out=cell)
-            cell += own_gate * BUCKETS
-            final = np.float32(0.6) * p + np.float32(0.4) * refined.take(cell)
-            np.clip(final, 1e-5, 1 - 1e-5, out=final)
-            loss[:live] -= np.bincount(text, np.log(np.abs(1 - hit_bit - final)), live)
-            err, gates = hit_bit - p, live * GATES
-            scale = RATE / np.sqrt(1 + np.bincount(own_gate, minlength=gates))
-            for j in range(width):
-                weights[:gates, j] += scale * np.bincount(own_gate, err * x[:, j], gates)
-            touched, where = np.unique(cell, return_inverse=True)
-            seen, ones = np.bincount(where), np.bincount(where, hit_bit)
-            refined[touched] += ((ones - seen * refined[touched]) / (seen + 60)).astype(np.float32)
-        out = np.zeros(n)
-        out[order] = loss
-        return out.tolist()
+            bucket = (mixed * np.float32(BUCKETS / 16) + np.float32(BUCKETS / 2)).astype(np.int64)
+            bucket += ((text * 2 + kind) * BUCKETS)[:, None]
+            final = np.clip(np.float32(0.6) * p + np.float32(0.4) * refined.take(bucket), np.float32(1e-5), np.float32(1 - 1e-5))
+            cost, err, flat = np.log(np.abs(1 - bit - final)), bit - p, gate.reshape(-1)
+            if free is not None:
+                cost, err = cost * free, err * free
+            loss[:live] -= np.bincount(text, cost.sum(axis=1), live)
+            # learn
+            err = err.reshape(-1, 4)
+            gates = live * GATES
+            uses = np.bincount(flat, minlength=gates)
+            rate = (RATE / np.sqrt(1 + uses)).astype(np.float32)
+            for w, values in zip(weights, x, strict=False):
+                w[:gates] += rate * np.bincount(flat, np.einsum("ij,ij->i", err, values.reshape(-1, 4)), gates)
+            weights[-1][:gates] += rate * np.bincount(flat, err @ np.full(4, 0.3, np.float32), gates)
+            many, width = bucket.reshape(-1), live * 2 * BUCKETS
+            hits = np.bincount(many, None if free is None else free.reshape(-1), width)
+            ones = np.bincount(many, (bit if free is None else bit * free).reshape(-1), width)
+            refined[:width] += ((ones - hits * refined[:width]) / (hits + 60)).astype(np.float32)
+            flat_cell, flat_bit = cell.reshape(-1), bit.reshape(-1)
+            np.add.at(taken[1], flat_cell, flat_bit)
+            np.add.at(taken[0], flat_cell, 1 - flat_bit)
+            if used is not None:
+                used[:gates] += uses
+        if learned is not None:
+            by_gate = used.reshape(texts, GATES)
+            both = np.stack([(w.reshape(texts, GATES) * by_gate).sum(axis=0, dtype=np.float64) for w in weights])
+            learned.append((both, by_gate.sum(axis=0, dtype=np.float64), (refined.reshape(texts, -1) * sizes[np.argsort(rank)][:, None]).sum(axis=0, dtype=np.float64), float(sizes.sum())))
+        return loss[rank]
+
+
+def average(learned: list, start: State) -> State:
+    """The mean of learned states by their use; what no text used stays as it was."""
+    out = State()
+    if learned:
+        both, use, refined, n = (sum(x[k] for x in learned) for k in range(4))
+        out.weights = np.where(use > 0, both / np.maximum(use, 1), start.weights).astype(np.float32)
+        out.refined = (refined / max(n, 1)).astype(np.float32) if n else start.refined
+    return out
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    fold = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(10)), F.lit(1))
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), (fold == 0).alias("held"))
+    name = F.col(id_col).cast("string").cast("binary")
+    fold = F.coalesce(F.pmod(F.crc32(name), F.lit(10)), F.lit(1))
+    tune = F.coalesce(F.pmod(F.xxhash64(name), F.lit(TUNE)), F.lit(1))
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"), (fold == 0).alias("held"),
+                       ((fold != 0) & (tune == 0)).alias("tune"))
+
+
+def split_words(texts: list) -> tuple[list[bytes], np.ndarray]:
+    """All words of the texts, an end after each text, and how many each text has."""
+    words, sizes = [], []
+    for t in texts:
+        own = t.translate(BLANKS).split() if t else []
+        words += own
+        words.append(END)
+        sizes.append(len(own) + 1)
+    return words, np.array(sizes, np.int64)
+
+
+def groups(batches, column: int):
+    """Row batches joined to groups of about ``GROUP`` words: (batches, words, sizes)."""
+    held, words, sizes = [], [], []
+    for b in batches:
+        own, n = split_words(b.column(column).to_pylist())
+        held.append(b)
+        words += own
+        sizes.append(n)
+        if len(words) >= GROUP:
+            yield held, words, np.concatenate(sizes)
+            held, words, sizes = [], [], []
+    if held:
+        yield held, words, np.concatenate(sizes)
 
 
 def count_words(train: DataFrame) -> DataFrame:
     """Rows (word, c) over all training texts, written to the shared folder."""
 
     def run(batches):
-        counts: Counter = Counter()
+        for _, words, _ in groups(batches, 0):
+            counts = pc.value_counts(pa.array(words, pa.binary()))
+            yield pa.RecordBatch.from_arrays([counts.field(0), counts.field(1)], names=["word", "c"])
 
-        def out():
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
+    return materialize(train.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
 
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                counts.update(lower_words(text, BLANKS))
-                counts[END] += 1
-            if len(counts) > 300_000:
-                yield from out()
-                counts.clear()
-        if counts:
-            yield from out()
 
-    return materialize(train.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
+def look_up(index: dict[bytes, int], words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    ids = np.fromiter((index.get(w, -1) for w in words), np.int32, len(words))
+    return ids, [words[i] for i in np.flatnonzero(ids < 0).tolist()]
 
 
 def _pack(n: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(n, "<u4").tobytes(), 1)
+    """Counts as bytes; those over 254 follow with their places."""
+    big = np.flatnonzero(n > 254).astype("<u4")
+    small = np.minimum(n, 255).astype(np.uint8)
+    return small.tobytes() + big.tobytes() + n[big].astype("<u4").tobytes()
 
 
-def _unpack(raw: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(raw), "<u4")
+def _add(total: np.ndarray, raw: bytes) -> None:
+    size = len(total)
+    total += np.frombuffer(raw, np.uint8, size)
+    big = np.frombuffer(raw, "<u4", offset=size).reshape(2, -1)
+    total[big[0]] += big[1] - 255
 
 
-def context_tables(train: DataFrame, words: DataFrame, code, bits: int) -> list[np.ndarray]:
-    """Per context how often bit 0 and 1 followed each slot: arrays (2**bits, 2).
+def context_tables(train: DataFrame, rare: DataFrame, shared, bits: int) -> list[np.ndarray]:
+    """Slot tables of the contexts, counted over the texts and, once each, the spellings of vocabulary words.
 
-    Texts count as they are coded; each vocabulary word also counts once as it
-    would be spelled, since unseen words are spelled like the known ones.
+    Unseen words are spelled like the known ones, so these teach the spelling.
     """
-    schema = "part int, tab int, chunk int, raw binary"
-    names = ["part", "tab", "chunk", "raw"]
+    schema = "tab int, chunk int, raw binary"
+    step = min(CHUNK, 1 << bits)
 
     def rows(items):
-        part, tab, chunk, raw = zip(*items, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(tab, pa.int32()), pa.array(chunk, pa.int32()), pa.array(raw, pa.binary())], names=names)
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in items], pa.int32()), pa.array([x[1] for x in items], pa.int32()),
+                                           pa.array([x[2] for x in items], pa.binary())], names=["tab", "chunk", "raw"])
 
     def counter(spell: bool):
-        return lambda batches: count(batches, spell)
-
-    def count(batches, spell):
-        tables, pending, size = [np.zeros(2 << bits, np.uint32) for _ in range(2)], [], 0
-        one = np.uint32(1)
-
-        def flush():
-            if pending:
-                # texts are told apart by an end, so their symbols can follow each other
-                _, bit, spelled, a, b = code.value.events(np.concatenate(pending), bits)
-                for t, slot in zip(tables, (a, b), strict=True):
-                    at = slot * 2 + bit
-                    np.add.at(t, at[spelled] if spell else at, one)
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                symbols = code.value.spelled(bytes(text)) if spell else code.value.symbols([*lower_words(text, BLANKS), END])
-                for at in range(0, len(symbols), EVENTS // 8):
-                    pending.append(symbols[at:at + EVENTS // 8])
-                    size += len(pending[-1])
-                    if size > EVENTS // 16:
-                        flush()
-                        pending, size = [], 0
-        flush()
-        part = TaskContext.get().partitionId()
-        step = min(CHUNK, 2 << bits)
-        for i, t in enumerate(tables):
-            for c in range(len(t) // step):
-                piece = t[c * step:(c + 1) * step]
-                if piece.any():
-                    yield rows([(part, i, c, _pack(piece))])
-
-    def add(batches):
+        def run(batches):
+            code = shared.value
+            tables = [np.zeros(1 << bits, np.uint32) for _ in range(CONTEXTS)]
+            one = np.uint32(1)
+
+            def add(sym: Symbols):
+                for at in range(0, len(sym.cls), 1 << 15):
+                    part = slice(at, at + (1 << 15))
+                    cls = sym.cls[part]
+                    outcome = np.stack([cls >> 4, cls & 15], axis=1)
+                    for t, block in zip(tables, sym.blocks(part, bits), strict=True):
+                        np.add.at(t, (block + outcome).reshape(-1), one)
+
+            if spell:
+                for b in batches:
+                    words = b.column(0).to_pylist()
+                    add(Symbols(code, np.full(len(words), -1, np.int32), np.ones(len(words), np.int64), words, words=False))
+            else:
+                for _, words, sizes in groups(batches, 0):
+                    ids, unknown = look_up(code.index, words)
+                    add(code.symbols(ids, sizes, unknown))
+            for i, t in enumerate(tables):
+                for c in range(len(t) // step):
+                    piece = t[c * step:(c + 1) * step]
+                    if piece.any():
+                        yield rows([(i, c, _pack(piece))])
+        return run
+
+    def total(batches):
         sums: dict[tuple, np.ndarray] = {}
         for b in batches:
-            for part, tab, chunk, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                n, key = _unpack(raw), (part, tab, chunk)
-                sums[key] = sums[key] + n if key in sums else n.copy()
-        for (part, tab, chunk), n in sums.items():
-            yield rows([(part, tab, chunk, _pack(n))])
-
-    found = train.select("text").mapInArrow(counter(False), schema).unionByName(words.select("word").mapInArrow(counter(True), schema))
-    spread = found.withColumn("part", F.pmod("part", F.lit(16))).repartition("part", "tab", "chunk").mapInArrow(add, schema)
-    whole = spread.withColumn("part", F.lit(0)).repartition("tab", "chunk").mapInArrow(add, schema)
-    out, step = [np.zeros(2 << bits, np.uint32) for _ in range(2)], min(CHUNK, 2 << bits)
-    for r in whole.toLocalIterator():
-        out[r["tab"]][r["chunk"] * step:(r["chunk"] + 1) * step] = _unpack(bytes(r["raw"]))
-    return [t.reshape(-1, 2) for t in out]
-
-
-def node_counts(code: Code, word_counts: np.ndarray, byte_counts: np.ndarray) -> np.ndarray:
-    """Logistic prediction of each code node without context, from exact counts."""
-    weight = np.concatenate([word_counts, byte_counts]).astype(np.float64)
-    per_bit = np.repeat(weight, code.length)
-    n1 = np.bincount(code.path, per_bit * code.bit, max(1, code.nodes))
-    n = np.bincount(code.path, per_bit, max(1, code.nodes))
-    return stretch_counts(n - n1, n1)
-
-
-def fit(train: DataFrame, words: DataFrame, n_total: int, bits: int = BITS, vocab: int = VOCAB) -> tuple[Model, list[tuple[bytes, int]]]:
-    spark = train.sparkSession
-    top = [(bytes(r["word"]), r["c"]) for r in words.where(F.col("c") >= MIN_COUNT).orderBy(F.desc("c"), "word").limit(vocab).collect()]  # at most ``vocab`` rows
-    if END not in {w for w, _ in top}:
-        ends = words.where(F.col("word") == F.lit(END)).first()
-        top = [*top[: vocab - 1], (END, ends["c"] if ends else 1)]
-    escaped = n_total - sum(c for _, c in top)
-    least = min(c for _, c in top[:-1]) if len(top) >= vocab else MIN_COUNT - 1
-    rare = words.where(F.col("c") <= least)
-    byte_counts = np.ones(257, np.int64)
+            for tab, chunk, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                _add(sums.setdefault((tab, chunk), np.zeros(step, np.uint32)), raw)
+        for (tab, chunk), n in sums.items():
+            yield rows([(tab, chunk, slot_table(n).tobytes())])
+
+    cores = max(1, train.sparkSession.sparkContext.defaultParallelism)
+    found = train.select("text").coalesce(cores).mapInArrow(counter(False), schema).unionByName(
+        rare.select("word").coalesce(max(1, cores // 4)).mapInArrow(counter(True), schema))
+    whole = materialize(found.repartition("tab", "chunk").mapInArrow(total, schema), "tables")
+    out = [np.zeros(1 << bits, np.int16) for _ in range(CONTEXTS)]
+    for r in whole.toLocalIterator():  # at most CONTEXTS * 2**MAX_BITS slots of two bytes
+        out[r["tab"]][r["chunk"] * step:(r["chunk"] + 1) * step] = np.frombuffer(r["raw"], np.int16)
+    return out
+
+
+def fit_code(words: DataFrame, n_total: int, vocab: int) -> tuple[Code, DataFrame]:
+    """The code, and the vocabulary's words other than the end."""
+    often = words.where((F.col("c") >= MIN_COUNT) | (F.col("word") == F.lit(END)))
+    least = MIN_COUNT
+    if often.count() > vocab:  # the least count that leaves at most ``vocab`` words
+        sizes = often.groupBy("c").count().orderBy(F.desc("c"))
+        room = vocab
+        for r in sizes.toLocalIterator():  # few distinct counts
+            room -= r["count"]
+            if room < 0:
+                break
+            least = r["c"]
+    top = words.where((F.col("c") >= least) | (F.col("word") == F.lit(END))).toArrow()  # at most ``vocab`` + 1 rows
+    names, counts = top.column("word").to_pylist(), top.column("c").to_numpy().tolist()
+    if END not in names:
+        names, counts = [*names, END], [*counts, 1]
+    pairs = np.zeros(PAIRS, np.int64)
 
     def tally(batches):
-        counts = np.zeros(257, np.int64)
+        n = np.zeros(PAIRS, np.int64)
         for b in batches:
-            for word, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                np.add.at(counts, np.frombuffer(word, "u1"), c)
-                counts[256] += c
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(257)), pa.array(counts)], names=["b", "n"])
-
-    for r in rare.select("word", "c").mapInArrow(tally, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():  # 257 rows
-        byte_counts[r["b"]] += r["n"]
-    code = Code(top, escaped, byte_counts)
-    counts = context_tables(train, words.where(F.col("c") > least), spark.sparkContext.broadcast(code), bits)
-    base = node_counts(code, np.array([c for _, c in top] + [max(1, escaped)]), byte_counts)
-    model = Model(code, bits, base, [slot_table(t) for t in counts])
-    sample = train.where(F.octet_length("text") <= SAMPLE_BYTES).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("text").collect()
-    for r in sample:
-        model.nats([*lower_words(r["text"], BLANKS), END], model.state, counts)
-    return model, top
-
-
-def score_texts(docs: DataFrame, bits: int = BITS, vocab: int = VOCAB, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte)."""
+            words = [w + (b" " if len(w) % 2 else b"  ") for w in b.column(0).to_pylist()]
+            spelled = np.frombuffer(b"".join(words), ">u2")
+            times = np.repeat(b.column(1).to_numpy(), [len(w) // 2 for w in words])
+            n += np.bincount(spelled, times, PAIRS).astype(np.int64)
+        used = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], names=["b", "n"])
+
+    rare = words.where((F.col("c") < least) & (F.col("word") != F.lit(END)))
+    for r in rare.select("word", "c").mapInArrow(tally, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():  # at most 65,536 rows
+        pairs[r["b"]] += r["n"]
+    return Code(names, counts, n_total - sum(counts), pairs), words.where((F.col("c") >= least) & (F.col("word") != F.lit(END)))
+
+
+def fit_state(tune: DataFrame, shared) -> State:
+    """Starting weights and refinement: tasks learn on the tuning texts, their states are averaged."""
+    state = State()
+
+    def learn(start: State):
+        def run(batches):
+            model, here = shared.value, start
+            for _ in [0]:
+                every = []
+                for _, words, sizes in groups(batches, 0):
+                    ids, unknown = look_up(model.code.index, words)
+                    learned: list = []
+                    model.nats(model.code.symbols(ids, sizes, unknown), len(sizes), here, learned)
+                    here = average(learned, here)
+                    every += learned
+                for both, use, refined, n in every:
+                    yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([both.reshape(-1), use, refined, [n]]).tobytes()], pa.binary())], names=["raw"])
+        return run
+
+    for _ in range(TUNE_ROUNDS):
+        learned = []
+        for r in tune.select("text").mapInArrow(learn(state), "raw binary").toLocalIterator():  # a few kB for each GROUP of words
+            flat = np.frombuffer(r["raw"], np.float64)
+            w = INPUTS * GATES
+            learned.append((flat[:w].reshape(INPUTS, GATES), flat[w:w + GATES], flat[w + GATES:-1], flat[-1]))
+            if len(learned) > 64:
+                learned = [tuple(sum(x[k] for x in learned) for k in range(4))]
+        state = average(learned, state)
+    return state
+
+
+def score_texts(docs: DataFrame, bits: int | None = None, vocab: int = VOCAB, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte).
+
+    ``n_bytes`` counts what is coded: the lower-cased words, each with a blank,
+    and the end. ``bits`` sets the tables' size instead of ``table_bits``.
+    """
     spark = docs.sparkSession
     prepare(spark)
     texts = _texts(docs, id_col, text_col)
     train = texts.where("NOT held")
     words = count_words(train)
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    model, top = fit(train, words, total, bits, vocab)
-    shared = spark.sparkContext.broadcast((model, np.array([c for _, c in top], np.float64)))
-    schema = ("row long, id long, held_out boolean, n_tokens long, n_known long, base double, nats double, n_bytes long, "
-              "rest array<struct<word:binary,n:long>>")
-    pair = pa.struct([("word", pa.binary()), ("n", pa.int64())])
-    known_end = bool(total)
+    bits = bits or table_bits(total)
+    code, vocabulary = fit_code(words, total, vocab)
+    sent = spark.sparkContext.broadcast(code)
+    shared = spark.sparkContext.broadcast(Model(code, bits, context_tables(train.where("NOT tune"), vocabulary, sent, bits)))
+    state = fit_state(texts.where("tune"), shared)
+    schema = (f"row long, id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base double, nats double, "
+              "n_bytes long, rest array<binary>")
+    names = [f.split()[0] for f in schema.split(", ")]
+    trained = bool(total)
 
     def run(batches):
-        model, counts = shared.value
-        index, logs = model.code.index, np.log10(counts + 0.1)
+        model = shared.value
+        logs = np.log10(model.code.counts + 0.1)
         row = TaskContext.get().partitionId() << 33
-        for b in batches:
-            out = [[] for _ in range(9)]
-            split = [[*lower_words(text, BLANKS), END] for text in b.column(1).to_pylist()]
-            for doc, text, held, tokens, nats in zip(*(c.to_pylist() for c in b.columns), split, model.nats_of(split), strict=True):
-                ids = np.fromiter(map(index.get, tokens, [-1] * len(tokens)), np.int64, len(tokens))
-                inside = ids >= 0 if known_end else np.zeros(len(ids), bool)
-                rest = Counter(tokens[i] for i in np.flatnonzero(~inside).tolist())
-                for col, v in zip(out, (row, doc, held, len(tokens), int(inside.sum()), float(logs[ids[inside]].sum()), nats,
-                                        len(text.encode("utf-8", "surrogatepass")) if text else 0, [{"word": w, "n": n} for w, n in rest.items()]), strict=True):
-                    col.append(v)
-                row += 1
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pair)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)],
-                                             names=["row", "id", "held_out", "n_tokens", "n_known", "base", "nats", "n_bytes", "rest"])
+        for held, words, sizes in groups(batches, 1):
+            ids, unknown = look_up(model.code.index, words)
+            n, text = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+            nats = model.nats(model.code.symbols(ids, sizes, unknown), n, state)
+            n_bytes = np.bincount(text, np.fromiter(map(len, words), np.int64, len(words)) + 1, n).astype(np.int64) - 1
+            inside = ids >= 0 if trained else np.zeros(len(ids), bool)
+            rest = [words[i] for i in np.flatnonzero(~inside).tolist()]
+            known = np.bincount(text[inside], minlength=n)
+            base = np.bincount(text[inside], logs[ids[inside]], n)
+            offsets = np.concatenate([[0], np.cumsum(sizes - known)]).astype(np.int32)
+            arrays = [pa.array(np.arange(row, row + n)), pa.concat_arrays([b.column(0) for b in held]), pa.concat_arrays([b.column(2) for b in held]), pa.array(sizes),
+                      pa.array(known), pa.array(base), pa.array(nats), pa.array(n_bytes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(rest, pa.binary()))]
+            row += n
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     seen = materialize(texts.select("id", "text", "held").mapInArrow(run, schema), "scored")
-    rest = seen.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.n").join(words, "word", "left")
-    rest = rest.groupBy("row").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more"),
-        F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1))).alias("rest_base"))
+    rest = seen.select("row", F.explode("rest").alias("word")).join(words, "word", "left")
+    rest = rest.groupBy("row").agg(F.count("c").alias("more"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1))).alias("rest_base"))
     floor = float(np.log10(total + 0.1 * (distinct + 1)))
     ln10 = float(np.log(10))
     return seen.drop("rest").join(rest, "row", "left").select(

@@ -68,33 +68,124 @@ def test_toxicity_awkward_tables(spark):
     assert toxicity.fit(df.limit(0), labels.limit(0)).threshold == 0.5
 
 
-def test_codes_are_prefix_free_and_complete():
-    code = lm_mixing.Code([(b"a", 5), (b"b", 2), (b"\n", 2)], 3, np.arange(257))
-    kraft = sum(2.0 ** -n for n in code.length[:code.v + 1].tolist())
-    assert math.isclose(kraft, 1)
-    assert math.isclose(sum(2.0 ** -n for n in code.length[code.v + 1:].tolist()), 1)
-    assert code.symbols([b"a", b"zz", b"b"]).tolist() == [0, 3, 4 + ord("z"), 4 + ord("z"), 4 + 256, 1]
+def small_model(bits=10):
+    pairs = np.zeros(lm_mixing.PAIRS, int)
+    pairs[[ord("z") * 257, lm_mixing.PAIR_END]] = 3
+    code = lm_mixing.Code([b"a", b"b", b"c", b"\n"], [5, 3, 2, 2], 3, pairs)
+    rng = np.random.default_rng(1)
+    return lm_mixing.Model(code, bits, [lm_mixing.slot_table(rng.integers(0, 9, 1 << bits)) for _ in range(lm_mixing.CONTEXTS)])
+
+
+def symbols_of(model, texts):
+    words, sizes = [w for t in texts for w in t], np.array([len(t) for t in texts], np.int64)
+    ids, unknown = lm_mixing.look_up(model.code.index, words)
+    return model.code.symbols(ids, sizes, unknown)
+
+
+def nats(model, texts):
+    return model.nats(symbols_of(model, texts), len(texts), model_state())
+
+
+def model_state():
+    rng = np.random.default_rng(3)
+    state = lm_mixing.State()
+    state.weights += rng.normal(0, 0.1, state.weights.shape).astype(np.float32)
+    return state
+
+
+def test_shares_of_a_class_sum_to_one():
+    code = small_model().code
+    for cls, tail in ((code.cls, code.tail), (code.pair_cls, code.pair_tail)):
+        for c in set(cls.tolist()):
+            assert math.isclose(np.exp(-tail[cls == c].astype(float)).sum(), 1, rel_tol=1e-3)
+    sym = symbols_of(small_model(), [[b"a", b"zzz", b"zz", b"b"]])
+    # the escape and, two by two, the letters: zz z_ and zz __
+    assert sym.kind.tolist() == [0, 0, 1, 1, 0, 1, 1, 0]
+    assert sym.cls[[2, 5, 6]].tolist() == code.pair_cls[[ord("z") * 257, ord("z") * 257, lm_mixing.PAIR_END]].tolist()
 
 
 def test_probabilities_sum_to_one():
-    """Over all continuations of a fixed history, word by word."""
-    words = [(b"a", 5), (b"b", 2), (b"\n", 2)]
-    code = lm_mixing.Code(words, 3, np.ones(257, int))
-    rng = np.random.default_rng(0)
-    bits = 8
-    counts = [rng.integers(0, 50, (1 << bits, 2)) for _ in range(2)]
-    model = lm_mixing.Model(code, bits, lm_mixing.node_counts(code, np.array([5, 2, 2, 3]), np.ones(257)),
-                            [lm_mixing.slot_table(c) for c in counts])
-
-    def p(symbols):
-        inputs, gate, bit = model.features(np.array(symbols))
-        return math.exp(-model.state.copy().code(inputs, gate, bit))
-
-    history = [0, 1]
-    total = sum(p([*history, s]) for s in range(code.v + 1)) / p(history)
+    """Over all continuations of a fixed history; the escape's share is taken without its spelling."""
+    model = small_model()
+
+    def p(words, symbols):
+        sym = symbols_of(model, [words])
+        sym.take(np.arange(symbols))
+        return math.exp(-model.nats(sym, 1, model_state())[0])
+
+    history = [b"a", b"zz", b"b"]  # five symbols
+    total = sum(p([*history, w], 6) for w in (b"a", b"b", b"c", b"\n", b"unknown")) / p(history, 5)
     assert abs(total - 1) < 1e-4
 
 
+def replay(model, words, state):
+    """One text, decision by decision, in plain Python."""
+    code, sym = model.code, symbols_of(model, [words])
+    weights, refined = state.weights.astype(float).tolist(), state.refined.astype(float).tolist()
+    taken = [[4 * (1 - p), 4 * p] for p in code.share.astype(float).tolist()]
+    cuts, total, i = set(lm_mixing.steps(len(sym.cls)).tolist()[1:]), float(sym.tail.sum()), 0
+    block = []
+
+    def learn():
+        uses, moves = Counter(), Counter()
+        seen, ones = Counter(), Counter()
+        for gate, err, x, bucket, bit, node in block:
+            uses[gate] += 0.25
+            for k, v in enumerate(x):
+                moves[k, gate] += err * v
+            seen[bucket] += 1
+            ones[bucket] += bit
+            taken[node][bit] += 1
+        for (k, gate), v in moves.items():
+            weights[k][gate] += lm_mixing.RATE / math.sqrt(1 + uses[gate]) * v
+        for c, n in seen.items():
+            refined[c] += (ones[c] - n * refined[c]) / (n + 60)
+        block.clear()
+
+    for i in range(len(sym.cls)):
+        if i in cuts:
+            learn()
+        cls, kind = int(sym.cls[i]), int(sym.kind[i])
+        blocks = [b[0].tolist() for b in sym.blocks(slice(i, i + 1), model.bits)]
+        for d in range(8):
+            bit, node, half = cls >> (7 - d) & 1, (1 << d | cls >> (8 - d)) + 256 * kind, d // 4
+            place = 1 << d | cls >> (8 - d) if d < 4 else 1 << (d - 4) | (cls & 15) >> (8 - d)
+            gate = (kind * 4 + int(model.tables[0][blocks[0][half]])) * 4 + int(model.tables[1][blocks[1][half]])
+            x = [float(code.base[node]), math.log(taken[node][1] / taken[node][0])]
+            x += [float(t[b[half] + place]) / 4096 for t, b in zip(model.tables, blocks, strict=True)] + [0.3]
+            if not code.free[node]:
+                continue
+            mixed = max(-7.99, min(7.99, sum(w[gate] * v for w, v in zip(weights, x, strict=True))))
+            p, bucket = 1 / (1 + math.exp(-mixed)), int(mixed * 1.5 + 12) + 24 * kind
+            final = max(1e-5, min(1 - 1e-5, 0.6 * p + 0.4 * refined[bucket]))
+            total -= math.log(final if bit else 1 - final)
+            block.append((gate, bit - p, x, bucket, bit, node))
+    return total
+
+
+def test_scores_match_a_plain_replay():
+    model = small_model()
+    rng = random.Random(4)
+    texts = [[rng.choice([b"a", b"b", b"c", b"zz", b"long" * 9]) for _ in range(n)] + [b"\n"] for n in (0, 3, 60, 900)]
+    assert np.allclose(nats(model, texts), [replay(model, t, model_state()) for t in texts], rtol=2e-3)
+
+
+def test_texts_learn_while_they_are_scored():
+    """Repeated words get cheaper, in short texts too, and a text is never reset."""
+    model = small_model()
+    cost = nats(model, [[b"c", b"c", b"b"] * n for n in (8, 16, 2000, 4000)])
+    assert cost[1] - cost[0] < 0.8 * cost[0] and cost[3] - cost[2] < cost[2]
+    assert all(np.diff(lm_mixing.steps(10**6)) <= np.maximum(lm_mixing.STEP, lm_mixing.steps(10**6)[:-1] / 16))
+
+
+def test_texts_side_by_side_score_as_alone():
+    model = small_model()
+    rng = random.Random(2)
+    texts = [[rng.choice([b"a", b"b", b"c", b"zz"]) for _ in range(n)] + [b"\n"] for n in (0, 1, 7, 300, 40, 300, 2000)]
+    assert np.allclose(nats(model, texts), [nats(model, [t])[0] for t in texts], rtol=1e-4)
+    assert len(nats(model, [])) == 0
+
+
 def test_scores_match_brute_force_base(spark):
     data = fixtures.rows()
     got = lm_mixing.score_texts(fixtures.docs(spark), bits=12, vocab=64).collect()
@@ -125,31 +216,3 @@ def test_model_beats_the_base_on_held_out_texts(spark):
     assert len(got) > 20
     assert sum(r["score"] for r in got) > 0.6 * sum(r["base_score"] for r in got)
     assert all(r["score"] > r["base_score"] for r in got)
-
-
-def small_model():
-    words = [(b"a", 5), (b"b", 3), (b"c", 2), (b"\n", 2)]
-    code = lm_mixing.Code(words, 3, np.ones(257, int))
-    rng = np.random.default_rng(1)
-    counts = [rng.integers(0, 50, (1 << 8, 2)) for _ in range(2)]
-    base = lm_mixing.node_counts(code, np.array([5, 3, 2, 2, 3]), np.ones(257))
-    return lm_mixing.Model(code, 8, base, [lm_mixing.slot_table(c) for c in counts])
-
-
-def test_short_texts_learn_while_they_are_scored():
-    """A text far below the former block of 4096 bits, coded by one frozen state and by the model."""
-    model = small_model()
-    text = [b"c", b"c", b"b"] * 200 + [b"\n"]
-    inputs, gate, bit = model.features(model.code.symbols(text))
-    assert len(bit) < 4096
-    frozen = model.state.copy().code(inputs, gate, bit)
-    assert model.nats(text, model.state.copy()) < 0.9 * frozen
-
-
-def test_texts_side_by_side_score_as_alone():
-    model = small_model()
-    rng = random.Random(2)
-    texts = [[rng.choice([b"a", b"b", b"c", b"zz"]) for _ in range(n)] + [b"\n"] for n in (0, 1, 7, 300, 40, 300, 2000)]
-    alone = [model.nats(t, model.state.copy()) for t in texts]
-    assert np.allclose(model.nats_of(texts), alone, rtol=1e-4)
-    assert model.nats_of([]) == []
