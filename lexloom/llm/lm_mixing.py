@@ -40,6 +40,7 @@ all words are spelled and all counts are zero. An empty table gives no rows.
 from __future__ import annotations
 
 import math
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -73,11 +74,14 @@ SCALE = np.float32(4096)
 PAIRS, PAIR_END = 1 << 16, 32 * 257
 M = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
-_depth, _class = np.arange(8), np.arange(256)[:, None]
-#: The eight decisions of each class: outcome, node of the tree (1..255), place in its half of the tree (1..15).
-BIT = ((_class >> (7 - _depth)) & 1).astype(np.float32)
-NODE = ((1 << _depth) | (_class >> (8 - _depth))).astype(np.int64)
-PLACE = np.concatenate([NODE[:, :4], (1 << _depth[:4]) | ((_class & 15) >> (4 - _depth[:4]))], axis=1).astype(np.int64)
+_depth, _half, _class = np.arange(4)[:, None], np.arange(16), np.arange(256)
+#: A class is two halves of four decisions. Of each half (4, 16): outcomes, places in the half's tree (1..15), and what a node adds.
+BIT = ((_half >> (3 - _depth)) & 1).astype(np.float32)
+LOW = _half >> (4 - _depth)
+PLACE = (1 << _depth) | LOW
+#: Nodes of the whole tree (1..255) on the way to each class, and whether it goes on to the upper side.
+NODE = (1 << np.arange(8)) | (_class[:, None] >> (8 - np.arange(8)))
+SIDE = (_class[:, None] >> (7 - np.arange(8))) & 1
 
 
 def table_bits(tokens: int) -> int:
@@ -117,7 +121,7 @@ class Code:
         self.share = np.full(512, 0.5, np.float32)
         for kind, mass in enumerate((whole, pairs)):
             n = np.bincount(NODE.reshape(-1), np.repeat(mass, 8), 256)
-            ones = np.bincount(NODE.reshape(-1), (mass[:, None] * BIT).reshape(-1), 256)
+            ones = np.bincount(NODE.reshape(-1), (mass[:, None] * SIDE).reshape(-1), 256)
             at = slice(256 * kind, 256 * kind + 256)
             self.free[at] = (ones > 0) & (ones < n)
             self.base[at] = logit_counts(n - ones, ones)
@@ -197,7 +201,7 @@ class Symbols:
         self.source = self.source[:, at]
 
     def blocks(self, rows: slice, bits: int) -> list[np.ndarray]:
-        """For each context the first slots (symbols, 2) of the halves of the tree."""
+        """For each context the first slots (2, symbols) of the halves of the tree."""
         a, b, c, d = (self.source[k, rows].astype(np.uint64) for k in range(4))
         kind = self.kind[rows].astype(np.uint64) * M[4]
         one = (a + kind + np.uint64(1)) * M[0]
@@ -209,10 +213,11 @@ class Symbols:
         shift, out = np.uint64(64 - (bits - 4)), []
         for h in (one, two, three, skip, classes):
             h ^= h >> np.uint64(31)
-            both = np.empty((len(h), 2), np.int64)
-            both[:, 0] = (h * M[1]) >> shift
-            both[:, 1] = ((h ^ half) * M[3]) >> shift
-            out.append(both << 4)
+            both = np.empty((2, len(h)), np.int64)
+            both[0] = (h * M[1]) >> shift
+            both[1] = ((h ^ half) * M[3]) >> shift
+            both <<= 4
+            out.append(both)
         return out
 
 
@@ -255,73 +260,77 @@ class Model:
         """
         code, bits = self.code, self.bits
         sizes = np.bincount(sym.text, minlength=texts)
-        rank = np.empty(texts, np.int64)
-        rank[np.argsort(-sizes, kind="stable")] = np.arange(texts)  # texts with symbols left come first
+        rank, by_rank = np.empty(texts, np.int64), np.argsort(-sizes, kind="stable")
+        rank[by_rank] = np.arange(texts)  # texts with symbols left come first
         cuts = steps(int(sizes.max(initial=0)))
-        step = (np.searchsorted(cuts, sym.place, "right") - 1).astype(np.int16)
-        own = rank[sym.text]
-        order = np.lexsort((own, step))
+        own, n_all = rank[sym.text], len(sym.cls)
+        first = np.cumsum(sizes[by_rank]) - sizes[by_rank]
+        order = np.empty(n_all, np.int64)
+        order[first[own] + sym.place] = np.arange(n_all)
+        step = (np.searchsorted(cuts, sym.place[order], "right") - 1).astype(np.int16)
+        by_step = np.argsort(step, kind="stable")
+        order, step = order[by_step], step[by_step]
         sym.take(order)
-        own, step = own[order], step[order]
+        own = own[order]
         ends = np.searchsorted(step, np.arange(len(cuts) - 1), "right").tolist()
         weights = [np.tile(w, texts) for w in state.weights]
         refined = np.tile(state.refined, texts)
-        taken = [np.tile(4 * (1 - code.share), texts), np.tile(4 * code.share, texts)]
+        taken = np.tile(np.stack([4 * (1 - code.share), 4 * code.share], axis=1).reshape(-1), texts)
         used = np.zeros(texts * GATES, np.float32) if learned is not None else None
         all_free = bool(code.free.reshape(2, 256)[:, 1:].all())
         loss = np.bincount(own, sym.tail, texts).astype(np.float64)
+        depth = np.arange(4)[:, None]
         at = 0
         for end in ends:
             rows, n = slice(at, end), end - at
             at = end
             if not n:
                 continue
-            text, kind, cls = own[rows], sym.kind[rows], sym.cls[rows]
-            live = int(text.max()) + 1
-            bit, node = BIT.take(cls, axis=0), NODE.take(cls, axis=0) + kind[:, None] * 256
-            free, cell = None if all_free else code.free.take(node), node + text[:, None] * 512
-            place = PLACE.take(cls, axis=0).reshape(n, 2, 4)
-            x = [code.base.take(node), np.log(taken[1].take(cell) / taken[0].take(cell))]
-            seen = []
+            # arrays over (decision of the half, halves): first all upper halves, then all lower ones
+            text, kind = np.tile(own[rows], 2), np.tile(sym.kind[rows], 2)
+            high = (sym.cls[rows] >> 4).astype(np.int64)
+            half = np.concatenate([high, sym.cls[rows] & 15])
+            top = np.concatenate([np.ones(n, np.int64), high | 16])
+            live = int(text[:n].max()) + 1
+            place, bit = PLACE.take(half, axis=1), BIT.take(half, axis=1)
+            node = (top << depth) + LOW.take(half, axis=1) + kind * 256
+            cell = (node + text * 512) * 2
+            x, seen = [code.base.take(node), np.log(taken.take(cell + 1) / taken.take(cell))], []
             for k, block in enumerate(sym.blocks(rows, bits)):
+                block = block.reshape(-1)
                 if k < 2:
                     seen.append(self.tables[k].take(block))
-                slots = (block[:, :, None] + place).reshape(n, 8)
-                x.append(self.tables[k].take(slots).astype(np.float32) * (1 / SCALE))
-            gate = (kind[:, None] * 4 + seen[0]) * 4 + seen[1] + text[:, None] * GATES  # (n, 2)
-            mixed = np.repeat(np.float32(0.3) * weights[-1].take(gate), 4, axis=1)
-            for w, values in zip(weights, x, strict=False):
-                mixed += values * np.repeat(w.take(gate), 4, axis=1)
+                x.append(self.tables[k].take(block + place).astype(np.float32) * (1 / SCALE))
+            gate = (kind * 4 + seen[0]) * 4 + seen[1] + text * GATES
+            mixed = x[0] * weights[0].take(gate)
+            for w, values in zip(weights[1:-1], x[1:], strict=True):
+                mixed += values * w.take(gate)
+            mixed += np.float32(0.3) * weights[-1].take(gate)
             mixed = np.clip(mixed, -LIMIT, LIMIT)
             p = 1 / (1 + np.exp(-mixed))
-            bucket = (mixed * np.float32(BUCKETS / 16) + np.float32(BUCKETS / 2)).astype(np.int64)
-            bucket += ((text * 2 + kind) * BUCKETS)[:, None]
+            bucket = (mixed * np.float32(BUCKETS / 16) + np.float32(BUCKETS / 2)).astype(np.int64) + (text * 2 + kind) * BUCKETS
             final = np.clip(np.float32(0.6) * p + np.float32(0.4) * refined.take(bucket), np.float32(1e-5), np.float32(1 - 1e-5))
-            cost, err, flat = np.log(np.abs(1 - bit - final)), bit - p, gate.reshape(-1)
-            if free is not None:
-                cost, err = cost * free, err * free
-            loss[:live] -= np.bincount(text, cost.sum(axis=1), live)
+            cost, err, hit, ones = np.log(np.abs(1 - bit - final)), bit - p, None, bit.reshape(-1)
+            if not all_free:
+                free = code.free.take(node)
+                cost, err, hit, ones = cost * free, err * free, free.reshape(-1), (bit * free).reshape(-1)
+            loss[:live] -= np.bincount(text, cost.sum(axis=0), live)
             # learn
-            err = err.reshape(-1, 4)
-            gates = live * GATES
-            uses = np.bincount(flat, minlength=gates)
+            gates, width = live * GATES, live * 2 * BUCKETS
+            uses = np.bincount(gate, minlength=gates)
             rate = (RATE / np.sqrt(1 + uses)).astype(np.float32)
             for w, values in zip(weights, x, strict=False):
-                w[:gates] += rate * np.bincount(flat, np.einsum("ij,ij->i", err, values.reshape(-1, 4)), gates)
-            weights[-1][:gates] += rate * np.bincount(flat, err @ np.full(4, 0.3, np.float32), gates)
-            many, width = bucket.reshape(-1), live * 2 * BUCKETS
-            hits = np.bincount(many, None if free is None else free.reshape(-1), width)
-            ones = np.bincount(many, (bit if free is None else bit * free).reshape(-1), width)
+                w[:gates] += rate * np.bincount(gate, (err * values).sum(axis=0), gates)
+            weights[-1][:gates] += rate * np.bincount(gate, np.float32(0.3) * err.sum(axis=0), gates)
+            hits, ones = np.bincount(bucket.reshape(-1), hit, width), np.bincount(bucket.reshape(-1), ones, width)
             refined[:width] += ((ones - hits * refined[:width]) / (hits + 60)).astype(np.float32)
-            flat_cell, flat_bit = cell.reshape(-1), bit.reshape(-1)
-            np.add.at(taken[1], flat_cell, flat_bit)
-            np.add.at(taken[0], flat_cell, 1 - flat_bit)
+            np.add.at(taken, (cell + bit.astype(np.int64)).reshape(-1), np.float32(1))
             if used is not None:
                 used[:gates] += uses
         if learned is not None:
             by_gate = used.reshape(texts, GATES)
             both = np.stack([(w.reshape(texts, GATES) * by_gate).sum(axis=0, dtype=np.float64) for w in weights])
-            learned.append((both, by_gate.sum(axis=0, dtype=np.float64), (refined.reshape(texts, -1) * sizes[np.argsort(rank)][:, None]).sum(axis=0, dtype=np.float64), float(sizes.sum())))
+            learned.append((both, by_gate.sum(axis=0, dtype=np.float64), (refined.reshape(texts, -1) * sizes[by_rank][:, None]).sum(axis=0, dtype=np.float64), float(sizes.sum())))
         return loss[rank]
 
 
@@ -381,7 +390,7 @@ def count_words(train: DataFrame) -> DataFrame:
 
 
 def look_up(index: dict[bytes, int], words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
-    ids = np.fromiter((index.get(w, -1) for w in words), np.int32, len(words))
+    ids = np.fromiter(map(index.get, words, repeat(-1)), np.int32, len(words))
     return ids, [words[i] for i in np.flatnonzero(ids < 0).tolist()]
 
 
@@ -421,7 +430,7 @@ def context_tables(train: DataFrame, rare: DataFrame, shared, bits: int) -> list
                 for at in range(0, len(sym.cls), 1 << 15):
                     part = slice(at, at + (1 << 15))
                     cls = sym.cls[part]
-                    outcome = np.stack([cls >> 4, cls & 15], axis=1)
+                    outcome = np.stack([cls >> 4, cls & 15])
                     for t, block in zip(tables, sym.blocks(part, bits), strict=True):
                         np.add.at(t, (block + outcome).reshape(-1), one)
 

@@ -146,7 +146,7 @@ def replay(model, words, state):
         if i in cuts:
             learn()
         cls, kind = int(sym.cls[i]), int(sym.kind[i])
-        blocks = [b[0].tolist() for b in sym.blocks(slice(i, i + 1), model.bits)]
+        blocks = [b[:, 0].tolist() for b in sym.blocks(slice(i, i + 1), model.bits)]
         for d in range(8):
             bit, node, half = cls >> (7 - d) & 1, (1 << d | cls >> (8 - d)) + 256 * kind, d // 4
             place = 1 << d | cls >> (8 - d) if d < 4 else 1 << (d - 4) | (cls & 15) >> (8 - d)
