@@ -61,7 +61,10 @@ STEP = 8
 #: Symbols that are coded side by side.
 GROUP = 1 << 18
 CHUNK = 1 << 16
+#: Texts whose words are counted at once.
+TEXT_BYTES = 8 << 20
 END = b"\n"
+GAPS = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
 CONTEXTS = 5
 INPUTS = CONTEXTS + 3
 GATES = 2 * 4 * 4
@@ -378,13 +381,33 @@ def groups(batches, column: int):
         yield held, words, np.concatenate(sizes)
 
 
+def word_array(texts: list) -> pa.Array:
+    """The words of all texts as one Arrow array, without Python objects."""
+    flat = np.frombuffer(b" ".join(t or b"" for t in texts).translate(BLANKS) + b" ", np.uint8)
+    inside = ~GAPS.take(flat)
+    change = np.flatnonzero(np.diff(inside, prepend=False))
+    offsets = np.concatenate([[0], np.cumsum(change[1::2] - change[0::2])]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(flat[inside])])
+
+
 def count_words(train: DataFrame) -> DataFrame:
     """Rows (word, c) over all training texts, written to the shared folder."""
 
+    def counted(texts: list) -> pa.RecordBatch:
+        counts = pc.value_counts(word_array(texts))
+        words, n = counts.field(0).to_pylist(), counts.field(1).to_pylist()
+        return pa.RecordBatch.from_arrays([pa.array([*words, END], pa.binary()), pa.array([*n, len(texts)], pa.int64())], names=["word", "c"])
+
     def run(batches):
-        for _, words, _ in groups(batches, 0):
-            counts = pc.value_counts(pa.array(words, pa.binary()))
-            yield pa.RecordBatch.from_arrays([counts.field(0), counts.field(1)], names=["word", "c"])
+        texts, size = [], 0
+        for b in batches:
+            texts += b.column(0).to_pylist()
+            size += b.column(0).nbytes
+            if size >= TEXT_BYTES:
+                yield counted(texts)
+                texts, size = [], 0
+        if texts:
+            yield counted(texts)
 
     return materialize(train.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
 
@@ -557,12 +580,15 @@ def score_texts(docs: DataFrame, bits: int | None = None, vocab: int = VOCAB, id
     def run(batches):
         model = shared.value
         logs = np.log10(model.code.counts + 0.1)
+        lengths = np.fromiter(map(len, model.code.index), np.int64, len(model.code.index))
         row = TaskContext.get().partitionId() << 33
         for held, words, sizes in groups(batches, 1):
             ids, unknown = look_up(model.code.index, words)
             n, text = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
             nats = model.nats(model.code.symbols(ids, sizes, unknown), n, state)
-            n_bytes = np.bincount(text, np.fromiter(map(len, words), np.int64, len(words)) + 1, n).astype(np.int64) - 1
+            size = lengths[ids]
+            size[ids < 0] = np.fromiter(map(len, unknown), np.int64, len(unknown))
+            n_bytes = np.bincount(text, size + 1, n).astype(np.int64) - 1
             inside = ids >= 0 if trained else np.zeros(len(ids), bool)
             rest = [words[i] for i in np.flatnonzero(~inside).tolist()]
             known = np.bincount(text[inside], minlength=n)

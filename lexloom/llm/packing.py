@@ -4,20 +4,22 @@
    longer ones are cut, into pieces of ``capacity`` whose first may be shorter.
    Pieces and their ids are written to the shared folder once.
 2. ``plan_packing``: the histogram of piece lengths (at most ``capacity``
-   counts, whatever the corpus) is planned on the driver. Large lengths are
-   sorted into equal-cardinality groups and rounded up to the group's largest;
-   configurations of these few sizes are optimised by column generation (a
-   knapsack prices new configurations); actual lengths are then substituted for
-   the rounded ones, and small pieces and the rounding's leftovers go best-fit,
-   largest first, into the fullest sequences that take them. Everything works
-   on runs of equal sequences, so time and the plan's size depend on
-   ``capacity`` and ``groups`` only.
+   counts, whatever the corpus) is planned on the driver. Large lengths (over a
+   quarter of the capacity) are sorted into equal-cardinality groups and rounded
+   up to the group's largest; configurations of these few sizes, and of the space
+   they leave to small pieces, are optimised by column generation; actual lengths
+   are then substituted for the rounded ones, and small pieces and the rounding's
+   leftovers go best-fit, largest first, into the fullest sequences that take
+   them. Everything works on runs of equal sequences, so time and the plan's size
+   depend on ``capacity`` and ``groups`` only.
 3. ``place``: the plan, of bounded size, is broadcast. A piece's rank among
    pieces of its length is its rank in its partition plus a prefix sum over
-   partitions, so no length is gathered anywhere.
+   partitions (a shuffle join), so no length is gathered anywhere.
 
-Null texts count as empty: a single end id. Rows may repeat, each is packed. An
-empty table packs to nothing.
+Null texts count as empty: a single end id. Very long texts are encoded whole;
+runs too long for the fast engine go to the library. Ids may be null, repeated
+or of any type; rows may repeat, each is packed; other columns are ignored,
+whatever their names. An empty table packs to nothing.
 """
 
 from __future__ import annotations
@@ -32,22 +34,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .common import materialize, prepare
-from .token_count import load_spec, merge_engine
+from .token_count import load_spec, merge_engine, open_library
 
-PIECES = "part int, rank long, id long, piece int, start long, length long, ids binary"
+#: Units in 1024 that best fit leaves free in a sequence with small pieces.
+SLACK = 8
+PIECES = "part int, rank long, id {id}, piece int, start long, length long, ids binary"
 
 
 def encoder(spec: dict | None, path: str):
     """text -> uint32 ids, as the tokenizers library gives them."""
-    if spec:
-        engine = merge_engine(spec)
-        return lambda text: engine.encode_to_numpy(text, allowed_special="all")
-    from tokenizers import Tokenizer
+    library: list = []
 
-    tok = Tokenizer.from_file(path)
-    tok.no_truncation()
-    tok.no_padding()
-    return lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, "<u4")
+    def slow(text):
+        if not library:
+            library.append(open_library(path, spec))
+        return np.array(library[0].encode(text, add_special_tokens=False).ids, "<u4")
+
+    if not spec:
+        return slow
+    engine = merge_engine(spec)
+
+    def fast(text):
+        try:
+            return engine.encode_to_numpy(text, allowed_special="all")
+        except ValueError:  # a run of blanks beyond the engine's stack
+            return slow(text)
+
+    return fast
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id",
@@ -60,69 +73,103 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024,
     spark = docs.sparkSession
     prepare(spark)
     spec = spark.sparkContext.broadcast(load_spec(tokenizer_path))
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-    names = [f.split()[0] for f in PIECES.split(", ")]
+    src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    schema = PIECES.format(id=src.schema["id"].dataType.simpleString())
+    kinds = [pa.int32(), pa.int64(), None, pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches):
         encode, part, seen = encoder(spec.value, tokenizer_path), TaskContext.get().partitionId(), [0] * (capacity + 1)
         end = np.array([end_id], "<u4")
         for b in batches:
-            out = [[] for _ in names]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            out, rows = [[] for _ in names], []
+            for row, text in enumerate(b.column(1).to_pylist()):
                 ids = np.concatenate([encode(text), end]).astype("<u4", copy=False)
                 cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
                 for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    for col, v in zip(out, (part, seen[y - x], doc, k, x, y - x, ids[x:y].tobytes()), strict=True):
+                    for col, v in zip(out, (part, seen[y - x], None, k, x, y - x, ids[x:y].tobytes()), strict=True):
                         col.append(v)
+                    rows.append(row)
                     seen[y - x] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
-
-    return materialize(src.mapInArrow(run, PIECES), "pieces")
-
-
-def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """Best multiset of sizes within the capacity: (value, how many of each)."""
-    best = np.zeros(capacity + 1)
-    pick = np.full(capacity + 1, -1)
-    least = int(sizes.min())
-    for c in range(least, capacity + 1):
-        fit = sizes <= c
-        gain = np.where(fit, best[c - np.minimum(sizes, c)] + values, -1.0)
-        g = int(gain.argmax())
-        if gain[g] > best[c - 1] + 1e-12:
-            best[c], pick[c] = gain[g], g
-        else:
-            best[c] = best[c - 1]
-    count, c = np.zeros(len(sizes), np.int64), capacity
-    while c >= least:
-        if pick[c] < 0:
-            c -= 1
-            continue
-        count[pick[c]] += 1
-        c -= int(sizes[pick[c]])
-    return float(best[capacity]), count
-
-
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 1500) -> list[tuple[np.ndarray, int]]:
-    """Configurations of few sizes and their multiplicities, rounded down.
-
-    Solves min sum x with (sizes in configurations) x >= demand by revised
-    simplex; new columns are priced by ``knapsack``.
+            arrays = [b.column(0).take(pa.array(rows, pa.int64())) if t is None else pa.array(c, t) for c, t in zip(out, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return materialize(src.mapInArrow(run, schema), "pieces")
+
+
+def fill(space, capacity: int):
+    """Units of a free space that small pieces are counted on to fill; ``SLACK`` of them stay free."""
+    return np.maximum(space - SLACK * capacity // 1024, 0)
+
+
+def best_column(sizes: np.ndarray, values: np.ndarray, space_value: float, capacity: int) -> tuple[float, list[int]]:
+    """The most valuable set of at most three sizes, all over a quarter of the capacity: (value, indices).
+
+    What small pieces fill of the free space is worth ``space_value`` a unit.
     """
-    basis = np.diag((capacity // sizes).astype(float))
-    for _ in range(rounds):
-        duals = np.linalg.solve(basis.T, np.ones(len(sizes)))
-        value, column = knapsack(sizes, np.maximum(duals, 0), capacity)
-        if value <= 1 + 1e-7:
-            break
-        x, step = np.linalg.solve(basis, demand.astype(float)), np.linalg.solve(basis, column.astype(float))
+    wide, gain = np.append(sizes, 0), np.append(values, 0.0)  # the last entry is no piece at all
+    space = np.arange(capacity + 1)
+    left = space[:, None] - wide[None, :]
+    last = np.where(left >= 0, gain[None, :] + space_value * fill(left, capacity), -np.inf)  # the last piece, by the space it finds
+    best = last.max(axis=1)
+    room = capacity - wide[:, None] - wide[None, :]
+    value = gain[:, None] + gain[None, :] + np.where(room >= 0, best[np.maximum(room, 0)], -np.inf)
+    i, j = divmod(int(value.argmax()), len(wide))
+    k = int(last[room[i, j]].argmax())
+    return float(value[i, j]), [x for x in (i, j, k) if x < len(sizes)]
+
+
+def configurations(sizes: np.ndarray, demand: np.ndarray, small: int, capacity: int, rounds: int = 4000) -> list[tuple[np.ndarray, int]]:
+    """Configurations of at most three sizes and their multiplicities, rounded down.
+
+    Solves min sum x such that the configurations hold ``demand`` pieces of each
+    size and their free space, with sequences of small pieces alone, holds
+    ``small`` units, by revised simplex; ``best_column`` prices new columns.
+    """
+    n = len(sizes)
+    need = np.append(demand, small / capacity).astype(float)
+    columns: list = [[i] * (capacity // int(sizes[i])) for i in range(n)] + [[]]
+
+    def dense(column):
+        out = np.zeros(n + 1)
+        np.add.at(out, column, 1.0)
+        out[n] = fill(capacity - sizes[column].sum(), capacity) / capacity if column else 1.0
+        return out
+
+    basis = np.stack([dense(c) for c in columns], axis=1)
+    # free space that nothing fills is no loss: the row of small pieces starts covered
+    inverse = np.linalg.inv(basis)
+    if (inverse @ need)[n] < 0:
+        basis[:, n], columns[n] = np.append(np.zeros(n), -1.0), None
+        inverse = np.linalg.inv(basis)
+    cost = np.array([0.0 if c is None else 1.0 for c in columns])
+    for turn in range(rounds):
+        duals = cost @ inverse
+        if duals[n] < -1e-9:  # unused free space enters
+            value, column, entering = -duals[n], None, np.append(np.zeros(n), -1.0)
+        else:
+            value, column = best_column(sizes, duals[:n], duals[n] / capacity, capacity)
+            if value <= 1 + 1e-7:
+                break
+            entering = dense(column)
+        x, step = inverse @ need, inverse @ entering
         ratio = np.where(step > 1e-9, np.maximum(x, 0) / np.where(step > 1e-9, step, 1), np.inf)
-        if not np.isfinite(ratio.min()):
+        leave = int(ratio.argmin())
+        if not np.isfinite(ratio[leave]):
             break
-        basis[:, int(ratio.argmin())] = column
-    x = np.maximum(np.linalg.solve(basis, demand.astype(float)), 0)
-    return [(basis[:, j].round().astype(np.int64), int(np.floor(x[j] + 1e-9))) for j in range(len(sizes)) if x[j] >= 1 - 1e-9]
+        basis[:, leave], columns[leave], cost[leave] = entering, column, 0.0 if column is None else 1.0
+        if turn % 64 == 63:
+            inverse = np.linalg.inv(basis)
+        else:
+            row = inverse[leave] / step[leave]
+            inverse -= np.outer(step, row)
+            inverse[leave] = row
+    x = np.maximum(np.linalg.inv(basis) @ need, 0)
+    out = []
+    for column, times in zip(columns, x.tolist(), strict=True):
+        if column and times >= 1 - 1e-9:
+            out.append((np.bincount(column, minlength=n), int(times + 1e-9)))
+    return out
 
 
 class Plan:
@@ -180,21 +227,16 @@ class Plan:
             self.keep(base + whole, m - whole, space)
 
 
-def plan_packing(histogram: dict[int, int], capacity: int = 1024, groups: int = 64, shares: tuple = (2, 3, 4, 6)) -> Plan:
-    """The plan with the fewest sequences over several bounds of small lengths.
+def plan_packing(histogram: dict[int, int], capacity: int = 1024, groups: int = 256) -> Plan:
+    """Linear grouping of the lengths over a quarter of the capacity, best fit of the rest.
 
-    The bound is the scheme's one free choice: rounding wastes up to a group's
-    width for each large piece, which only enough small pieces can fill.
+    Rounding wastes at most a group's width for each large piece; with ``groups``
+    equal-cardinality groups that is a few units of a sequence.
     """
-    return min((group_and_fit(histogram, capacity, groups, s) for s in shares), key=lambda plan: plan.sequences)
-
-
-def group_and_fit(histogram: dict[int, int], capacity: int, groups: int, small: int) -> Plan:
-    """Linear grouping of the lengths over capacity/small, best fit of the rest."""
     plan, left = Plan(capacity), {n: c for n, c in histogram.items() if c}
     if full := left.pop(capacity, 0):
         plan.put(capacity, full, plan.new(full), full, 0)
-    large = sorted((n for n in left if n > capacity // small), reverse=True)
+    large = sorted((n for n in left if n > capacity // 4), reverse=True)
     total = sum(left[n] for n in large)
     if total:
         # equal-cardinality groups over the sorted pieces; a length may lie in several
@@ -208,7 +250,8 @@ def group_and_fit(histogram: dict[int, int], capacity: int, groups: int, small:
                 at, c = at + take, c - take
         sizes = np.array(sorted(queues, reverse=True))
         demand = np.array([sum(c for _, c in queues[s]) for s in sizes.tolist()])
-        for config, m in configurations(sizes, demand, capacity):
+        small = sum(n * c for n, c in left.items() if n <= capacity // 4)
+        for config, m in configurations(sizes, demand, small, capacity):
             slots = [int(s) for s, c in zip(sizes, config, strict=True) for _ in range(c)]
             done = 0
             while done < m:
@@ -242,7 +285,7 @@ def group_and_fit(histogram: dict[int, int], capacity: int, groups: int, small:
     return plan
 
 
-def place(pieces: DataFrame, capacity: int = 1024, groups: int = 64) -> DataFrame:
+def place(pieces: DataFrame, capacity: int = 1024, groups: int = 256) -> DataFrame:
     """``pieces`` (with part, rank, length) plus sequence_id and offset."""
     spark = pieces.sparkSession
     counts = materialize(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "counts")
@@ -264,12 +307,13 @@ def place(pieces: DataFrame, capacity: int = 1024, groups: int = 64) -> DataFram
             yield pa.RecordBatch.from_arrays(
                 [*cols, pa.array(row[:, 3] + turn % row[:, 2]), pa.array(row[:, 4] + turn // row[:, 2] * length)], names=[*names, "sequence_id", "offset"])
 
-    ranked = pieces.join(base, ["part", "length"]).withColumn("all_rank", F.col("rank") + F.col("before")).drop("before")
+    # the table of tasks and lengths grows with the tasks, so it is never broadcast
+    ranked = pieces.join(base.hint("shuffle_hash"), ["part", "length"]).withColumn("all_rank", F.col("rank") + F.col("before")).drop("before")
     schema = ", ".join(f"`{n}` {t}" for n, t in ranked.drop("all_rank").dtypes)
     return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, groups: int = 64, id_col: str = "doc_id",
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, groups: int = 256, id_col: str = "doc_id",
          text_col: str = "text") -> DataFrame:
     """Every piece with its ids, its sequence and its place there."""
     return place(tokenize_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), capacity, groups)

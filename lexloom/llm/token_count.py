@@ -10,7 +10,8 @@ and its count is remembered in a bounded cache.
 no post-processor) take this route; any other file is counted by its library
 directly. Special strings inside texts are one token each, as is the library's
 default. Null texts count as empty; empty texts have no tokens; very long
-texts are processed whole.
+texts and runs are processed whole; ids may be null, repeated or of any type;
+other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -62,7 +63,17 @@ def load_spec(path: str) -> dict | None:
     if not ordered:
         return None
     whole = encoded_alone(path, ranks)
-    return {"ranks": ranks, "special": special, "whole": whole} if whole is not None else None
+    return {"ranks": ranks, "special": special, "whole": whole, "file": json.dumps(spec)} if whole is not None else None
+
+
+def open_library(path: str, spec: dict | None = None):
+    """The file's tokenizer, without truncation or padding; from the spec's copy of the file if there is one."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_str(spec["file"]) if spec else Tokenizer.from_file(path)
+    tok.no_truncation()
+    tok.no_padding()
+    return tok
 
 
 def encoded_alone(path: str, ranks: dict[bytes, int]) -> set[str] | None:
@@ -96,12 +107,17 @@ def whole_tokens(spec: dict) -> set[str]:
 class Counts(dict):
     """Tokens by pre-token: whole tokens for good, merged ones up to a bound."""
 
-    def __init__(self, whole, engine):
+    def __init__(self, spec, whole):
         super().__init__((w, 1) for w in whole)
-        self.engine, self.learned, self.whole = engine, 0, frozenset(whole)
+        self.spec, self.learned, self.whole = spec, 0, frozenset(whole)
+        self.engine, self.library = merge_engine(spec), None
 
     def __missing__(self, piece: str) -> int:
-        n = len(self.engine._encode_single_piece(piece))
+        try:
+            n = len(self.engine.encode_to_numpy(piece, disallowed_special=()))  # a pre-token is cut no further
+        except ValueError:  # a run of blanks beyond the engine's stack
+            self.library = self.library or open_library("", self.spec)
+            n = len(self.library.encode(piece, add_special_tokens=False).ids)
         if self.learned >= CACHE:
             self.clear()
             self.update((w, 1) for w in self.whole)
@@ -115,7 +131,7 @@ class Counter:
     def __init__(self, spec: dict, whole):
         self.find = regex.compile(PRE_TOKEN).findall
         self.special = regex.compile("|".join(map(regex.escape, sorted(spec["special"], key=len, reverse=True)))) if spec["special"] else None
-        self.counts = Counts(whole, merge_engine(spec))
+        self.counts = Counts(spec, whole)
 
     def count(self, text: str | None) -> int:
         if not text:
@@ -129,21 +145,17 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     """Rows (id, n_bytes, n_tokens), one per row of ``docs``."""
     spark = docs.sparkSession
     prepare(spark)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     spec = load_spec(tokenizer_path) if tokenizer_path.endswith(".json") else None
     shared = spark.sparkContext.broadcast((spec, whole_tokens(spec)) if spec else None)  # a vocabulary: its size is fixed
-    schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
+    names = ["id", "n_bytes", "n_tokens"]
 
     def run(batches):
         if shared.value:
             counter = Counter(*shared.value)
             count = lambda texts: [counter.count(t) for t in texts]
         elif tokenizer_path.endswith(".json"):
-            from tokenizers import Tokenizer
-
-            tok = Tokenizer.from_file(tokenizer_path)
-            tok.no_truncation()
-            tok.no_padding()
+            tok = open_library(tokenizer_path)
             count = lambda texts: [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
         else:
             import sentencepiece
@@ -152,6 +164,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             count = lambda texts: [len(x) for x in sp.encode(texts, num_threads=1)]
         for b in batches:
             texts = b.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(count(texts), pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(count(texts), pa.int64())], names=names)
 
-    return src.mapInArrow(run, "id long, n_bytes long, n_tokens long")
+    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, n_bytes long, n_tokens long")

@@ -145,6 +145,27 @@ def test_plan_is_close_to_the_bound():
     assert packing.plan_packing({}).sequences == 0
 
 
+def test_most_large_pieces_share_a_configuration():
+    """On lengths like a corpus's: configurations of two or more large pieces, close to the bound."""
+    rng = np.random.default_rng(2)
+    histogram = Counter(np.concatenate([rng.integers(1, 1024, 40_000), np.minimum(rng.lognormal(5.8, 0.9, 40_000).astype(int) + 1, 1024)]).tolist())
+    histogram.pop(1024)
+    assert check_plan(histogram) <= 1.003 * -(-sum(k * c for k, c in histogram.items()) // 1024)
+    large = np.array(sorted((n for n in histogram if n > 256), reverse=True))
+    found = packing.configurations(large[::3], np.full(len(large[::3]), 300), 10**6, 1024)
+    pieces = [(int(c.sum()), m * int(c.sum())) for c, m in found]
+    assert sum(n for k, n in pieces if k >= 2) > 0.6 * sum(n for _, n in pieces)
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "a" + " " * 1_000_000 + "b\n" + "\t" * 700_000 + "x", "ab" * 300_000])
+def test_very_long_runs_are_encoded_as_the_library_does(spark, library, text):
+    ids = library.encode(text, add_special_tokens=False).ids
+    encode = packing.encoder(token_count.load_spec(PATH), PATH)
+    same = encode(text).tolist() == ids
+    assert same
+    assert shortcut()[0].count(text) == len(ids)
+
+
 def test_pieces_round_trip(spark, library):
     packed = packing.pack(fixtures.docs(spark), PATH, 1024, 2).collect()
     texts = Counter()
