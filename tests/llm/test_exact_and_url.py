@@ -1,18 +1,20 @@
 import hashlib
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from lexloom.llm import exact_dedup, url_filter
 from lexloom.llm.queries import RULES
 
 from . import fixtures
 
 
-def test_exact_duplicates_match_brute_force(spark):
+def check_classes(spark, **kw):
     data = fixtures.rows()
     groups = defaultdict(list)
     for r in data:
         groups[r[1] or ""].append(r[0])
-    got = exact_dedup.exact_duplicates(fixtures.docs(spark), bucket_bytes=2000, max_depth=6).collect()
+    got = exact_dedup.exact_duplicates(fixtures.docs(spark), **kw).collect()
     assert len(got) == len(data)
     texts = {hashlib.sha256(t.encode()).hexdigest(): t for t in groups}
     for r in got:
@@ -22,16 +24,37 @@ def test_exact_duplicates_match_brute_force(spark):
         assert r["keep_id"] == (max(known) if known else None)
     kept = [bytes(r["sha"]).hex() for r in got if r["kept"]]
     assert sorted(kept) == sorted(texts)
+    return got
+
+
+def test_exact_duplicates_match_brute_force(spark):
+    got = check_classes(spark, bucket_bytes=2000)
+    assert len({r["bucket"] for r in got}) > 2 and {r["chain"] for r in got} == {1}
+
+
+def test_colliding_hashes_are_chained_and_compared(spark, monkeypatch):
+    """Five hashes for all texts: long chains, and buckets that split at the last bits only."""
+    monkeypatch.setattr(exact_dedup, "text_hash", lambda t: F.pmod(F.length(t), F.lit(5)).cast("long"))
+    got = check_classes(spark, bucket_bytes=500)
+    for h in {r["h"] for r in got}:
+        chain = {r["chain"]: bytes(r["sha"]) for r in got if r["h"] == h}
+        assert sorted(chain) == list(range(1, len(set(chain.values())) + 1))
+    assert len({r["h"] for r in got}) == 5 and len({r["bucket"] for r in got}) > 1
+    kept = exact_dedup.drop_exact_duplicates(fixtures.docs(spark), bucket_bytes=500).collect()
+    assert sorted(r["text"] or "" for r in kept) == sorted({r[1] or "" for r in fixtures.rows()})
 
 
 def test_overfull_buckets_split(spark):
-    keys = exact_dedup.text_keys(fixtures.docs(spark))
-    slots = exact_dedup.directory(keys, bucket_bytes=2000, max_depth=6).collect()
-    assert len(slots) == 64
-    for r in slots:
-        assert r["bucket"] <= r["slot"] < r["bucket"] + 2 ** (6 - r["depth"])
-    assert len({r["bucket"] for r in slots}) > 2
-    assert {r["depth"] for r in exact_dedup.directory(keys, max_depth=6).collect()} == {0}
+    rows = exact_dedup.records(fixtures.docs(spark))
+    slots, bits = exact_dedup.directory(rows, 2000)
+    depths = {r["slot"]: r["depth"] for r in slots.collect()}
+    assert sorted(depths) == list(range(2 ** bits)) and max(depths.values()) >= bits > 1
+    buckets = defaultdict(dict)
+    for r in exact_dedup.with_bucket(rows, slots, bits).collect():
+        buckets[r["bucket"]][r["h"]] = r["bytes"]
+    assert all(sum(b.values()) <= 2000 or len(b) == 1 for b in buckets.values())
+    slots, bits = exact_dedup.directory(rows)
+    assert bits == 0 and [tuple(r) for r in slots.collect()] == [(0, 0)]
 
 
 def test_drop_keeps_columns_and_one_row_each(spark):
