@@ -4,14 +4,15 @@ Rules are (host, path, verdict). Their keys ``host + path`` are hashed with
 64-bit xxhash; the digests, sorted, form one file together with the full keys
 and verdicts. Executors fetch that file through Spark and memory-map it, so
 its pages are shared by all workers of a machine and only touched pages are
-resident. A url's candidate keys (its host and every parent domain, times the
-path lengths that occur in rules) are probed in one vectorised binary search
-per batch; a digest hit counts only if the stored full string is equal, and
+resident. A url's candidate keys (its host or a parent domain with a prefix of
+the path, of lengths that occur together in a rule) are probed in one vectorised
+binary search per batch; a digest hit counts only if the stored full string is equal, and
 all entries of an equal digest are compared. The longest fitting key wins; if
 none fits, the verdict is ``default``.
 
 Null urls, or urls without ``://``, have an empty host and path and get the
-default. Hosts without labels, ports, user parts and unusual characters are
+default. Very long hosts and paths are read whole; as only the rules' lengths are
+probed, their work and memory do not grow with the square of their labels. Hosts without labels, ports, user parts and unusual characters are
 compared literally. Repeated rules: the last verdict in order of (key,
 verdict) wins. Rows are independent: repeated rows, extra columns and empty
 tables need no care.
@@ -34,8 +35,6 @@ from .common import prepare, shared_root, write_bytes
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SPLIT = re.compile(r"([^/?#]*)([^?#]*)")
-#: Path lengths probed one by one; rule sets with more probe every prefix.
-MAX_LENGTHS = 256
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -47,9 +46,16 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 def pack_rules(rules) -> bytes:
-    """File image: count, digests, key offsets, verdict bytes, path lengths, keys."""
+    """File image: count, digests, key offsets, path lengths, host lengths, verdict bytes, keys.
+
+    Rules without a host, or with a path that does not begin with a slash, fit nothing and are left out.
+    """
     table = {}
     for host, path, verdict in sorted(rules):
+        if verdict not in ("block", "allow"):
+            raise ValueError(f"unknown verdict {verdict!r} of rule {host}{path}")
+        if not host or path and path[0] != "/":
+            continue
         table[host.translate(LOWER) + path] = (verdict, len(path), len(host))
     keys = sorted(table, key=lambda k: (xxhash.xxh64_intdigest(k.encode()), k))
     blob = [k.encode() for k in keys]
@@ -57,7 +63,7 @@ def pack_rules(rules) -> bytes:
     offsets = np.zeros(len(keys) + 1, "<u8")
     np.cumsum([len(b) for b in blob], out=offsets[1:])
     verdicts = np.array([table[k][0] == "block" for k in keys], "u1")
-    lengths = np.array([table[k][1] for k in keys], "<u4")
+    lengths = np.array([table[k][1:] for k in keys], "<u4").reshape(-1, 2).T
     return b"".join([struct.pack("<Q", len(keys)), digests.tobytes(), offsets.tobytes(), lengths.tobytes(),
                      verdicts.tobytes(), *blob])
 
@@ -75,10 +81,15 @@ class DigestArray:
         at += 8 * (n + 1)
         self.path_lengths = raw[at:at + 4 * n].view("<u4")
         at += 4 * n
+        host_lengths = raw[at:at + 4 * n].view("<u4")
+        at += 4 * n
         self.blocked = raw[at:at + n]
         self.keys = raw[at + n:]
         self.n = n
-        self.lengths = np.unique(self.path_lengths).tolist()
+        #: (host length, path lengths) that occur in rules: nothing else is probed
+        self.shapes: dict[int, list[int]] = {}
+        for h, p in np.unique(np.stack([host_lengths, self.path_lengths], axis=1), axis=0).tolist():
+            self.shapes.setdefault(h, []).append(p)
 
     def probe(self, keys: list[bytes]) -> np.ndarray:
         """Entry of each key, -1 if it is not stored."""
@@ -105,17 +116,15 @@ class DigestArray:
             host, path = split_url(url)
             hosts.append(host)
             paths.append(path)
-            lengths = self.lengths if len(self.lengths) <= MAX_LENGTHS else range(len(path) + 1)
-            ends = [path[:n] for n in lengths if n <= len(path)]
-            at = 0
-            while host:
-                suffix = host[at:]
-                for end in ends:
-                    keys.append((suffix + end).encode("utf-8", "surrogatepass"))
+            for h, lengths in self.shapes.items():
+                at = len(host) - h
+                if at < 0 or at and host[at - 1] != ".":
+                    continue
+                for n in lengths:
+                    if n > len(path):
+                        break
+                    keys.append((host[at:] + path[:n]).encode("utf-8", "surrogatepass"))
                     owner.append(i)
-                at = host.find(".", at) + 1
-                if not at or at >= len(host):
-                    break
         rules, verdicts = [None] * len(urls), [default] * len(urls)
         best = [(-1, -1)] * len(urls)
         found = self.probe(keys)
@@ -139,17 +148,17 @@ def publish_rules(spark: SparkSession, rules) -> str:
 
 
 def filter_urls(pages: DataFrame, rules, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """Rows (id, host, path, rule, verdict), one per row of ``pages``."""
+    """Rows (id, host, path, rule, verdict), one per row of ``pages``; ids of any type."""
     spark = pages.sparkSession
     prepare(spark)
     name = publish_rules(spark, list(rules))
     src = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
-    schema = pa.schema([("id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string())])
+    names = ["id", "host", "path", "rule", "verdict"]
 
     def judge(batches):
         array = DigestArray(SparkFiles.get(name))
         for b in batches:
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(pa.int64()), *(pa.array(x, pa.string()) for x in array.judge(b.column(1).to_pylist(), default))], schema=schema)
+                [b.column(0), *(pa.array(x, pa.string()) for x in array.judge(b.column(1).to_pylist(), default))], names=names)
 
-    return src.mapInArrow(judge, "id long, host string, path string, rule string, verdict string")
+    return src.mapInArrow(judge, f"id {src.schema['id'].dataType.simpleString()}, host string, path string, rule string, verdict string")

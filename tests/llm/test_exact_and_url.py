@@ -1,6 +1,7 @@
 import hashlib
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexloom.llm import exact_dedup, url_filter
@@ -98,6 +99,18 @@ def test_url_filter_matches_brute_force(spark):
     assert {r["verdict"] for r in url_filter.filter_urls(df, [], "allow").collect()} == {"allow"}
 
 
+def test_very_long_hosts_and_paths(spark):
+    host = "a." * 200_000 + "example.net"
+    df = spark.createDataFrame([("p", f"http://{host}/en/" + "x/" * 200_000), (None, "http://" + "net." * 100_000 + "net?"), ("p", "http://" + "y" * 300_000)],
+                               "page_id string, url string")
+    rules = [*RULES, *[("a.b", "/" + "x" * n, "block") for n in range(400)], ("", "/", "block"), ("net", "en", "block")]
+    got = url_filter.filter_urls(df, rules).collect()
+    assert [(r["id"], r["rule"], r["verdict"]) for r in got] == [("p", "example.net/en/", "allow"), (None, None, "allow"), ("p", None, "allow")]
+    assert got[0]["host"] == host
+    with pytest.raises(ValueError):
+        url_filter.pack_rules([("a", "/", "maybe")])
+
+
 def test_digest_collisions_are_told_apart(tmp_path):
     path = tmp_path / "rules.bin"
     path.write_bytes(url_filter.pack_rules([("a.b", "/", "block"), ("c.d", "/x", "allow")]))
