@@ -17,8 +17,9 @@ The pattern set is a stated query set: it is processed in blocks of at most
 ``block_words`` benchmark words, one pass over the documents for each, so that
 what a task holds has a fixed bound; usually one block is enough.
 
-Null and empty texts have no words and no hits; null or empty items have no
-windows; repeated items or ids are one item; very long texts are searched in
+Null and empty texts have no words and no hits; items of null or empty text have
+no windows; ids of documents and items may be of any type and null, and an item
+without an id hits but is not listed; repeated items or ids are one item; very long texts are searched in
 full; documents may repeat, each row has its own result.
 """
 
@@ -31,12 +32,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import ALNUM, lower_words, prepare
+from .common import ALNUM, lower_words, materialize, prepare
 
 LANE = 512
 BATCH_WORDS = 1 << 19
-TABLE_BITS = 17
+#: The shift table has at least so many slots for each pattern: overlapping windows share most of their blocks.
+SPARSE = 8
 
 
 class WuManber:
@@ -45,16 +48,17 @@ class WuManber:
     def __init__(self, patterns: np.ndarray):
         self.patterns, (n, self.m) = patterns, patterns.shape
         self.block = min(2, self.m)
-        self.shift = np.full(1 << TABLE_BITS, self.m - self.block + 1, np.int32)
+        self.bits = max(10, (SPARSE * n).bit_length())
+        self.shift = np.full(1 << self.bits, self.m - self.block + 1, np.int32)
         for j in range(self.block - 1, self.m):
             np.minimum.at(self.shift, self._hash(patterns[:, j - self.block + 1], patterns[:, j]), self.m - 1 - j)
         suffix = self._hash(patterns[:, self.m - self.block], patterns[:, self.m - 1])
         self.order = np.argsort(suffix, kind="stable")
-        self.start = np.searchsorted(suffix[self.order], np.arange((1 << TABLE_BITS) + 1))
+        self.start = np.searchsorted(suffix[self.order], np.arange((1 << self.bits) + 1)).astype(np.int32)
 
     def _hash(self, a, b):
         mixed = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-        return ((mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        return ((mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def find(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(last position, pattern) of every occurrence in ``text``."""
@@ -129,7 +133,7 @@ class Matcher:
             for d, e, p in zip(doc.tolist(), (end - begin[doc]).tolist(), pat.tolist(), strict=True):
                 spans[d].append((e - searcher.m + 1, e + 1))
                 items[d].update(owner[p])
-        return [(int(n), merge_spans(s), sorted({self.items[i] for i in it})) for n, s, it in zip(lengths, spans, items, strict=True)]
+        return [(int(n), merge_spans(s), sorted({self.items[i] for i in it} - {None})) for n, s, it in zip(lengths, spans, items, strict=True)]
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -144,7 +148,7 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> list[DataFrame]:
     """The items (item, text) in blocks of bounded size."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-chars // (4 * block_words)))
     return [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b) if n > 1 else items for b in range(n)]
@@ -160,7 +164,7 @@ def _hits(matcher):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id",
-                      item_text_col: str = "text", block_words: int = 2_000_000) -> DataFrame:
+                      item_text_col: str = "text", block_words: int = 250_000) -> DataFrame:
     """The rows of ``docs`` in which no window of the benchmark occurs, columns unchanged."""
     spark = docs.sparkSession
     prepare(spark)
@@ -175,7 +179,7 @@ SPANS = "array<struct<start:long,end:long>>"
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text",
-                       item_col: str = "item_id", item_text_col: str = "text", block_words: int = 2_000_000) -> DataFrame:
+                       item_col: str = "item_id", item_text_col: str = "text", block_words: int = 250_000) -> DataFrame:
     """Rows (id, n_words, spans, items), one per row of ``docs``.
 
     ``spans`` are the hit words as merged [start, end) word positions, ``items``
@@ -185,11 +189,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     blocks = item_blocks(benchmark, item_col, item_text_col, block_words)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     if len(blocks) == 1:
-        return _scan(src, blocks[0].collect(), window).drop("row")
-    src = src.select(F.monotonically_increasing_id().alias("row"), "id", "text")
+        return _scan(src, blocks[0], window).drop("row")
+    src = materialize(src.select(F.monotonically_increasing_id().alias("row"), "id", "text"), "numbered")
     found = None
     for block in blocks:
-        part = _scan(src, block.collect(), window)
+        part = _scan(src, block, window)
         found = part if found is None else found.unionByName(part)
     merged = found.groupBy("row").agg(
         F.first("id").alias("id"), F.first("n_words").alias("n_words"),
@@ -202,19 +206,20 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     return merged.select("id", "n_words", spans.cast(SPANS).alias("spans"), "items")
 
 
-def _scan(src: DataFrame, items: list, window: int) -> DataFrame:
-    matcher = src.sparkSession.sparkContext.broadcast(Matcher([(r["item"], r["text"]) for r in items], window))
+def _scan(src: DataFrame, block: DataFrame, window: int) -> DataFrame:
+    matcher, item_kind = src.sparkSession.sparkContext.broadcast(Matcher([(r["item"], r["text"]) for r in block.collect()], window)), block.schema["item"].dataType
     has_row = "row" in src.columns
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-    schema = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(span)), ("items", pa.list_(pa.int64()))])
+    names = ["row", "id", "n_words", "spans", "items"]
+    item_type = to_arrow_type(item_kind)
 
     def scan(batches):
         for b in batches:
             found = matcher.value.search(b.column(b.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([
-                b.column(0).cast(pa.int64()) if has_row else pa.nulls(b.num_rows, pa.int64()), b.column(b.num_columns - 2).cast(pa.int64()),
+                b.column(0).cast(pa.int64()) if has_row else pa.nulls(b.num_rows, pa.int64()), b.column(b.num_columns - 2),
                 pa.array([x[0] for x in found], pa.int64()),
                 pa.array([[{"start": s, "end": e} for s, e in x[1]] for x in found], pa.list_(span)),
-                pa.array([x[2] for x in found], pa.list_(pa.int64()))], schema=schema)
+                pa.array([x[2] for x in found], pa.list_(item_type))], names=names)
 
-    return src.mapInArrow(scan, f"row long, id long, n_words long, spans {SPANS}, items array<long>")
+    return src.mapInArrow(scan, f"row long, id {src.schema['id'].dataType.simpleString()}, n_words long, spans {SPANS}, items array<{item_kind.simpleString()}>")

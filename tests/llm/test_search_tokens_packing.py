@@ -58,6 +58,15 @@ def test_contamination_matches_brute_force(spark, block_words):
     assert decontaminate.find_contamination(fixtures.docs(spark), bench.limit(0)).where("size(spans) > 0").count() == 0
 
 
+@pytest.mark.parametrize("block_words", [250_000, 5])
+def test_items_with_text_ids_or_none(spark, block_words):
+    bench = spark.createDataFrame([("a-1", "one two three"), (None, "four five"), ("b", None)], "item_id string, text string")
+    docs = spark.createDataFrame([("x", "zero one two three four"), (None, "Four, five"), ("x", None)], "doc_id string, text string")
+    got = decontaminate.find_contamination(docs, bench, block_words=block_words).collect()
+    assert sorted((str(r["id"]), len(r["spans"]), r["items"]) for r in got) == [("None", 1, []), ("x", 0, []), ("x", 1, ["a-1"])]
+    assert [r["text"] for r in decontaminate.drop_contaminated(docs, bench, block_words=block_words).collect()] == [None]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 4), min_size=0, max_size=900), st.lists(st.lists(st.integers(1, 4), min_size=3, max_size=3), min_size=1, max_size=5))
 def test_wu_manber_finds_every_occurrence(text, patterns):
