@@ -1,8 +1,7 @@
 """The registered queries of this subpackage and their SQL.
 
 Each query applies its operator to the whole table and derives digest columns
-from the operator's outputs. ``TOKENIZERS`` is the folder of public tokenizer
-files; it is a parameter (``LEXLOOM_TOKENIZERS`` or ``public_tokenizers``).
+from the operator's outputs. Tokenizer files are those of ``public_tokenizers``.
 """
 
 from __future__ import annotations
