@@ -82,11 +82,28 @@ WITH_LEX = f"{WITH}, {POSTINGS_SQL}, {LEXICAL_SQL}"
 WITH_ALL = f"{WITH_LEX}, {RRF_SQL}, {DEDUP_SQL}"
 
 
+#: Structural rows stand for cited units: the shortest documents, for every question.
+ASSEMBLY_SQL = """structural AS (SELECT qid, doc_id AS id, row_number() OVER (PARTITION BY qid ORDER BY doc_id) AS pos
+    FROM q JOIN documents ON n_chars = (SELECT min(n_chars) FROM documents)),
+  both_ AS (SELECT qid, id, 0 AS path, pos FROM structural UNION ALL SELECT qid, id, 1, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, id) FROM uniq),
+  once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, id ORDER BY path, pos) AS n FROM both_) WHERE n = 1)
+  SELECT qid, id, path, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY path, pos, id) AS rank FROM once) WHERE rank <= 8"""
+
+
+def shortest(t, spark) -> DataFrame:
+    """(qid, id, pos): the shortest documents, for every question."""
+    least = t("documents").agg(F.min("n_chars").alias("n_chars"))
+    short = t("documents").join(F.broadcast(least), "n_chars").select(F.col("doc_id").alias("id"))
+    return literal(spark, Q_VALUES, "qid, question").select(F.col("qid").cast("long").alias("qid")).crossJoin(short).withColumn(
+        "pos", F.row_number().over(W.partitionBy("qid").orderBy("id")))
+
+
 def both_paths(t, spark):
     c, q = chunk_table(t), questions(t, spark)
     dense = retrieval.dense_topk(c, q, n_queries=len(QUESTIONS))
     n, mean = retrieval.corpus_stats(c)
-    return c, q, dense, retrieval.lexical_topk(retrieval.postings(c), n, mean, q, n_queries=len(QUESTIONS))
+    index = retrieval.postings(c, terms=retrieval.batch_terms(q, len(QUESTIONS)))
+    return c, q, dense, retrieval.lexical_topk(index, n, mean, q, n_queries=len(QUESTIONS))
 
 
 @query(f"""{WITH} SELECT id, sim, rank FROM dense WHERE qid = 0""")
@@ -109,12 +126,14 @@ def dense_topk_cells(t, spark):
 
 @query(f"{WITH}, {POSTINGS_SQL} SELECT qid, id, count(*) AS hits FROM post JOIN terms USING (term) GROUP BY qid, id HAVING count(*) = any_value(n_terms)")
 def lexical_match(t, spark):
-    return retrieval.lexical_match(retrieval.postings(chunk_table(t)), questions(t, spark), n_queries=len(QUESTIONS))
+    q = questions(t, spark)
+    return retrieval.lexical_match(retrieval.postings(chunk_table(t), terms=retrieval.batch_terms(q, len(QUESTIONS))), q, n_queries=len(QUESTIONS))
 
 
 @query(f"{WITH}, {POSTINGS_SQL} SELECT qid, id, count(*) AS hits FROM post JOIN terms USING (term) GROUP BY qid, id")
 def lexical_match_any(t, spark):
-    return retrieval.lexical_match(retrieval.postings(chunk_table(t)), questions(t, spark), "or", n_queries=len(QUESTIONS))
+    q = questions(t, spark)
+    return retrieval.lexical_match(retrieval.postings(chunk_table(t), terms=retrieval.batch_terms(q, len(QUESTIONS))), q, "or", n_queries=len(QUESTIONS))
 
 
 @query(f"{WITH_LEX} SELECT qid, id, score, rank FROM lexical")
@@ -152,22 +171,14 @@ def text_dedup(t, spark):
     return retrieval.text_dedup(d).select("id", "key_size")
 
 
-@query(f"""{WITH_ALL}, structural AS (SELECT qid, doc_id AS id, row_number() OVER (PARTITION BY qid ORDER BY doc_id) AS pos
-    FROM q JOIN documents ON n_chars = (SELECT min(n_chars) FROM documents)),
-  both_ AS (SELECT qid, id, 0 AS path, pos FROM structural UNION ALL SELECT qid, id, 1, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, id) FROM uniq),
-  once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, id ORDER BY path, pos) AS n FROM both_) WHERE n = 1)
-  SELECT qid, id, path, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY path, pos, id) AS rank FROM once) WHERE rank <= 8""")
+@query(f"{WITH_ALL}, {ASSEMBLY_SQL}")
 def final_assembly(t, spark):
     """Structural rows here: the shortest documents, for every question."""
     c, q, dense, lexical = both_paths(t, spark)
     best = retrieval.top_k(retrieval.rrf(dense, lexical), 32, "qid", F.desc("rrf"), F.asc("id"))
     uniq = retrieval.text_dedup(c.select("id", "text").join(best, "id"))
     ranked = uniq.withColumn("pos", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("rrf"), "id")))
-    least = t("documents").agg(F.min("n_chars").alias("n_chars"))
-    short = t("documents").join(F.broadcast(least), "n_chars").select(F.col("doc_id").alias("id"))
-    first = literal(spark, Q_VALUES, "qid, question").select(F.col("qid").cast("long").alias("qid")).crossJoin(short).withColumn(
-        "pos", F.row_number().over(W.partitionBy("qid").orderBy("id")))
-    return retrieval.assemble(first, ranked, 8).select("qid", "id", "path", "rank")
+    return retrieval.assemble(shortest(t, spark), ranked, 8).select("qid", "id", "path", "rank")
 
 
 @query(f"""{WITH_ALL} SELECT qid, id, rank FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, id) AS rank FROM uniq) WHERE rank <= 8""")
@@ -176,6 +187,14 @@ def hybrid_search(t, spark):
     return rows.select("qid", "id", "rank")
 
 
+@query(f"{WITH_ALL}, {ASSEMBLY_SQL}".replace(CHUNKS_SQL, CHUNKS_SQL[:-1] + " WHERE d.lang = 'en' AND d.n_chars >= 200)"))
+def filtered_units(t, spark):
+    """Search under filters that the structural rows, the shortest documents, do not meet."""
+    c = chunk_table(t).withColumnsRenamed({"lang": "court_type", "n_chars": "token_count"})
+    rows, _ = retrieval.hybrid(c, questions(t, spark), 8, n_queries=len(QUESTIONS), structural=shortest(t, spark), filters={"court_type": "en", "min_tokens": 200})
+    return rows.select("qid", "id", "path", "rank")
+
+
 @query("""WITH s AS (SELECT q.label, max(round(list_dot_product(a.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9)) AS m
     FROM embeddings a CROSS JOIN (SELECT label, embedding FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1) q
     WHERE a.label <> q.label GROUP BY q.label)

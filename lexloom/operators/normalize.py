@@ -137,7 +137,8 @@ def normalize_acts(raw: DataFrame) -> DataFrame:
     df = with_act_segments(df.withColumn("short", T.short_title(F.col("title"))), "raw_content", "content_format", "short")
     df = df.withColumn("consolidated", newest_consolidated(F.col("p.references")))
     keywords = F.when(F.size(F.coalesce("p.keywordsNames", F.array().cast("array<string>"))) > 0, F.col("p.keywordsNames")).otherwise(F.col("p.keywords"))
-    force = T.in_force(F.col("p.inForce"))
+    flag = F.try_variant_get(F.try_parse_json("payload"), "$.inForce", "variant")
+    force = T.in_force(F.col("p.inForce"), F.schema_of_variant(flag))
     meta = F.struct(
         F.col("p.type").alias("actType"), F.col("p.status"), force.alias("inForce"), F.col("external_id").alias("eliId"), F.col("p.displayAddress"),
         "title", F.col("p.changeDate"), F.col("consolidated").alias("consolidatedTextId"),

@@ -124,11 +124,15 @@ def dense_topk_cells(chunks: DataFrame, queries: DataFrame, centres: list[list[f
     return top_k(found, k, "qid", F.desc("sim"), F.asc("id"))
 
 
-def postings(chunks: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(term, id, tf, dl): the inverted index, written once and bucketed by term at scale."""
+def postings(chunks: DataFrame, id_col: str = "id", text_col: str = "text", terms: DataFrame | None = None) -> DataFrame:
+    """(term, id, tf, dl): the inverted index, written once and bucketed by term at scale.
+
+    With ``terms`` (term) only their postings; other words go before the shuffle.
+    """
     words = chunks.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
-    return words.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "id").agg(
-        F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    words = words.select("id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    words = words if terms is None else words.join(terms, "term", "left_semi")
+    return words.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
 def query_terms(queries: DataFrame, text_col: str = "question") -> DataFrame:
@@ -136,6 +140,11 @@ def query_terms(queries: DataFrame, text_col: str = "question") -> DataFrame:
     return queries.select("qid", F.explode(terms).alias("term"), F.size(terms).alias("n_terms"))
 
 
+def batch_terms(queries: DataFrame, n_queries: int | None = None, text_col: str = "question") -> DataFrame:
+    """(term): the distinct terms of a batch, broadcast if the batch is known to be small."""
+    return small_side(query_terms(queries, text_col).select("term").distinct(), n_queries)
+
+
 def lexical_match(index: DataFrame, queries: DataFrame, mode: str = "and", text_col: str = "question", n_queries: int | None = None) -> DataFrame:
     """(qid, id, hits): chunks with all (or any) terms of the question; vectors are not needed."""
     hits = index.join(small_side(query_terms(queries, text_col), n_queries), "term").groupBy("qid", "id").agg(
@@ -147,7 +156,7 @@ def lexical_topk(index: DataFrame, chunks_count: int, mean_length: float, querie
                  text_col: str = "question", n_queries: int | None = None) -> DataFrame:
     """(qid, id, score, rank) by Okapi BM25 over the matching chunks."""
     terms = query_terms(queries, text_col)
-    df = index.join(small_side(terms.select("term").distinct(), n_queries), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    df = index.join(batch_terms(queries, n_queries, text_col), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(float(chunks_count)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(mean_length))))
     weighted = terms.join(df, "term").select("qid", "term", "n_terms", "df")
@@ -190,17 +199,21 @@ def assemble(structural: DataFrame, ranked: DataFrame, k: int) -> DataFrame:
 
 
 def hybrid(chunks: DataFrame, queries: DataFrame, k: int = 8, per_path: int = 50, n_queries: int | None = None, structural: DataFrame | None = None,
-           reranker: Callable | None = None, mode: str = "and", structural_needs_candidates: bool = True) -> tuple[DataFrame, DataFrame]:
+           reranker: Callable | None = None, mode: str = "and", structural_needs_candidates: bool = True, filters: dict | None = None,
+           unit_norm: bool = True) -> tuple[DataFrame, DataFrame]:
     """(rows, signals) for queries (qid, question, query_vector) over chunks (id, text, embedding).
 
     rows: qid, id, rank, path (0 structural, 1 ranked), rrf, sim, rerank_score;
     signals: qid, max_similarity (the best rerank score if there is a reranker).
+    ``filters`` are arguments of ``metadata_filter``; they bind both ranked paths
+    but not the structural rows. Vectors of any length need ``unit_norm`` off.
     Questions without any candidate have no rows, also if they cite a unit,
     unless ``structural_needs_candidates`` is off.
     """
-    dense = dense_topk(chunks, queries, per_path, n_queries)
+    chunks = metadata_filter(chunks, **(filters or {}))
+    dense = dense_topk(chunks, queries, per_path, n_queries, unit_norm=unit_norm)
     n, mean = corpus_stats(chunks)
-    lexical = lexical_topk(postings(chunks), n, mean, queries, per_path, mode, n_queries=n_queries)
+    lexical = lexical_topk(postings(chunks, terms=batch_terms(queries, n_queries)), n, mean, queries, per_path, mode, n_queries=n_queries)
     best = top_k(rrf(dense, lexical), OVERFETCH * k, "qid", F.desc("rrf"), F.asc("id"), rank="rrf_rank")
     hydrated = chunks.select("id", "text").join(small_side(best, n_queries), "id")
     distinct = text_dedup(hydrated).join(queries.select("qid", "question"), "qid")

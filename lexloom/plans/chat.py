@@ -12,30 +12,36 @@ from ..operators import embedding, grounding, retrieval, structural
 
 
 def search(chunks: DataFrame, questions: DataFrame, provider: Callable, dim: int, acts: DataFrame | None = None, k: int = 8, per_path: int = 50,
-           n_queries: int | None = None, reranker: Callable | None = None, mode: str = "and") -> tuple[DataFrame, DataFrame]:
-    """(rows, signals) for questions (qid, question); acts (external_id, title) enable unit lookup."""
+           n_queries: int | None = None, reranker: Callable | None = None, mode: str = "and", filters: dict | None = None,
+           unit_norm: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows, signals) for questions (qid, question); acts (external_id, title) enable unit lookup.
+
+    ``filters`` (arguments of ``metadata_filter``) bind ranked chunks; cited units are looked up in all chunks.
+    """
     q = embedding.embed_queries(questions, "question", provider, dim)
     units = None
     if acts is not None:
         cited = structural.cited_units(questions)
         units = structural.structural_lookup(cited, structural.resolve_acts(cited.select(F.col("act_hint").alias("hint")), acts), chunks)
-    return retrieval.hybrid(chunks, q, k, per_path, n_queries, units, reranker, mode)
+    return retrieval.hybrid(chunks, q, k, per_path, n_queries, units, reranker, mode, filters=filters, unit_norm=unit_norm)
 
 
 def answer(chunks: DataFrame, questions: DataFrame, provider: Callable, dim: int, model: Callable, acts: DataFrame | None = None, history: DataFrame | None = None,
-           unabsorbed: DataFrame | None = None, k: int = 8, n_queries: int | None = None, threshold: float = 0.55, margin: float = 0.02) -> DataFrame:
+           unabsorbed: DataFrame | None = None, k: int = 8, n_queries: int | None = None, threshold: float = 0.55, margin: float = 0.02,
+           reranker: Callable | None = None, filters: dict | None = None) -> DataFrame:
     """One row per question: abstained, sources, answer, check, refused.
 
     With a history (qid, turn, question, answer) every question is also searched
     together with its last two predecessors, and the better variant is used; the
     prompt always has the question as asked.
     """
-    rows, signals = search(chunks, questions, provider, dim, acts, k, n_queries=n_queries)
+    options = {"n_queries": n_queries, "reranker": reranker, "filters": filters}
+    rows, signals = search(chunks, questions, provider, dim, acts, k, **options)
     if history is not None:
         asked = history.select("qid", F.col("turn").cast("long").alias("turn"), F.col("question").alias("text")).unionByName(
             questions.select("qid", F.lit(1 << 40).alias("turn"), F.col("question").alias("text")))
         wide = structural.followup_text(asked, "qid", "turn").where(F.col("turn") == 1 << 40).select("qid", F.col("contextual").alias("question"))
-        rows2, signals2 = search(chunks, wide, provider, dim, acts, k, n_queries=n_queries)
+        rows2, signals2 = search(chunks, wide, provider, dim, acts, k, **options)
         pick = signals.join(signals2.select("qid", F.col("max_similarity").alias("ctx")), "qid").select(
             "qid", structural.pick_contextual(F.col("max_similarity"), F.col("ctx"), margin).alias("use_ctx"), "max_similarity", "ctx")
         rows = rows.join(pick.where("NOT use_ctx").select("qid"), "qid", "left_semi").unionByName(rows2.join(pick.where("use_ctx").select("qid"), "qid", "left_semi"))

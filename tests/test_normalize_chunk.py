@@ -97,3 +97,11 @@ def test_pack_progress_and_halving():
     units, sizes = chunking.bounded_lines("a b c d e f g", chunking.count_words, 2)
     assert max(sizes) <= 2 and "".join(u[0] for u in units).replace(" ", "") == "abcdefg"
     assert chunking.halves(("abcdef", 3)) == [("abc", 3), ("def", 6)]
+
+
+def test_in_force_by_json_kind(spark):
+    flags = ['"IN_FORCE"', '"no"', "true", "false", "1", "null", '{"a":1}']
+    rows = [("eli", str(i), "<p>x</p>", "html", '{"title":"t","inForce":%s}' % f, "u") for i, f in enumerate(flags)] + [("eli", "7", "<p>x</p>", "html", '{"title":"t"}', "u"), ("eli", "8", "<p>x</p>", "html", "broken", "u")]
+    raw = spark.createDataFrame(rows, "source string, external_id string, raw_content string, content_format string, payload string, source_url string")
+    got = {r["external_id"]: r["in_force"] for r in normalize.normalize_acts(raw).collect()}
+    assert [got[str(i)] for i in range(9)] == [True, False, True, False, None, None, None, None, None]

@@ -134,6 +134,22 @@ def test_ingest_is_idempotent(spark):
     assert {r["outcome"] for r in out.collect()} == {"ReEmbedded"} and {r["embedded_with"] for r in chunks3.collect()} == {"m2"}
 
 
+def test_filters_bind_ranked_rows_only(spark):
+    rows = [(1, "alpha beta", [1.0, 0.0], "X"), (2, "alpha", [3.0, 4.0], "X"), (3, "alpha", [0.0, 9.0], "Y"), (4, "gamma", [5.0, 0.0], "Y")]
+    chunks = spark.createDataFrame(rows, "id int, text string, embedding array<double>, court_type string")
+    q = spark.createDataFrame([(0, "alpha", [1.0, 0.0])], "qid int, question string, query_vector array<double>")
+    unit = spark.createDataFrame([(0, 4, 1)], "qid int, id int, pos int")
+    found, signals = retrieval.hybrid(chunks, q, 8, n_queries=1, structural=unit, filters={"court_type": "X"}, unit_norm=False)
+    got = found.orderBy("rank").collect()
+    assert [(r["id"], r["path"]) for r in got] == [(4, 0), (1, 1), (2, 1)]
+    assert [r["sim"] for r in got] == [None, 1.0, 0.6] and signals.first()["max_similarity"] == 1.0
+    none, _ = retrieval.hybrid(chunks, q, 8, n_queries=1, structural=unit, filters={"court_type": "Z"})
+    assert none.count() == 0
+    terms = retrieval.batch_terms(q, 1)
+    assert retrieval.postings(chunks, terms=terms).exceptAll(retrieval.postings(chunks).where("term = 'alpha'")).count() == 0
+    assert retrieval.postings(chunks, terms=terms).count() == 3
+
+
 def test_breaker_quarantine_relink(spark):
     rows = spark.createDataFrame([("a", str(i), "Failed" if i in (2, 3, 4, 6) else "Skipped") for i in range(8)], "source string, external_id string, outcome string")
     assert ingest.fail_streaks(rows).first()["longest"] == 3
