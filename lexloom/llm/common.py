@@ -42,13 +42,15 @@ def prepare(spark: SparkSession) -> None:
 def shared_root(spark: SparkSession) -> str:
     """This application's folder below ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, local mode) a temporary folder of
-    the driver is used, which the executors of local mode share by definition.
+    Only in local mode, where that setting is absent (tests), a temporary folder
+    of the driver is used, which the executors of local mode share by definition.
     """
     app = spark.sparkContext.applicationId
     if app not in _roots:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             base = tempfile.mkdtemp(prefix="lexloom-")
             spark.sparkContext.setCheckpointDir(base)
         _roots[app] = f"{base.rstrip('/')}/lexloom-{uuid.uuid4().hex}"
