@@ -117,10 +117,47 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
+def op11_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .blob_ledger import BASE, RULES, findings, update
+    from .common import fresh_path
+
+    docs, ledger = table(spark, sf_dir, "documents").select("doc_id", "text"), fresh_path(spark, "ledger")
+    update(docs, RULES, ledger)
+    found = findings(docs, RULES, ledger)
+    base = F.filter("spans", lambda s: s["rank"] < len(BASE))
+    digest = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    counts = [F.size(F.filter("spans", lambda s, k=r.kind: s["kind"] == k)).cast("long").alias(f"n_{r.kind}") for r in BASE]
+    return found.select("doc_id", *counts, F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import filter_audit
+
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def micros(ts: str, kind: str):
+    """Microseconds of a time with or without a zone."""
+    if kind == "timestamp_ntz":
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts})")
+    return F.unix_micros(ts)
+
+
+def op13_row_pattern_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .row_patterns import match_rows
+
+    clicks = table(spark, sf_dir, "clicks")
+    cents = F.when(F.abs("value") < 9e16, F.floor(F.col("value") * 100 + 0.5))
+    return match_rows(
+        clicks, F.col("client_id"), micros("ts", dict(clicks.dtypes)["ts"]), F.col("click_id"), cents, F.col("kind") != "error", F.col("kind") == "purchase",
+    ).select(F.col("key").alias("client_id"), F.col("match_no").cast("long").alias("match_no"), "first_id", "last_id", "n_rows", "sum_cents", "labels_sha256")
+
+
 QUERIES = {
     f.__name__: f
     for f in (op1_substring_dedup, op2_toxicity, op3_best_fit_packing, op4_benchmark_decontamination, op5_chat_formatting,
-              op6_simhash_near_dedup, op7_lm_scoring, op8_token_counts, op9_exact_dedup, op10_url_filters)
+              op6_simhash_near_dedup, op7_lm_scoring, op8_token_counts, op9_exact_dedup, op10_url_filters,
+              op11_secret_scans, op12_filter_audit, op13_row_pattern_matching)
 }
 
 SQL = {
