@@ -71,10 +71,22 @@ LEDGER = f"blob binary, rules array<string>, spans array<{SPAN}>"
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def compiled(rule: Rule) -> re.Pattern:
+def spelled(rule: Rule) -> str:
+    """The rule's pattern for engines that search unfolded text; in it, only groups and literals hold letters that fold."""
+    either = lambda m: m[0] if len(m[0]) > 1 else f"[{m[0]}{m[0].upper()}]"
+    if not rule.fold:
+        return long_runs(rule)
+    return re.sub(r"\\x..|\[[^\]]*\]|[a-z]", either, rule.pattern).replace("a-z0-9", "A-Za-z0-9")
+
+
+def long_runs(rule: Rule) -> str:
     """A run of one class that is too short cannot hide a longer one, so its length goes into the pattern: far fewer matches."""
-    whole_run = re.fullmatch(r"(\[[^\]]+\])\+", rule.pattern)
-    return re.compile((f"{whole_run[1]}{{{rule.least},}}" if whole_run and not rule.group else rule.pattern).encode())
+    run = re.fullmatch(r"(\[[^\]]+\])\+", rule.pattern)
+    return f"{run[1]}{{{rule.least},}}" if run and not rule.group else rule.pattern
+
+
+def compiled(rule: Rule) -> re.Pattern:
+    return re.compile(long_runs(rule).encode())
 
 
 def scan(data: bytes, rules: list[tuple[int, Rule, re.Pattern]]) -> list[dict]:

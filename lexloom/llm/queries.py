@@ -126,8 +126,8 @@ def op11_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = findings(docs, RULES, ledger)
     base = F.filter("spans", lambda s: s["rank"] < len(BASE))
     digest = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("spans", lambda s, k=r.kind: s["kind"] == k)).cast("long").alias(f"n_{r.kind}") for r in BASE]
-    return found.select("doc_id", *counts, F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(r.kind) for r in BASE], F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
 
 
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,6 +160,75 @@ QUERIES = {
               op11_secret_scans, op12_filter_audit, op13_row_pattern_matching)
 }
 
+def _secrets_sql() -> str:
+    """Spans from the texts between matches: a match starts after all texts and matches before it."""
+    from .blob_ledger import BASE, RULES, spelled
+
+    found = []
+    for rank, r in enumerate(RULES):
+        pattern = spelled(r).replace("'", "''")
+        found.append(f"""
+          SELECT rn, {rank} AS rank, '{r.kind}' AS kind, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {r.group}) AS g, regexp_split_to_array(t, '{pattern}') AS s, {r.least} AS least FROM d""")
+    digest = "string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, rank)"
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in BASE)
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS t FROM documents),
+             f AS ({" UNION ALL ".join(found)}),
+             i AS (SELECT rn, rank, kind, least, m, g, s, unnest(range(1, len(m) + 1)) AS i FROM f),
+             p AS (SELECT rn, rank, kind, (list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS a, length(m[i]) AS n
+                   FROM i WHERE length(g[i]) >= least),
+             x AS (SELECT rn, rank, kind, a, a + n AS z FROM p),
+             b AS (SELECT rn, {counts}, {digest} FILTER (WHERE rank < {len(BASE)}) AS base, {digest} AS spans FROM x GROUP BY rn)
+        SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN b USING (rn)
+    """
+
+
+#: All orders of five filters; bits of the filter and of those before it.
+_AUDIT_SQL = """
+    WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS lo FROM documents),
+         l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+         w AS (SELECT doc_id, part, t, lo, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+         m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                 (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t))::INT
+                 + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > lo, false)::INT AS mask
+               FROM w LEFT JOIN l USING (doc_id)),
+         c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+         k(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+         o AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM k a, k b, k c, k d, k e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+         s AS (SELECT o, s, substr(o, s, 1) AS letter, 1 << (ascii(substr(o, s, 1)) - 65) AS bit,
+                 list_sum(list_transform(range(1, 6), lambda j: CASE WHEN j < s THEN 1 << (ascii(substr(o, j, 1)) - 65) ELSE 0 END))::INT AS before
+               FROM o, (SELECT unnest(range(1, 6))::INT AS s)),
+         r AS (SELECT part, o, s, letter,
+                 coalesce(sum(n) FILTER (WHERE mask & (before | bit) = 0), 0) AS kept, coalesce(sum(n) FILTER (WHERE mask & before = 0 AND mask & bit <> 0), 0) AS removed,
+                 coalesce(sum(n) FILTER (WHERE mask & before <> 0 AND mask & bit <> 0), 0) AS redundant, coalesce(sum(n) FILTER (WHERE mask = bit), 0) AS unique_fails,
+                 coalesce(sum(good) FILTER (WHERE mask & before = 0 AND mask & bit <> 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE mask & before = 0 AND mask & bit <> 0), 0) AS toxic_lost
+               FROM c, s GROUP BY part, o, s, letter)
+    SELECT part, o AS filter_order, s AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+           good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+    FROM r
+"""
+
+#: A match stays in its segment, a run of rows that D, U or P can reach; its end is the first P above A that D and U lead to.
+_PATTERN_SQL = """
+    WITH RECURSIVE c AS (SELECT DISTINCT * FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL),
+         o AS (SELECT client_id, click_id, kind, ts, CASE WHEN abs(value) < 9e16 THEN floor(100 * value + 0.5)::BIGINT END AS cents,
+                 row_number() OVER (PARTITION BY client_id ORDER BY ts, click_id) AS n FROM c),
+         f AS (SELECT *, lag(cents) OVER w AS before, coalesce(cents IS NOT NULL AND lag(cents) OVER w IS NOT NULL AND ts - lag(ts) OVER w <= INTERVAL 10 MINUTE, false) AS near
+               FROM o WINDOW w AS (PARTITION BY client_id ORDER BY n)),
+         g AS (SELECT *, near AND coalesce(kind = 'purchase', false) AS p, near AND coalesce(kind <> 'error', false) AND cents <> before AS du FROM f),
+         s AS (SELECT *, sum((NOT (p OR du))::INT) OVER w AS seg, sum((NOT du)::INT) OVER w AS stops FROM g WINDOW w AS (PARTITION BY client_id ORDER BY n)),
+         e AS (SELECT a.client_id, a.seg, a.n AS a, min(b.n) AS z FROM s a JOIN s b ON a.client_id = b.client_id AND a.seg = b.seg AND b.n > a.n
+               WHERE b.p AND b.cents >= a.cents AND b.stops - (NOT b.du)::INT = a.stops GROUP BY a.client_id, a.seg, a.n),
+         j AS (SELECT x.client_id, x.seg, x.a, x.z, min(y.a) AS later FROM e x LEFT JOIN e y ON x.client_id = y.client_id AND x.seg = y.seg AND y.a > x.z GROUP BY x.client_id, x.seg, x.a, x.z),
+         m AS (SELECT * FROM j WHERE (client_id, seg, a) IN (SELECT client_id, seg, min(a) FROM e GROUP BY client_id, seg)
+               UNION ALL SELECT j.* FROM m JOIN j ON m.client_id = j.client_id AND m.seg = j.seg AND m.later = j.a),
+         r AS (SELECT m.client_id, m.a, count(*) AS n_rows, sum(cents)::BIGINT AS sum_cents, min_by(click_id, n) AS first_id, max_by(click_id, n) AS last_id,
+                 sha256(string_agg(CASE WHEN n = m.a THEN 'A' WHEN n = m.z THEN 'P' WHEN cents < before THEN 'D' ELSE 'U' END, '' ORDER BY n)) AS labels_sha256
+               FROM m JOIN s ON m.client_id = s.client_id AND n BETWEEN m.a AND m.z GROUP BY m.client_id, m.a)
+    SELECT client_id, row_number() OVER (PARTITION BY client_id ORDER BY a) AS match_no, first_id, last_id, n_rows, sum_cents, labels_sha256 FROM r
+"""
+
 SQL = {
     "op9_exact_dedup": """
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256
@@ -183,4 +252,7 @@ SQL = {
           ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
         GROUP BY page_id, host, path
     """,
+    "op11_secret_scans": _secrets_sql(),
+    "op12_filter_audit": _AUDIT_SQL,
+    "op13_row_pattern_matching": _PATTERN_SQL,
 }

@@ -27,7 +27,7 @@ bringing its rows together:
   Steps are made for all entries at once, from right to left, and folded.
 * then every fragment is walked by itself; pieces of a match are put together.
 
-A fold reads one row per fragment. Only the label string of a single match comes
+A fold reads one row per fragment. Joins are by key and never broadcast. Only the label string of a single match comes
 together in one row, one byte per matched row, as its digest asks.
 
 Defined cases: repeated rows count once; rows without key or time are dropped;
@@ -211,7 +211,7 @@ def running(df: DataFrame, keys: list[str], order: str, value: str, how, out: st
     within = W.partitionBy(*keys, "g").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     over = W.partitionBy(*keys).orderBy("g").rowsBetween(W.unboundedPreceding, -1)
     groups = df.groupBy(*keys, "g").agg(how(value).alias("x")).withColumn("ahead", how("x").over(over)).drop("x")
-    both = df.withColumn("own", how(value).over(within)).join(groups, [*keys, "g"])
+    both = df.withColumn("own", how(value).over(within)).join(groups.hint("merge"), [*keys, "g"])
     total = F.coalesce(F.col("own"), F.col("ahead")) if how is F.max else F.coalesce(F.col("own"), F.lit(0)) + F.coalesce(F.col("ahead"), F.lit(0))
     return both.withColumn(out, total).drop("g", "own", "ahead")
 
@@ -221,9 +221,9 @@ def as_runs(fragments: DataFrame) -> DataFrame:
     parts = fragments.groupBy("block", "cut").agg(F.max("pos").alias("last"))
     tails = parts.groupBy("block").agg(F.max(F.when(F.col("cut"), F.col("block"))).alias("tail")).withColumn("one", F.lit(1))
     earlier = running(tails, ["one"], "block", "tail", F.max, "earlier").select("block", "earlier")
-    parts = parts.join(earlier, "block").withColumn("run", F.when(F.col("cut"), F.col("block")).otherwise(F.coalesce("earlier", F.lit(-1))))
+    parts = parts.join(earlier.hint("merge"), "block").withColumn("run", F.when(F.col("cut"), F.col("block")).otherwise(F.coalesce("earlier", F.lit(-1))))
     parts = parts.withColumn("next", F.lead("block").over(W.partitionBy("run").orderBy("block"))).select("block", "cut", "run", "last", "next")
-    rows = fragments.join(parts, ["block", "cut"])
+    rows = fragments.join(parts.hint("merge"), ["block", "cut"])
     seams = rows.where("pos = last AND next IS NOT NULL").withColumn("block", F.col("next")).withColumn("pos", F.lit(-1).cast("long"))
     return rows.unionByName(seams).select("run", "block", "pos", "key", "ts", F.col("first_id").alias("id"), "cents", "known", "loops", "ends")
 
@@ -279,10 +279,10 @@ def solve_runs(fragments: DataFrame, gap: int) -> DataFrame:
         return pd.DataFrame(out, columns=[c.split()[0] for c in PIECE.split(", ")], dtype=object)
 
     edge = fragments.groupBy(*by).applyInPandas(low, "run long, block long, low long, passes boolean").groupBy("run").applyInPandas(edges, "run long, block long, edge long")
-    edged = materialize(fragments.join(edge, by), "edged")
+    edged = materialize(fragments.join(edge.hint("merge"), by), "edged")
     entry = edged.groupBy(*by).applyInPandas(steps, "run long, block long, up_to array<long>, a array<long>, pos array<long>, free_a long, free_pos long").groupBy("run").applyInPandas(
         entries, "run long, block long, open_cents long, start_block long, start_pos long")
-    found = edged.join(entry, by).groupBy(*by).applyInPandas(pieces, PIECE)
+    found = edged.join(entry.hint("merge"), by).groupBy(*by).applyInPandas(pieces, PIECE)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "labels"))), lambda x: x["labels"]), "")
     return found.groupBy("run", "start_block", "start_pos").agg(
         F.first("key").alias("key"), F.max("first_id").alias("first_id"), F.max("last_id").alias("last_id"), F.sum("n_rows").alias("n_rows"), F.sum("sum_cents").alias("sum_cents"),
@@ -311,4 +311,4 @@ def match_rows(rows: DataFrame, key: Column, ts: Column, row_id: Column, cents:
     before = running(found.groupBy("key", "block").agg(F.count("*").alias("n")), ["key"], "block", "n", F.sum, "before").select("key", "block", "before")
     number = F.row_number().over(W.partitionBy("key", "block").orderBy("pos")) + F.col("before")
     ids = [F.when(F.col(c) != NEVER, F.col(c)).alias(c) for c in ("first_id", "last_id")]
-    return found.join(before, ["key", "block"]).select("key", number.alias("match_no"), *ids, "n_rows", "sum_cents", "labels_sha256")
+    return found.join(before.hint("merge"), ["key", "block"]).select("key", number.alias("match_no"), *ids, "n_rows", "sum_cents", "labels_sha256")
