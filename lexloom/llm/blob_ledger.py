@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _path, prepare
+from .common import _path, materialize, prepare
 
 
 @dataclass(frozen=True)
@@ -152,5 +152,6 @@ def findings(versions: DataFrame, rules: tuple[Rule, ...], path: str, id_cols: t
     ranked = F.transform(current, lambda s: F.struct(
         s["start"].alias("start"), ranks[name(s)].alias("rank"), s["kind"].alias("kind"), s["version"].alias("version"), s["end"].alias("end")))
     found = read_ledger(spark, path).groupBy("blob").agg(F.array_sort(F.array_distinct(ranked)).alias("spans"))
-    return versions.select(*id_cols, _address(text_col)).join(found, "blob")
+    # written first, so that the join stands on two exchanges and Spark can split a blob of many paths
+    return versions.select(*id_cols, _address(text_col)).join(materialize(found, "findings"), "blob")
 
