@@ -15,7 +15,8 @@ from pyspark.sql.window import Window as W
 
 from .functions import citations as C
 from .functions import text as T
-from .operators import chunking, conversations, evaluation, grounding, ingest, limits, normalize, retrieval, structural
+from .operators import chunking, conversations, evaluation, grounding, ingest, limits, normalize, retrieval, structural, text_index, vector_index
+from .sources.workspace import built_once
 
 FLAGSHIP = "hybrid_rrf"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,12 +99,22 @@ def shortest(t, spark) -> DataFrame:
         "pos", F.row_number().over(W.partitionBy("qid").orderBy("id")))
 
 
+def stored_text(t, spark) -> text_index.TextIndex:
+    """The documents' text index: written by the first query that needs it, read by the others."""
+    docs = t("documents").select(F.col("doc_id").alias("id"), "text")
+    return text_index.open_index(spark, built_once(docs, "text-index", lambda path: text_index.build(docs, path)))
+
+
+def stored_vectors(t, spark) -> vector_index.VectorIndex:
+    vectors = t("embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    path = built_once(vectors, "vector-index", lambda path: vector_index.build(vectors, path, 16))
+    return vector_index.open_index(spark, path)
+
+
 def both_paths(t, spark):
     c, q = chunk_table(t), questions(t, spark)
     dense = retrieval.dense_topk(c, q, n_queries=len(QUESTIONS))
-    n, mean = retrieval.corpus_stats(c)
-    index = retrieval.postings(c, terms=retrieval.batch_terms(q, len(QUESTIONS)))
-    return c, q, dense, retrieval.lexical_topk(index, n, mean, q, n_queries=len(QUESTIONS))
+    return c, q, dense, text_index.topk(stored_text(t, spark), q, n_queries=len(QUESTIONS))
 
 
 @query(f"""{WITH} SELECT id, sim, rank FROM dense WHERE qid = 0""")
@@ -116,24 +127,23 @@ def dense_topk_batch(t, spark):
     return retrieval.dense_topk(chunk_table(t), questions(t, spark), n_queries=len(QUESTIONS))
 
 
-@query()
+@query("""WITH p AS (SELECT q.vec_id AS qid, e.vec_id AS id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS sim
+    FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0 WHERE q.embedding IS NOT NULL AND e.embedding IS NOT NULL)
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS rank FROM p) WHERE rank <= 50""")
 def dense_topk_cells(t, spark):
-    c = chunk_table(t)
-    centres = retrieval.fit_cells(c, 16)
-    q = t("embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query_vector"))
-    return retrieval.dense_topk_cells(c, q, centres, 8)
+    """All vectors whose id is divisible by 50, against all: exact, through the stored cells."""
+    q = t("embeddings").where("vec_id % 50 = 0 AND embedding IS NOT NULL").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query_vector"))
+    return vector_index.topk(stored_vectors(t, spark), q, digits=6)
 
 
 @query(f"{WITH}, {POSTINGS_SQL} SELECT qid, id, count(*) AS hits FROM post JOIN terms USING (term) GROUP BY qid, id HAVING count(*) = any_value(n_terms)")
 def lexical_match(t, spark):
-    q = questions(t, spark)
-    return retrieval.lexical_match(retrieval.postings(chunk_table(t), terms=retrieval.batch_terms(q, len(QUESTIONS))), q, n_queries=len(QUESTIONS))
+    return text_index.match(stored_text(t, spark), questions(t, spark), n_queries=len(QUESTIONS))
 
 
 @query(f"{WITH}, {POSTINGS_SQL} SELECT qid, id, count(*) AS hits FROM post JOIN terms USING (term) GROUP BY qid, id")
 def lexical_match_any(t, spark):
-    q = questions(t, spark)
-    return retrieval.lexical_match(retrieval.postings(chunk_table(t), terms=retrieval.batch_terms(q, len(QUESTIONS))), q, "or", n_queries=len(QUESTIONS))
+    return text_index.match(stored_text(t, spark), questions(t, spark), "or", n_queries=len(QUESTIONS))
 
 
 @query(f"{WITH_LEX} SELECT qid, id, score, rank FROM lexical")
@@ -183,7 +193,7 @@ def final_assembly(t, spark):
 
 @query(f"""{WITH_ALL} SELECT qid, id, rank FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, id) AS rank FROM uniq) WHERE rank <= 8""")
 def hybrid_search(t, spark):
-    rows, _ = retrieval.hybrid(chunk_table(t), questions(t, spark), 8, n_queries=len(QUESTIONS))
+    rows, _ = retrieval.hybrid(chunk_table(t), questions(t, spark), 8, n_queries=len(QUESTIONS), index=stored_text(t, spark))
     return rows.select("qid", "id", "rank")
 
 

@@ -21,6 +21,8 @@ OVERFETCH = 4
 K1, B = 1.2, 0.75
 #: Estimated bytes up to which a batch of questions is broadcast.
 BROADCAST_BYTES = 64 << 20
+#: Terms of a batch that become a filter of the words; a larger batch is joined.
+FILTER_TERMS = 1000
 STRUCTURAL_SCORE = 1.7976931348623157e308
 
 
@@ -88,50 +90,20 @@ def fit_cells(chunks: DataFrame, cells: int = 64, sample: int = 20_000, rounds:
     return centres.tolist()
 
 
-def cell_of(vector: Column, centres: list[list[float]], n: int = 1) -> Column:
-    """The n nearest cells of a vector, nearest first."""
-    scores = F.array(*[F.struct((-dot(vector, F.array(*map(F.lit, c)))).alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(centres)])
-    return F.transform(F.slice(F.array_sort(scores), 1, n), lambda s: s["cell"])
-
-
-def dense_topk_cells(chunks: DataFrame, queries: DataFrame, centres: list[list[float]], probes: int = 8, k: int = 50, digits: int = 9) -> DataFrame:
-    """Exact search that compares each question with its nearest cells first.
-
-    The k-th similarity found in ``probes`` cells is a floor; a further cell is
-    read unless no member can reach it: q.x = q.c + q.(x - c) is at most
-    q.c + |q| times the cell's radius. With the cell stored as a partition
-    column the join prunes whole partitions.
-    """
-    if not centres:  # no vectors
-        return dense_topk(chunks, queries, k, digits=digits)
-    vectors = chunks.where("embedding IS NOT NULL").select("id", "embedding")
-    placed = vectors.withColumn("cell", F.element_at(cell_of(F.col("embedding"), centres), 1))
-    c = F.element_at(F.array(*[F.array(*map(F.lit, c)) for c in centres]), F.col("cell") + 1)
-    away = F.zip_with("embedding", c, lambda x, y: x.cast("double") - y)
-    radius = {r["cell"]: r["radius"] for r in placed.groupBy("cell").agg(F.sqrt(F.max(dot(away, away))).alias("radius")).collect()}  # a row a cell
-    q = F.col("query_vector")
-
-    def scored(wanted: DataFrame) -> DataFrame:
-        return placed.join(wanted, "cell").select("qid", "id", F.round(dot(F.col("embedding"), q), digits).alias("sim"))
-
-    asked = queries.select("qid", "query_vector", cell_of(q, centres, probes).alias("near"))
-    first = top_k(scored(asked.select("qid", "query_vector", F.explode("near").alias("cell"))), k, "qid", F.desc("sim"), F.asc("id")).drop("rank")
-    floor = first.groupBy("qid").agg(F.min("sim").alias("floor"), F.count("*").alias("n")).where(F.col("n") >= k).select("qid", "floor")
-    reach = F.array(*[F.struct(F.lit(i).alias("cell"), (dot(q, F.array(*map(F.lit, centres[i]))) + F.sqrt(dot(q, q)) * r).alias("most")) for i, r in sorted(radius.items())])
-    more = asked.join(floor, "qid", "left").select("qid", "query_vector", "near", "floor", F.explode(reach).alias("r"))
-    open_ = more.where(~F.array_contains("near", F.col("r.cell")) & (F.col("floor").isNull() | (F.col("r.most") >= F.col("floor") - 1e-6)))
-    found = first.unionByName(scored(open_.select("qid", "query_vector", F.col("r.cell").alias("cell"))))
-    return top_k(found, k, "qid", F.desc("sim"), F.asc("id"))
-
-
 def postings(chunks: DataFrame, id_col: str = "id", text_col: str = "text", terms: DataFrame | None = None) -> DataFrame:
-    """(term, id, tf, dl): the inverted index, written once and bucketed by term at scale.
+    """(term, id, tf, dl) of all chunks, for one pass over filtered chunks; ``text_index`` stores them.
 
-    With ``terms`` (term) only their postings; other words go before the shuffle.
+    With ``terms`` (term) only their postings; other words go before rows are made of them.
     """
     words = chunks.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
-    words = words.select("id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    words = words if terms is None else words.join(terms, "term", "left_semi")
+    words = words.select("id", F.size("t").alias("dl"), "t")
+    if terms is not None:
+        some = terms.limit(FILTER_TERMS + 1).collect()
+        if len(some) <= FILTER_TERMS:
+            wanted = F.array(*[F.lit(r["term"]) for r in some]).cast("array<string>")
+            words = words.where(F.arrays_overlap("t", wanted)).withColumn("t", F.filter("t", lambda x: x.isin([r["term"] for r in some]))) if some else words.limit(0)
+    words = words.select("id", "dl", F.explode("t").alias("term"))
+    words = words if terms is None or len(some) <= FILTER_TERMS else words.join(terms, "term", "left_semi")
     return words.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
@@ -200,20 +172,27 @@ def assemble(structural: DataFrame, ranked: DataFrame, k: int) -> DataFrame:
 
 def hybrid(chunks: DataFrame, queries: DataFrame, k: int = 8, per_path: int = 50, n_queries: int | None = None, structural: DataFrame | None = None,
            reranker: Callable | None = None, mode: str = "and", structural_needs_candidates: bool = True, filters: dict | None = None,
-           unit_norm: bool = True) -> tuple[DataFrame, DataFrame]:
+           unit_norm: bool = True, index=None) -> tuple[DataFrame, DataFrame]:
     """(rows, signals) for queries (qid, question, query_vector) over chunks (id, text, embedding).
 
     rows: qid, id, rank, path (0 structural, 1 ranked), rrf, sim, rerank_score;
     signals: qid, max_similarity (the best rerank score if there is a reranker).
     ``filters`` are arguments of ``metadata_filter``; they bind both ranked paths
     but not the structural rows. Vectors of any length need ``unit_norm`` off.
+    ``index`` is the chunks' stored text index; filtered chunks have their own
+    statistics and do not use it.
     Questions without any candidate have no rows, also if they cite a unit,
     unless ``structural_needs_candidates`` is off.
     """
     chunks = metadata_filter(chunks, **(filters or {}))
     dense = dense_topk(chunks, queries, per_path, n_queries, unit_norm=unit_norm)
-    n, mean = corpus_stats(chunks)
-    lexical = lexical_topk(postings(chunks, terms=batch_terms(queries, n_queries)), n, mean, queries, per_path, mode, n_queries=n_queries)
+    if index is not None and not filters:
+        from . import text_index
+
+        lexical = text_index.topk(index, queries, per_path, mode, n_queries=n_queries)
+    else:
+        n, mean = corpus_stats(chunks)
+        lexical = lexical_topk(postings(chunks, terms=batch_terms(queries, n_queries)), n, mean, queries, per_path, mode, n_queries=n_queries)
     best = top_k(rrf(dense, lexical), OVERFETCH * k, "qid", F.desc("rrf"), F.asc("id"), rank="rrf_rank")
     hydrated = chunks.select("id", "text").join(small_side(best, n_queries), "id")
     distinct = text_dedup(hydrated).join(queries.select("qid", "question"), "qid")

@@ -1,7 +1,5 @@
 """Retrieval, grounding, ingest, limits, evaluation and flows on small tables."""
 
-import random
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,20 +39,6 @@ def test_filters_follow_sql_nulls(spark):
     assert ids(only_in_force=True) == [1, 3] and ids(date_from="2020-06-01") == [3] and ids(min_tokens=5) == [1, 2] and ids(court_type="Y") == [] and ids() == [1, 2, 3]
 
 
-def test_cells_find_most_neighbours(spark):
-    rng = random.Random(1)
-    rows = []
-    for i in range(400):
-        v = [rng.gauss(0, 1) for _ in range(8)]
-        n = sum(x * x for x in v) ** 0.5
-        rows.append((i, [x / n for x in v]))
-    df = spark.createDataFrame(rows, "id long, embedding array<float>")
-    q = df.where("id < 20").select(F.col("id").alias("qid"), F.col("embedding").alias("query_vector"))
-    exact = {(r["qid"], r["id"]) for r in retrieval.dense_topk(df, q, 10, 20).collect()}
-    found = {(r["qid"], r["id"]) for r in retrieval.dense_topk_cells(df, q, retrieval.fit_cells(df, 8), 5, 10).collect()}
-    assert len(exact & found) >= 0.9 * len(exact)
-
-
 def test_registered_cells_find_all_neighbours(spark):
     """The setting of the registered query: 50 neighbours, 16 cells, ids divisible by 50."""
     sf = "/root/testdata/sf0.01"
