@@ -16,7 +16,9 @@ from pyspark.sql.window import Window as W
 from .functions import citations as C
 from .functions import text as T
 from .operators import chunking, conversations, evaluation, grounding, ingest, limits, normalize, retrieval, structural, text_index, vector_index
-from .sources.workspace import built_once
+from .plans import ingest as jobs
+from .sources.snapshots import Change
+from .sources.workspace import built_once, shared_folder
 
 FLAGSHIP = "hybrid_rrf"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -407,6 +409,37 @@ def ingest_summary(t, spark):
     return ingest.run_summary(ingest.classify(*snapshot(t), "m1"))
 
 
+@query(f"""WITH {SNAPSHOT_SQL}, o AS (SELECT source, external_id, lang, CASE WHEN old_status IS NULL THEN 'Inserted' WHEN old_status = 'Indexed' AND old_hash = content_hash AND NOT stale THEN 'Skipped'
+      WHEN old_status = 'Indexed' AND old_hash = content_hash THEN 'ReEmbedded' ELSE 'Updated' END AS outcome, old_status FROM raw LEFT JOIN old USING (source, external_id)),
+  f AS (SELECT *, lang = 'en' AND outcome IN ('Inserted', 'Updated') AS failed FROM o)
+  SELECT source, external_id, CASE WHEN failed THEN 'Failed' ELSE outcome END AS outcome, CASE WHEN failed THEN 'Failed' WHEN outcome = 'Skipped' OR outcome = 'ReEmbedded' THEN old_status ELSE 'Indexed' END AS status,
+    CASE WHEN old_status IS NULL THEN 0 ELSE 2 END + failed::BIGINT AS attempt_count, CASE WHEN failed THEN '[normalize] no normalizer for type book' END AS failure_reason FROM f""")
+def ingest_quarantine(t, spark):
+    """A whole batch with documents that no normalizer takes: English ones here. Stored documents have had two attempts."""
+    _, docs, chunks = snapshot(t)
+    docs = docs.drop("lang").withColumn("attempt_count", F.lit(2))
+    chunks = chunks.select("doc_id", F.lit("c").alias("chunk_id"), F.lit(0).alias("chunk_index"), F.lit("text").alias("text"), F.lit(None).cast("array<float>").alias("embedding"), "embedded_with")
+    raw = t("documents").select("source", F.col("doc_id").cast("string").alias("external_id"), F.when(F.col("lang") == "en", "book").otherwise("judgment").alias("doc_type"),
+                                F.col("text").alias("raw_content"), F.lit("html").alias("content_format"), F.lit(None).cast("string").alias("payload"), F.lit(None).cast("string").alias("source_url"))
+    b = jobs.process_batch(raw, docs, chunks, lambda texts: [[1.0, 0.0] for _ in texts], 2, "m1")
+    rows = ingest.upsert_documents(docs, b.documents).select("source", "external_id", "status", "attempt_count", "failure_reason")
+    return b.outcomes.select("source", "external_id", "outcome").join(rows, ["source", "external_id"])
+
+
+@query("""WITH l AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)
+  SELECT doc_id::VARCHAR AS doc_id, count(*) AS chunks, sum(length(line))::BIGINT AS chars, max(i)::BIGINT AS last_index FROM l WHERE lang <> 'de' AND (lang <> 'fr' OR i % 2 = 0) GROUP BY doc_id""")
+def chunk_replacement(t, spark):
+    """Two commits of a snapshot store: lines as chunks; then French documents keep every other line and German ones lose all."""
+    docs = t("documents").select(F.col("doc_id").cast("string").alias("doc_id"), "lang", "text")
+    lines = docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("chunk_index", "text"))
+    rows, first = docs.select("doc_id", "lang"), lines.drop("lang")
+    store = jobs.document_store(spark, shared_folder(spark, "store"), 16)
+    store.commit("query", 0, {"documents": Change(rows.select("doc_id"), rows), "chunks": Change(rows.select("doc_id"), first)})
+    touched = rows.where("lang IN ('fr', 'de')")
+    store.commit("query", 1, {"documents": Change(touched.select("doc_id"), touched), "chunks": Change(touched.select("doc_id"), lines.where("lang = 'fr' AND chunk_index % 2 = 0").drop("lang"))})
+    return store.read("chunks").groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars"), F.max("chunk_index").alias("last_index"))
+
+
 @query(f"""WITH {SNAPSHOT_SQL} SELECT source, external_id, content_hash FROM raw UNION ALL
   SELECT source, external_id, old_hash FROM old ANTI JOIN raw USING (source, external_id)""")
 def upsert(t, spark):

@@ -86,32 +86,41 @@ def pack_lines(units: list[tuple[str, int]], sizes: list[int], options: ChunkOpt
 
 
 def chunk_segments(segments: DataFrame, options: ChunkOptions | None = None, count: Callable = count_words, doc: str = "doc_id", order: str = "seg",
-                   text: str = "text", start: str = "char_start", carry: list[str] = ()) -> DataFrame:
+                   text: str = "text", start: str = "char_start", carry: list[str] = (), errors: str | None = None) -> DataFrame:
     """Rows (doc, chunk_index, text, char_start, char_end, token_count, *carry).
 
     Chunks with fewer than ``min_words`` words of three letters are dropped
     before numbering. ``carry`` columns (label, locator) come from the segment.
+    With ``errors``, a segment that cannot be chunked is a row with null text and
+    the message in that column, instead of ending the job.
     """
     options = options or ChunkOptions()
     keep = [doc, order, *carry]
     src = segments.select(*keep, F.col(text).alias("_text"), F.coalesce(F.col(start), F.lit(0)).cast("int").alias("_start"))
     types = dict(src.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", local int, text string, char_start int, char_end int, token_count int"
+    schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", local int, text string, char_start int, char_end int, token_count int, error string"
 
     def run(frames):
         for f in frames:
             rows = []
             for r in f.itertuples(index=False, name=None):
                 own, body, at = list(r[:len(keep)]), r[-2] or "", r[-1]
-                units, sizes = bounded_lines(body, count, options.max_tokens)
-                for k, (t, offset, n) in enumerate(pack_lines(units, sizes, options)):
+                try:
+                    packed = pack_lines(*bounded_lines(body, count, options.max_tokens), options)
+                except Exception as e:  # noqa: BLE001  the segment's error is a row
+                    if errors is None:
+                        raise
+                    rows.append([*own, -1, None, None, None, None, str(e)])
+                    continue
+                for k, (t, offset, n) in enumerate(packed):
                     if len(WORDS.findall(t)) >= options.min_words:
-                        rows.append([*own, k, t, at + offset, at + offset + len(t), n])
-            yield pd.DataFrame(rows, columns=[*keep, "local", "text", "char_start", "char_end", "token_count"])
+                        rows.append([*own, k, t, at + offset, at + offset + len(t), n, None])
+            yield pd.DataFrame(rows, columns=[*keep, "local", "text", "char_start", "char_end", "token_count", "error"])
 
     made = src.mapInPandas(run, schema)
     index = F.row_number().over(W.partitionBy(doc).orderBy(order, "local")) - 1
-    return made.withColumn("chunk_index", index).select(doc, "chunk_index", "text", "char_start", "char_end", "token_count", *carry)
+    last = [] if errors is None else [F.col("error").alias(errors)]
+    return made.withColumn("chunk_index", index).select(doc, "chunk_index", "text", "char_start", "char_end", "token_count", *carry, *last)
 
 
 def text_units(df: DataFrame, doc: str, text: str) -> DataFrame:

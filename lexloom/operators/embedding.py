@@ -40,22 +40,51 @@ def substring_reranker(needle: str) -> Callable[[str, list[str]], list[tuple[int
     return lambda query, texts: [(i, 1.0 if needle in t else 0.1) for i, t in enumerate(texts)]
 
 
-def embed_passages(df: DataFrame, text_col: str, provider: Callable, dim: int, model: str, out_col: str = "embedding") -> DataFrame:
-    """Adds L2-normalised vectors and the model's name; a wrong dimension is an error."""
-    @F.pandas_udf("array<float>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def unit_vectors(texts: list[str], provider: Callable, dim: int) -> list[list[float]]:
+    """One call of the provider; its vectors, L2-normalised."""
+    out, got = [], provider(texts)
+    if len(got) != len(texts):
+        raise ValueError(f"{len(got)} vectors for {len(texts)} texts")
+    for v in got:
+        if len(v) != dim:
+            raise ValueError(f"vector of {len(v)} numbers, not {dim}")
+        norm = float(np.linalg.norm(v)) or 1.0
+        out.append([float(x) / norm for x in v])
+    return out
+
+
+def embed_passages(df: DataFrame, text_col: str, provider: Callable, dim: int, model: str, out_col: str = "embedding", errors: str | None = None) -> DataFrame:
+    """Adds L2-normalised vectors and the model's name; a wrong dimension is an error.
+
+    With ``errors``, a batch that fails is asked again text by text, and a text
+    that fails alone has a null vector and the message in that column; null texts
+    are not asked then.
+    """
+    @F.pandas_udf("struct<vector:array<float>,error:string>")
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            vectors: list = []
+            rows: list = []
             for at in range(0, len(texts), BATCH):
-                got = provider(texts.iloc[at:at + BATCH].fillna("").tolist())
-                for v in got:
-                    if len(v) != dim:
-                        raise ValueError(f"vector of {len(v)} numbers, not {dim}")
-                    norm = float(np.linalg.norm(v)) or 1.0
-                    vectors.append([float(x) / norm for x in v])
-            yield pd.Series(vectors)
-
-    return df.withColumn(out_col, embed(F.col(text_col))).withColumn("embedded_with", F.lit(model))
+                part = texts.iloc[at:at + BATCH]
+                asked = part.fillna("").tolist() if errors is None else [t for t in part if t is not None]
+                try:
+                    got = [(v, None) for v in unit_vectors(asked, provider, dim)] if asked else []
+                except Exception:  # noqa: BLE001  found out text by text
+                    if errors is None:
+                        raise
+                    got = [alone(t) for t in asked]
+                left = iter(got)
+                rows += got if errors is None else [(None, None) if t is None else next(left) for t in part]
+            yield pd.DataFrame(rows, columns=["vector", "error"])
+
+    def alone(text: str) -> tuple:
+        try:
+            return unit_vectors([text], provider, dim)[0], None
+        except Exception as e:  # noqa: BLE001  this text's error is its row's
+            return None, str(e)
+
+    out = df.withColumn("_embedded", embed(F.col(text_col))).withColumns({out_col: F.col("_embedded.vector"), "embedded_with": F.lit(model)})
+    return (out if errors is None else out.withColumn(errors, F.col("_embedded.error"))).drop("_embedded")
 
 
 def embed_query(question: str, provider: Callable) -> list[float]:
@@ -72,11 +101,12 @@ def is_stale(embedded_with: Column, model: str) -> Column:
     return ~embedded_with.eqNullSafe(F.lit(model))
 
 
-def reembed_stale(chunks: DataFrame, provider: Callable, dim: int, model: str, text_col: str = "text") -> DataFrame:
-    """Only stale chunks go through the model."""
+def reembed_stale(chunks: DataFrame, provider: Callable, dim: int, model: str, text_col: str = "text", errors: str | None = None) -> DataFrame:
+    """Only stale chunks go through the model; ``errors`` as in ``embed_passages``."""
     fresh = chunks.where(~is_stale(F.col("embedded_with"), model))
-    stale = chunks.where(is_stale(F.col("embedded_with"), model)).drop("embedding", "embedded_with")
-    return fresh.unionByName(embed_passages(stale, text_col, provider, dim, model).select(*fresh.columns))
+    stale = embed_passages(chunks.where(is_stale(F.col("embedded_with"), model)).drop("embedding", "embedded_with"), text_col, provider, dim, model, errors=errors)
+    more = [] if errors is None else [errors]
+    return fresh.withColumns({e: F.lit(None).cast("string") for e in more}).unionByName(stale.select(*fresh.columns, *more))
 
 
 def rerank(candidates: DataFrame, reranker: Callable | None, qid: str = "qid", query: str = "question", text: str = "text") -> DataFrame:

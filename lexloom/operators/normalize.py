@@ -23,13 +23,22 @@ FORM_PREFIXES = ["Zwięźle o powodach", "STANOWISKO SĄDU ODWOŁAWCZEGO"]
 FORM_FILLER = "Nie dotyczy"
 
 
-def with_plain_text(df: DataFrame, html_col: str, out_col: str = "plain_text") -> DataFrame:
-    """Adds the text of an HTML column."""
-    @F.pandas_udf("string")
-    def convert(html: pd.Series) -> pd.Series:
-        return html.map(html_to_text)
-
-    return df.withColumn(out_col, convert(F.col(html_col)))
+def with_plain_text(df: DataFrame, html_col: str, out_col: str = "plain_text", errors: str | None = None) -> DataFrame:
+    """Adds the text of an HTML column; with ``errors``, what a page raised, as a column instead of the job's end."""
+    @F.pandas_udf("struct<text:string,error:string>")
+    def convert(html: pd.Series) -> pd.DataFrame:
+        rows = []
+        for h in html:
+            try:
+                rows.append((html_to_text(h), None))
+            except Exception as e:  # noqa: BLE001  the page's error is its row's
+                if errors is None:
+                    raise
+                rows.append((None, str(e)))
+        return pd.DataFrame(rows, columns=["text", "error"])
+
+    out = df.withColumn("_page", convert(F.col(html_col))).withColumn(out_col, F.col("_page.text"))
+    return (out if errors is None else out.withColumn(errors, F.col("_page.error"))).drop("_page")
 
 
 def strip_form(text: Column) -> Column:
@@ -76,9 +85,9 @@ PAYLOAD = """struct<courtType:string, judgmentType:string, judgmentDate:string,
 
 
 def normalize_judgments(raw: DataFrame, today: Column | None = None) -> DataFrame:
-    """raw (source, external_id, raw_content, payload JSON, source_url) to documents with sections."""
+    """raw (source, external_id, raw_content, payload JSON, source_url) to documents with sections; ``error``: what the parser raised."""
     today = F.current_date() if today is None else today
-    df = with_plain_text(raw, "raw_content").withColumn("p", F.from_json("payload", PAYLOAD))
+    df = with_plain_text(raw, "raw_content", errors="error").withColumn("p", F.from_json("payload", PAYLOAD))
     df = df.withColumn("d", T.judgment_date(F.col("p.judgmentDate"), F.col("plain_text"), today))
     case, court = F.try_element_at("p.courtCases", F.lit(1))["caseNumber"], F.col("p.division.court.name")
     names = F.filter(F.transform(F.coalesce("p.judges", F.array().cast("array<struct<name:string>>")), lambda j: j["name"]), lambda n: F.length(T.strip(n)) > 0)
@@ -88,7 +97,7 @@ def normalize_judgments(raw: DataFrame, today: Column | None = None) -> DataFram
         F.lit(None).cast("boolean").alias("in_force"), F.col("d.issues").alias("quality_issues"), "plain_text",
         F.to_json(F.struct(case.alias("caseNumber"), court.alias("court"), F.col("p.division.name").alias("division"), F.col("p.judgmentType"),
                            names.alias("judges"), F.col("p.keywords"), F.col("p.referencedRegulations"))).alias("typed_metadata"),
-        judgment_sections(F.col("plain_text")).alias("segments"))
+        judgment_sections(F.col("plain_text")).alias("segments"), "error")
 
 
 ACT_PAYLOAD = """struct<title:string, displayAddress:string, type:string, status:string, inForce:string, changeDate:string,
@@ -113,22 +122,26 @@ def unabsorbed_amendments(references: Column, consolidated: Column) -> Column:
 
 
 def with_act_segments(df: DataFrame, content_col: str, format_col: str, title_col: str) -> DataFrame:
-    """Adds ``segments`` and ``segment_issues`` from HTML or flat PDF text."""
-    schema = f"struct<segments:array<{acts.SEGMENT}>,issues:array<string>>"
+    """Adds ``segments``, ``segment_issues`` and ``error`` (what the parser raised) from HTML or flat PDF text."""
+    schema = f"struct<segments:array<{acts.SEGMENT}>,issues:array<string>,error:string>"
 
     @F.pandas_udf(schema)
     def cut(content: pd.Series, kind: pd.Series, title: pd.Series) -> pd.DataFrame:
         out = []
         for c, k, t in zip(content, kind, title, strict=True):
-            rows, issues = acts.mark_variants(acts.act_text_segments(c, t) if k == "pdf-text" else acts.act_html_segments(c, t))
+            try:
+                rows, issues = acts.mark_variants(acts.act_text_segments(c, t) if k == "pdf-text" else acts.act_html_segments(c, t))
+            except Exception as e:  # noqa: BLE001  the document's error is its row's
+                out.append(([], [], str(e)))
+                continue
             if not rows:
                 issues = ["Nie znaleziono jednostek (Art./§) w tekście PDF — sprawdź ekstrakcję/strukturę." if k == "pdf-text"
                           else "Nie znaleziono artykułów (div.unit_arti) — sprawdź strukturę text.html.", *issues]
-            out.append((rows, issues))
-        return pd.DataFrame(out, columns=["segments", "issues"])
+            out.append((rows, issues, None))
+        return pd.DataFrame(out, columns=["segments", "issues", "error"])
 
     return df.withColumn("cut", cut(F.col(content_col), F.col(format_col), F.col(title_col))).withColumns(
-        {"segments": F.col("cut.segments"), "segment_issues": F.col("cut.issues")}).drop("cut")
+        {"segments": F.col("cut.segments"), "segment_issues": F.col("cut.issues"), "error": F.col("cut.error")}).drop("cut")
 
 
 def normalize_acts(raw: DataFrame) -> DataFrame:
@@ -147,7 +160,7 @@ def normalize_acts(raw: DataFrame) -> DataFrame:
         "source", "external_id", F.lit("act").alias("doc_type"), "title", "source_url", T.content_hash(F.col("raw_content")).alias("content_hash"),
         F.lit(None).cast("string").alias("court_type"), F.lit(None).cast("date").alias("judgment_date"), force.alias("in_force"),
         F.col("segment_issues").alias("quality_issues"), F.array_join(F.col("segments.text"), "\n\n").alias("plain_text"),
-        F.to_json(meta).alias("typed_metadata"), "segments")
+        F.to_json(meta).alias("typed_metadata"), "segments", "error")
 
 
 def mark_duplicate_units(units: DataFrame, doc: str = "doc_id", order: str = "pos") -> DataFrame:

@@ -1,5 +1,7 @@
 """Retrieval, grounding, ingest, limits, evaluation and flows on small tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
