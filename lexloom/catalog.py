@@ -178,9 +178,7 @@ def hybrid_filtered(t, spark):
 @query("""SELECT id, key_size FROM (SELECT doc_id AS id, count(*) OVER w AS key_size, row_number() OVER (w ORDER BY n_chars DESC, doc_id) AS n FROM documents
   WINDOW w AS (PARTITION BY lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))))) WHERE n = 1""")
 def text_dedup(t, spark):
-    d = t("documents").select(F.lit(1).alias("qid"), F.col("doc_id").alias("id"), "text", F.col("n_chars").alias("rrf"))
-    d = d.withColumn("key_size", F.count("*").over(W.partitionBy(T.dedup_key(F.col("text")))))
-    return retrieval.text_dedup(d).select("id", "key_size")
+    return retrieval.dedup_corpus(t("documents").select(F.col("doc_id").alias("id"), "text", F.col("n_chars").alias("score"))).select("id", "key_size")
 
 
 @query(f"{WITH_ALL}, {ASSEMBLY_SQL}")
@@ -220,21 +218,25 @@ def abstention_gate(t, spark):
     return s.select("label", "max_similarity", grounding.abstain(F.col("max_similarity"), F.col("n"), 0.3).alias("abstained"))
 
 
-CITING = ("(1, 'Co grozi za art. 148 k.k.?'), (2, 'art. 94 i 95 oraz 96a Kodeksu wykroczeń'), (3, 'Artykuł 5, 6 i 7 kpc § 2'), (4, 'bez cytatu'), "
-          "(5, 'Art 43bb KSH, art. 415 § 1a kodeks cywilny'), (6, 'artykułu 10 k. p. a. § 3'), (7, '')")
+#: How a text cites, by its number modulo seven; the text itself follows.
+CITING = ["'Co grozi za art. ' || n || ' k.k.? '", "'art. ' || n || ' i 95 oraz 96a Kodeksu wykroczeń. '", "'Artykuł 5, ' || n || ' i 7 kpc § 2. '", "'bez cytatu. '",
+          "'Art ' || n || 'bb KSH, art. 415 § 1a kodeks cywilny. '", "'artykułu ' || n || ' k. p. a. § 3. '", "''"]
+CITING_SQL = "CASE doc_id % 7 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(CITING)) + " END"
+CHAIN_SQL = "'(?i)\\bart(?:yku[\\p{L}\\p{N}_]*|\\.)?\\s*\\d+[a-zA-Z]*(?:\\s*(?:,|i|oraz)\\s*\\d+[a-zA-Z]*)*'"
 ABBREVIATION_SQL = " ".join(f"WHEN regexp_matches(question, '(?i)(?:^|[^\\p{{L}}.])" + r"\.?\s?".join(a) + f"\\.?(?:$|[^\\p{{L}}])') THEN '{a}'" for a in C.ABBREVIATIONS)
 
 
-@query(f"""WITH q(qid, question) AS (VALUES {CITING}),
-  chains AS (SELECT qid, question, unnest(regexp_extract_all(question, '(?i)\\bart(?:yku[\\p{{L}}\\p{{N}}_]*|\\.)?\\s*\\d+[a-zA-Z]*(?:\\s*(?:,|i|oraz)\\s*\\d+[a-zA-Z]*)*')) AS chain,
-      generate_subscripts(regexp_extract_all(question, '(?i)\\bart(?:yku[\\p{{L}}\\p{{N}}_]*|\\.)?\\s*\\d+[a-zA-Z]*(?:\\s*(?:,|i|oraz)\\s*\\d+[a-zA-Z]*)*'), 1) AS k FROM q),
+@query(f"""WITH d AS (SELECT doc_id, text, doc_id::VARCHAR AS n FROM documents), q AS (SELECT doc_id AS qid, {CITING_SQL} || coalesce(text, '') AS question FROM d),
+  chains AS (SELECT qid, question, unnest(regexp_extract_all(question, {CHAIN_SQL})) AS chain, generate_subscripts(regexp_extract_all(question, {CHAIN_SQL}), 1) AS k FROM q),
   numbers AS (SELECT qid, question, k, unnest(regexp_extract_all(chain, '\\d+[a-zA-Z]*')) AS article, generate_subscripts(regexp_extract_all(chain, '\\d+[a-zA-Z]*'), 1) AS i FROM chains)
-  SELECT qid::BIGINT AS qid, row_number() OVER (PARTITION BY qid ORDER BY k, i) - 1 AS n, article,
+  SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY k, i) - 1 AS n, article,
     coalesce(nullif(trim(regexp_replace(regexp_extract(question, '(?i)kodeks[\\p{{L}}]*(?:\\s+\\p{{L}}+){{1,2}}'), '\\s+', ' ', 'g')), ''), CASE {ABBREVIATION_SQL} END) AS act_hint
   FROM numbers""")
 def citation_parse(t, spark):
-    q = literal(spark, CITING, "qid, question")
-    return structural.cited_units(q, limit=100).select("qid", "n", "article", "act_hint")
+    """Every document as a question that cites units."""
+    d = t("documents").select("doc_id", F.col("doc_id").cast("string").alias("n"), F.coalesce("text", F.lit("")).alias("text"))
+    q = d.select(F.col("doc_id").alias("qid"), F.concat(F.expr(CITING_SQL), "text").alias("question"))
+    return structural.cited_units(q, limit=1 << 20).select("qid", "n", "article", "act_hint")
 
 
 TRI_SQL = "list_distinct(flatten(list_transform({0}, lambda w: list_transform(range(1, len(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
@@ -314,13 +316,14 @@ def locator_label(t, spark):
     return o.select("o_orderkey", label.alias("label"))
 
 
-@query("""WITH r AS (SELECT source AS qid, doc_id, lang, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)
+@query("""WITH r AS (SELECT doc_id // 8 AS qid, doc_id, lang, text, row_number() OVER (PARTITION BY doc_id // 8 ORDER BY doc_id) AS n FROM documents)
   SELECT qid, sha256('PYTANIE:' || chr(10) || 'Q ' || qid || chr(10) || chr(10) || 'ŹRÓDŁA:' || chr(10) ||
     string_agg('[' || n || '] ' || lang || chr(10) || text || chr(10) || chr(10), '' ORDER BY n)) AS prompt_sha256, max(n) AS n_sources FROM r GROUP BY qid""")
 def grounded_prompt(t, spark):
-    rows = t("documents").select(F.col("source").alias("qid"), F.col("doc_id").alias("pos"), F.col("lang").alias("label"), "text")
+    """All documents as sources, eight to a question, as many as a search returns."""
+    rows = t("documents").select(F.floor(F.col("doc_id") / 8).alias("qid"), F.col("doc_id").alias("pos"), F.col("lang").alias("label"), "text")
     block = grounding.source_block(rows)
-    return block.select("qid", F.sha2(grounding.user_message(F.concat(F.lit("Q "), F.col("qid")), F.col("sources")), 256).alias("prompt_sha256"), "n_sources")
+    return block.select("qid", F.sha2(grounding.user_message(F.concat(F.lit("Q "), F.col("qid").cast("string")), F.col("sources")), 256).alias("prompt_sha256"), "n_sources")
 
 
 @query("""WITH a AS (SELECT item_id, text || ' Art.  5 obowiązuje. II AKo 174/22' AS context, 'Zob. [1], [3] i [1]; art. 5, art. 77 § 2 oraz II AKo 174/22 i I ACa 1/20 [9]' AS answer FROM benchmark)
@@ -586,14 +589,16 @@ def retention(t, spark):
     return conversations.cascade(t("orders"), conversations.retain(parents, "2001-06-01"), "o_custkey").select("o_orderkey")
 
 
-BASES = ("(1, 'art. 63(1) k.k.'), (2, 'art. 5 ustawy z dnia 29 lipca 2005 r. o przeciwdziałaniu narkomanii.'), (3, 'Art. 3310 KPC'), (4, ''), (5, 'Traktat, art. 2'), (6, 'art. 7 Konstytucji')")
+#: Legal bases of answer keys, by the order's number modulo six.
+BASES = ["'art. ' || o_custkey || '(1) k.k.'", "'art. ' || o_custkey || ' ustawy z dnia 29 lipca 2005 r. o ' || lower(o_orderpriority) || '.'", "'Art. ' || o_custkey || 'a KPC'", "'  '",
+         "'Traktat, art. ' || o_custkey", "'art. ' || o_custkey || ' Konstytucji'"]
+BASES_SQL = "CASE o_orderkey % 6 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(BASES)) + " END"
 
 
-@query(f"""WITH b(nr, basis) AS (VALUES {BASES}) SELECT nr::BIGINT AS nr, nullif(regexp_extract(basis, '(?i)\\bart\\.\\s*(\\d+\\w*)', 1), '') AS article,
+@query(f"""WITH b AS (SELECT o_orderkey AS nr, {BASES_SQL} AS basis FROM orders) SELECT nr, nullif(regexp_extract(basis, '(?i)\\bart\\.\\s*(\\d+\\w*)', 1), '') AS article,
     nullif(regexp_replace(regexp_extract(basis, '(?i)ustaw[ay][^,]*?\\b(o\\s+.+)$', 1), '[. ]+$', ''), '') AS hint,
     CASE WHEN trim(basis) = '' THEN 'brak' {' '.join(f"WHEN contains(lower(basis), '{k}') THEN '{v}'" for k, v in C.DOMAINS)} ELSE 'inne' END AS domain FROM b""")
 def exam_basis(t, spark):
-    b = literal(spark, BASES, "nr, basis").withColumn("b", C.legal_basis(F.col("basis")))
+    """Every order as an answer key with its legal basis."""
+    b = t("orders").select(F.col("o_orderkey").alias("nr"), F.expr(BASES_SQL).alias("basis")).withColumn("b", C.legal_basis(F.col("basis")))
     return b.select("nr", "b.article", "b.hint", "b.domain")
-
-

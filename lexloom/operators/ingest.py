@@ -11,8 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
+from . import ordered
 from .embedding import is_stale
 
 KEY = ["source", "external_id"]
@@ -96,11 +96,14 @@ def orphans(chunks: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def fail_streaks(outcomes: DataFrame, order: str = "external_id", by: str = "source", failed: str = "outcome = 'Failed'") -> DataFrame:
-    """(by, longest): the longest run of failures in order; any other outcome ends a run."""
-    w = W.partitionBy(by).orderBy(order)
-    bad = F.expr(failed)
-    runs = outcomes.withColumn("_bad", bad).withColumn("_island", F.sum(F.when(F.col("_bad"), 0).otherwise(1)).over(w))
-    lengths = runs.groupBy(by, "_island").agg(F.count_if("_bad").alias("n"))
+    """(by, longest): the longest run of failures in order; any other outcome ends a run.
+
+    Runs are numbered by the running count of other outcomes, block by block, so
+    a source may hold any share of the rows.
+    """
+    rows = ordered.deal(outcomes.select(by, order, F.expr(failed).alias("_bad")), [by], [order])
+    runs = ordered.running(rows, [by], [order], F.when(F.col("_bad"), 0).otherwise(1), "_island")
+    lengths = runs.groupBy(by, "_island").agg(F.count_if("_bad").alias("n"), F.count("*").alias("m"))
     return lengths.groupBy(by).agg(F.max("n").alias("longest"))
 
 

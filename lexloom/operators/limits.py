@@ -1,71 +1,49 @@
 """Request limits as folds over ordered requests.
 
 A denied request does not count, so a plain window count would overstate; each
-fold carries what was accepted. Users are independent; a user's requests of a
-day are one sequence, which the limits themselves keep short.
+fold carries what was accepted. Neither a user nor a day nor a window is ever
+brought into one task: see ``ordered``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
+from . import ordered
 
-def sliding_limit(requests: DataFrame, limit: int = 30, seconds: int = 60, user: str = "user_id", at: str = "ts", key: str = "event_id") -> DataFrame:
+
+def sliding_limit(requests: DataFrame, limit: int = 30, seconds: int = 60, user: str = "user_id", at: str = "ts", key: str = "event_id",
+                  block_rows: int = ordered.BLOCK_ROWS) -> DataFrame:
     """(user, key, at, accepted): at most ``limit`` accepted requests in any window.
 
     An accepted request exactly ``seconds`` old still counts. The state is the
-    times of the last ``limit`` accepted requests.
+    times of the last accepted requests, ``limit`` at most.
     """
     us = seconds * 1_000_000
-    rows = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.col(key).alias("k"))))
-    fold = F.expr(f"""aggregate(rows, struct(CAST(array() AS array<bigint>) AS q, CAST(array() AS array<boolean>) AS r),
-        (s, x) -> CASE WHEN size(filter(s.q, t -> t >= x.t - {us})) < {int(limit)}
-            THEN struct(concat(filter(s.q, t -> t >= x.t - {us}), array(x.t)) AS q, concat(s.r, array(true)) AS r)
-            ELSE struct(filter(s.q, t -> t >= x.t - {us}) AS q, concat(s.r, array(false)) AS r) END,
-        s -> s.r)""")
-    folded = requests.groupBy(user).agg(rows.alias("rows")).withColumn("ok", fold)
-    out = folded.select(user, F.explode(F.arrays_zip("rows", "ok")).alias("z"))
-    return out.select(user, F.col("z.rows.k").alias(key), F.timestamp_micros(F.col("z.rows.t")).alias(at), F.col("z.ok").alias("accepted"))
 
+    def step(recent: list[int], t: int) -> tuple[list[int], bool]:
+        recent = [x for x in recent if x >= t - us]
+        ok = len(recent) < limit
+        return ([*recent, int(t)] if ok else recent), ok
 
-def fixed_window_limit(requests: DataFrame, limit: int = 60, width: str = "1 minute", at: str = "ts", key: str = "event_id", by: list[str] = ()) -> DataFrame:
-    """Adds window_start and accepted: the first ``limit`` requests of each window."""
-    ts = F.col(at).cast("timestamp")
-    placed = requests.withColumn("window_start", F.window(ts, width)["start"])
-    n = F.row_number().over(W.partitionBy("window_start", *by).orderBy(ts, key))
-    return placed.withColumn("accepted", n <= limit)
+    rows = requests.select(user, key, F.unix_micros(F.col(at).cast("timestamp")).alias("_t"))
+    out = ordered.fold(rows, user, "_t", key, step, block_rows)
+    return out.select(user, key, F.timestamp_micros("_t").alias(at), "accepted")
 
 
-def sliding_limit_sorted(requests: DataFrame, limit: int = 30, seconds: int = 60, user: str = "user_id", at: str = "ts", key: str = "event_id") -> DataFrame:
-    """The same fold over sorted partitions: a task holds at most ``limit`` times, whatever a user's traffic."""
-    import pandas as pd
-
-    us = seconds * 1_000_000
-    rows = requests.select(F.col(user), F.col(key), F.unix_micros(F.col(at).cast("timestamp")).alias("t"))
-    types = dict(rows.dtypes)
-
-    def run(frames):
-        who, recent = None, []
-        for f in frames:
-            ok = []
-            for u, t in zip(f[user], f["t"], strict=True):
-                if u != who:
-                    who, recent = u, []
-                recent = [x for x in recent if x >= t - us]
-                ok.append(len(recent) < limit)
-                if ok[-1]:
-                    recent.append(t)
-            yield pd.DataFrame({user: f[user], key: f[key], "t": f["t"], "accepted": ok})
-
-    laid = rows.repartition(user).sortWithinPartitions(user, "t", key)
-    out = laid.mapInPandas(run, f"`{user}` {types[user]}, `{key}` {types[key]}, t long, accepted boolean")
-    return out.select(user, key, F.timestamp_micros("t").alias(at), "accepted")
+def fixed_window_limit(requests: DataFrame, limit: int = 60, width: str = "1 minute", at: str = "ts", key: str = "event_id", by: list[str] = (),
+                       block_rows: int = ordered.BLOCK_ROWS) -> DataFrame:
+    """Adds window_start and accepted: the first ``limit`` requests of each window."""
+    ts = F.col(at).cast("timestamp")
+    placed = requests.withColumn("window_start", F.window(ts, width)["start"]).withColumn("_at", ts)
+    own, order = ["window_start", *by], ["_at", key]
+    counted = ordered.running(ordered.deal(placed, own, order, block_rows), own, order, F.lit(1), "_n")
+    return counted.withColumn("accepted", F.col("_n") < limit).drop("_n", "_at", ordered.BLOCK)
 
 
 def daily_caps(requests: DataFrame, max_chars: int, max_requests: int, max_per_user: int, chars: str = "chars", user: str = "user_id", at: str = "ts",
-               key: str = "event_id") -> DataFrame:
+               key: str = "event_id", block_rows: int = ordered.BLOCK_ROWS) -> DataFrame:
     """(day, key, verdict): per UTC day, output characters, then requests, then requests per user.
 
     Each cap is checked on what was accepted before; a reached global cap holds
@@ -74,10 +52,11 @@ def daily_caps(requests: DataFrame, max_chars: int, max_requests: int, max_per_u
     """
     ts = F.col(at).cast("timestamp")
     rows = requests.select(F.to_date(ts).alias("day"), F.col(key), F.col(user).alias("_u"), F.col(chars).cast("long").alias("_c"), ts.alias("_t"))
-    rows = rows.withColumn("_k", (F.row_number().over(W.partitionBy("day", "_u").orderBy("_t", key)) <= max_per_user).cast("int"))
-    before = W.partitionBy("day").orderBy("_t", key).rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("_n", F.coalesce(F.sum("_k").over(before), F.lit(0)))
-    counted = F.when((F.col("_k") == 1) & (F.col("_n") < max_requests), F.col("_c")).otherwise(0)
-    rows = rows.withColumn("_w", counted).withColumn("_s", F.coalesce(F.sum("_w").over(before), F.lit(0)))
+    own, order = ["day", "_u"], ["_t", key]
+    rows = ordered.running(ordered.deal(rows, own, order, block_rows), own, order, F.lit(1), "_n").withColumn("_k", (F.col("_n") < max_per_user).cast("int")).drop("_n", ordered.BLOCK)
+    rows = ordered.deal(rows, ["day"], order, block_rows)
+    rows = ordered.running(rows, ["day"], order, F.col("_k"), "_n")
+    counted = F.when((F.col("_k") == 1) & (F.col("_n") < max_requests), F.coalesce("_c", F.lit(0))).otherwise(0)
+    rows = ordered.running(rows, ["day"], order, counted, "_s")
     verdict = F.when(F.col("_s") >= max_chars, "chars").when(F.col("_n") >= max_requests, "requests").when(F.col("_k") == 0, "user").otherwise("ok")
     return rows.select("day", key, verdict.alias("verdict"))

@@ -160,6 +160,18 @@ def text_dedup(candidates: DataFrame, text_col: str = "text", score: str = "rrf"
     return candidates.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def dedup_corpus(rows: DataFrame, id_col: str = "id", text_col: str = "text", score: str = "score") -> DataFrame:
+    """(id, key_size): the best row of each text up to case and white space, over a whole table.
+
+    Grouped by the key's SHA-256 with partial aggregates: no text is shuffled, and
+    a common text does not fill a task.
+    """
+    key = F.sha2(F.coalesce(dedup_key(F.col(text_col)), F.lit("")), 256)
+    key = F.struct(F.col(text_col).isNull(), F.unhex(key))
+    best = F.min_by(id_col, F.struct(-F.col(score), F.col(id_col)))
+    return rows.groupBy(key.alias("_k")).agg(best.alias(id_col), F.count("*").alias("key_size")).drop("_k")
+
+
 def assemble(structural: DataFrame, ranked: DataFrame, k: int) -> DataFrame:
     """Structural rows first, then ranked ones; an id appears once; k rows per question.
 
