@@ -15,7 +15,7 @@ from pyspark.sql.window import Window as W
 
 from .functions import citations as C
 from .functions import text as T
-from .operators import chunking, conversations, evaluation, grounding, ingest, limits, normalize, retrieval, structural, text_index, vector_index
+from .operators import chunking, conversations, evaluation, grounding, ingest, limits, normalize, ordered, retrieval, structural, text_index, vector_index
 from .plans import ingest as jobs
 from .sources.snapshots import Change
 from .sources.workspace import built_once, shared_folder
@@ -249,7 +249,7 @@ HINTS = "('red large'), ('blue small'), ('steel'), ('zzz qqq')"
   SELECT hint, arg_min(p_partkey, (-s, p_partkey)) AS external_id FROM s WHERE s >= 0.15 GROUP BY hint""")
 def act_resolve_trigram(t, spark):
     acts = t("part").select(F.col("p_partkey").alias("external_id"), F.col("p_name").alias("title"))
-    return structural.resolve_acts(literal(spark, HINTS, "hint"), acts)
+    return structural.resolve_acts(literal(spark, HINTS, "hint"), acts, n_hints=4)
 
 
 UNITS = "(1, 0, '1', 'R'), (1, 1, '3', 'N'), (2, 0, '7', 'N'), (2, 1, '1', 'N'), (3, 0, '32', 'A'), (3, 1, '33', 'R')"
@@ -582,6 +582,27 @@ def cost_daily(t, spark):
     return limits.daily_caps(e, 2500, 120, 3).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
+@query("""WITH r AS (SELECT client_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS opens FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL
+    WINDOW w AS (PARTITION BY client_id ORDER BY ts, click_id)), s AS (SELECT *, sum(opens) OVER (PARTITION BY client_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM r)
+  SELECT client_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n FROM s GROUP BY client_id, session""")
+def click_sessions(t, spark):
+    """Sessions of ten minutes' silence; one client holds many of the clicks."""
+    return ordered.sessions(t("clicks"), "client_id", "ts", "click_id", 600)
+
+
+@query("""WITH a AS (SELECT DISTINCT 'src' || (n_nationkey % 20) AS amendment, (n_nationkey * 7 % 60)::VARCHAR || CASE WHEN n_nationkey % 5 = 0 THEN '(1)' ELSE '' END AS article FROM nation),
+  d AS (SELECT doc_id, source, 'Zmienia się art art.  ' || (doc_id % 61) || ' oraz Art ' || (doc_id % 17) || 'a i art. ' || (doc_id % 23) || '(1). ' || coalesce(text, '') AS text FROM documents)
+  SELECT DISTINCT doc_id, source FROM d JOIN a ON amendment = source WHERE regexp_matches(text, '(?i)\\bart\\.?\\s*' || replace(replace(article, '(', '\\('), ')', '\\)') || '\\b')""")
+def amendment_mentions(t, spark):
+    """Documents of amending sources that name an article of interest, in one pass over each text."""
+    nation = t("nation")
+    article = F.concat((F.col("n_nationkey") * 7 % 60).cast("string"), F.when(F.col("n_nationkey") % 5 == 0, "(1)").otherwise(""))
+    wanted = nation.groupBy(F.concat(F.lit("src"), (F.col("n_nationkey") % 20).cast("string")).alias("source")).agg(F.collect_set(article).alias("articles"))
+    text = F.concat(F.lit("Zmienia się art art.  "), (F.col("doc_id") % 61).cast("string"), F.lit(" oraz Art "), (F.col("doc_id") % 17).cast("string"), F.lit("a i art. "),
+                    (F.col("doc_id") % 23).cast("string"), F.lit("(1). "), F.coalesce("text", F.lit("")))
+    return t("documents").select("doc_id", "source", text.alias("text")).join(wanted, "source").where(grounding.mentions_any(F.col("text"), F.col("articles"))).select("doc_id", "source")
+
+
 @query("""WITH p AS (SELECT o_custkey AS c, max(o_orderdate) AS u FROM orders GROUP BY o_custkey), k AS (SELECT c FROM p WHERE u >= TIMESTAMP '2001-06-01' - INTERVAL 183 DAYS)
   SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c FROM k)""")
 def retention(t, spark):

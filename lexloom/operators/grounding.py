@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -40,8 +42,21 @@ def tag_amendments(rows: DataFrame, unabsorbed: DataFrame) -> DataFrame:
     return rows.join(dates, F.lower(rows["external_id"]) == dates["amendment"], "left").drop("amendment")
 
 
+def mentioned_articles(text: Column) -> Column:
+    """Lower-cased article numbers after "art.", found in one pass over the text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(?iU)\bart(?=\.?\s*(\w+))"), F.lit(1)), lambda a: F.lower(a)))
+
+
 def mentions_any(text: Column, articles: Column) -> Column:
-    return F.exists(articles, lambda a: F.regexp_like(text, F.concat(F.lit(r"(?iU)\bart\.?\s*\Q"), a, F.lit(r"\E\b"))))
+    """Whether the text names one of the articles; the cost does not grow with their number.
+
+    A number of letters and digits equals a whole word after "art."; only others
+    (with brackets or hyphens) are searched one by one.
+    """
+    plain = lambda a: F.regexp_like(a, F.lit(r"(?U)^\w+$"))
+    words = F.transform(F.filter(articles, plain), lambda a: F.lower(a))
+    odd = F.filter(articles, lambda a: ~plain(a))
+    return F.arrays_overlap(mentioned_articles(text), words) | F.exists(odd, lambda a: F.regexp_like(text, F.concat(F.lit(r"(?iU)\bart\.?\s*\Q"), a, F.lit(r"\E\b"))))
 
 
 def append_amendments(rows: DataFrame, cited: DataFrame, unabsorbed: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -111,14 +126,36 @@ def grounded_prompt(questions: DataFrame, rows: DataFrame, history: DataFrame |
     return merged.groupBy("qid").agg(F.concat(head, ordered).alias("messages"))
 
 
-def complete(prompts: DataFrame, model: Callable[[list[dict]], str]) -> DataFrame:
-    """Adds the model's answer and a token estimate of a quarter of the characters."""
-    @F.pandas_udf("string")
-    def ask(messages: pd.Series) -> pd.Series:
-        return pd.Series([model([dict(m) for m in row]) for row in messages])
+def complete(prompts: DataFrame, model: Callable[[list[dict]], str | tuple[str, int]], in_flight: int = 4, attempts: int = 3, pause: float = 0.2) -> DataFrame:
+    """Adds answer, answer_tokens, model_error and model_attempts.
 
-    out = prompts.withColumn("answer", ask(F.col("messages")))
-    return out.withColumn("answer_tokens", F.ceil(F.length("answer") / 4))
+    Each task has at most ``in_flight`` calls open; answers keep their rows. A
+    call is repeated after an error with growing pauses; the last error is kept
+    and leaves the answer null. The model returns the answer, or the answer and
+    the tokens it used; tokens are estimated as a quarter of the characters.
+    """
+    def call(messages) -> tuple:
+        error = None
+        for k in range(attempts):
+            try:
+                got = model([dict(m) for m in messages])
+                text, used = got if isinstance(got, tuple) else (got, -(-len(got) // 4))
+                return text, used, None, k + 1
+            except Exception as e:  # noqa: BLE001  the row's error
+                error = str(e)
+                if k + 1 < attempts:
+                    time.sleep(pause * 2**k)
+        return None, None, error, attempts
+
+    @F.pandas_udf("struct<answer:string,tokens:bigint,error:string,attempts:int>")
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(in_flight) as pool:
+            for messages in batches:
+                out = pd.DataFrame(list(pool.map(call, messages)), columns=["answer", "tokens", "error", "attempts"])
+                yield out.astype({"tokens": "Int64", "attempts": "int32"})
+
+    out = prompts.withColumn("_told", ask(F.col("messages")))
+    return out.withColumns({"answer": F.col("_told.answer"), "answer_tokens": F.col("_told.tokens"), "model_error": F.col("_told.error"), "model_attempts": F.col("_told.attempts")}).drop("_told")
 
 
 def validate(answers: DataFrame, answer: str = "answer", context: str = "sources", n: str = "n_sources") -> DataFrame:

@@ -67,6 +67,27 @@ def running(dealt: DataFrame, by: list[str], order: list[str], value, out: str)
     return rows.select(*dealt.columns, (F.coalesce("_local", F.lit(0)) + F.coalesce("before", F.lit(0))).alias(out))
 
 
+def previous(dealt: DataFrame, by: list[str], order: list[str], out: str) -> DataFrame:
+    """Adds ``out``: the first order column of the key's row before, null for its first. ``dealt`` by (by, order)."""
+    at = order[0]
+    before = before_block(dealt.groupBy(*by, BLOCK).agg(F.max(at).alias("_t")), by, "_t", F.max)
+    rows = same_keys(dealt.withColumn("_local", F.lag(at).over(W.partitionBy(BLOCK, *by).orderBy(*order))), before, [*by, BLOCK], "left")
+    return rows.select(*dealt.columns, F.coalesce("_local", "before").alias(out))
+
+
+def sessions(df: DataFrame, by: str, at: str, tie: str, seconds: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(by, session_start, session_end, n): rows of a key at most ``seconds`` apart, the end being the last row's time.
+
+    A session may hold any share of the rows; rows without key or time have none.
+    """
+    rows = deal(df.where(F.col(by).isNotNull() & F.col(at).isNotNull()).select(by, at, tie), [by], [at, tie], block_rows)
+    rows = previous(rows, [by], [at, tie], "_before")
+    opens = F.col("_before").isNull() | (F.col(at) > F.col("_before") + F.make_dt_interval(secs=F.lit(seconds)))
+    rows = running(rows.withColumn("_opens", opens.cast("int")), [by], [at, tie], F.col("_opens"), "_earlier")
+    numbered = rows.withColumn("_session", F.col("_earlier") + F.col("_opens"))
+    return numbered.groupBy(by, "_session").agg(F.min(at).alias("session_start"), F.max(at).alias("session_end"), F.count("*").alias("n")).drop("_session")
+
+
 Step = Callable[[list[int], int], tuple[list[int], bool]]
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.citations import canonical_title, citations
-from ..functions.text import trigram_similarity
+from ..functions.citations import ALIASES, canonical_title, citations
+from ..functions.text import trigrams
+from .retrieval import small_side
 
 CITED = 4
 PER_UNIT = 20
@@ -19,19 +20,47 @@ def cited_units(queries: DataFrame, text: str = "question", limit: int = CITED)
     return queries.select("qid", F.posexplode(F.slice(citations(F.col(text)), 1, limit)).alias("n", "c")).select("qid", "n", "c.*")
 
 
-def resolve_acts(hints: DataFrame, acts: DataFrame) -> DataFrame:
+def ordered_grams(text: Column) -> Column:
+    """Trigrams in the order of their hashes, which is the same for every text."""
+    return F.transform(F.array_sort(F.transform(trigrams(text), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))), lambda x: x["g"])
+
+
+def prefix_length(size: Column, least: float) -> Column:
+    """How many of a set's first elements must hold one of every set of Jaccard similarity ``least`` or more."""
+    return F.greatest(size - F.ceil(size * F.lit(least)) + 1, F.lit(0)).cast("int")
+
+
+def similar_titles(hints: DataFrame, acts: DataFrame, least: float = LEAST_SIMILARITY, digits: int = 9, n_hints: int | None = None) -> DataFrame:
+    """(hint, external_id, s): all pairs of trigram similarity ``least`` or more, by a prefix-filtered join.
+
+    hints (hint), acts (external_id, title). Two sets that similar share one of
+    their first trigrams in a common order, and their sizes differ by a factor of
+    1 / ``least`` at most; only such pairs are compared.
+    """
+    low = least - 10.0 ** -digits
+    grams = lambda df, col, *keep: df.select(*keep, ordered_grams(F.col(col)).alias("g")).select(*keep, "g", F.size("g").alias("n"))
+    first = lambda df: df.withColumn("first", F.explode(F.slice("g", 1, prefix_length(F.col("n"), low))))
+    h = first(grams(hints.select("hint").distinct(), "hint", "hint")).withColumnsRenamed({"g": "hg", "n": "hn"})
+    pairs = first(grams(acts, "title", "external_id")).join(small_side(h, n_hints), "first").where((F.col("n") >= F.col("hn") * low) & (F.col("hn") >= F.col("n") * low))
+    shared = F.size(F.array_intersect("g", "hg"))
+    scored = pairs.withColumn("s", F.round(shared / (F.col("n") + F.col("hn") - shared), digits)).where(F.col("s") >= least)
+    return scored.groupBy("hint", "external_id").agg(F.max("s").alias("s"))
+
+
+def resolve_acts(hints: DataFrame, acts: DataFrame, n_hints: int | None = None) -> DataFrame:
     """(hint, external_id): hints (hint), acts (external_id, title).
 
     A known abbreviation takes the shortest title that holds its canonical
     name; any other hint the title of greatest trigram similarity, if that is
-    enough. Titles are compared with every distinct hint: a question names at
-    most ``CITED`` units, so a stated batch bounds what is broadcast.
+    enough. Titles are looked through for the fixed canonical names once, and the
+    names they hold are joined; hints are broadcast only for a stated batch.
     """
     h = hints.select("hint").where("hint IS NOT NULL").distinct().withColumn("name", canonical_title(F.col("hint")))
-    pairs = acts.select("external_id", "title").join(F.broadcast(h), F.col("name").isNull() | F.contains(F.lower("title"), F.lower("name")))
-    known = pairs.where("name IS NOT NULL").groupBy("hint").agg(F.min_by("external_id", F.struct(F.length("title"), "external_id")).alias("external_id"))
-    scored = pairs.where("name IS NULL").withColumn("s", F.round(trigram_similarity(F.col("title"), F.col("hint")), 9)).where(F.col("s") >= LEAST_SIMILARITY)
-    fuzzy = scored.groupBy("hint").agg(F.min_by("external_id", F.struct(-F.col("s"), "external_id")).alias("external_id"))
+    names = F.filter(F.array(*[F.lit(n) for n in sorted(set(ALIASES.values()))]), lambda n: F.contains(F.lower("title"), F.lower(n)))
+    named = acts.select("external_id", "title", F.explode(names).alias("name"))
+    best = named.groupBy("name").agg(F.min_by("external_id", F.struct(F.length("title"), "external_id")).alias("external_id"))
+    known = h.where("name IS NOT NULL").join(best, "name").select("hint", "external_id")
+    fuzzy = similar_titles(h.where("name IS NULL"), acts, n_hints=n_hints).groupBy("hint").agg(F.min_by("external_id", F.struct(-F.col("s"), "external_id")).alias("external_id"))
     return known.unionByName(fuzzy)
 
 

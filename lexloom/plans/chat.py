@@ -22,7 +22,7 @@ def search(chunks: DataFrame, questions: DataFrame, provider: Callable, dim: int
     units = None
     if acts is not None:
         cited = structural.cited_units(questions)
-        units = structural.structural_lookup(cited, structural.resolve_acts(cited.select(F.col("act_hint").alias("hint")), acts), chunks)
+        units = structural.structural_lookup(cited, structural.resolve_acts(cited.select(F.col("act_hint").alias("hint")), acts, n_queries and n_queries * structural.CITED), chunks)
     return retrieval.hybrid(chunks, q, k, per_path, n_queries, units, reranker, mode, filters=filters, unit_norm=unit_norm)
 
 

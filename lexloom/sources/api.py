@@ -15,7 +15,8 @@ import time
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, Not)
 
 RAW = "source string, external_id string, doc_type string, raw_content string, content_format string, payload string, source_url string, modified string"
 #: Pages read again after a restart.
@@ -65,9 +66,14 @@ class Pages(InputPartition):
 
 
 class _JudgmentReader(DataSourceReader):
+    """Search pages, then each document by its id."""
+
     def __init__(self, options):
         self.options = options
 
+    def wanted(self, item: dict) -> bool:
+        return True
+
     def partitions(self):
         head = patient(resolve(self.options), "search/0") or {}
         size, total = int(self.options.get("pagesize", 100)), int(head.get("total", 0))
@@ -78,37 +84,91 @@ class _JudgmentReader(DataSourceReader):
         fetch = resolve(self.options)
         for page in range(partition.first, partition.last):
             for item in (patient(fetch, f"search/{page}") or {}).get("items", []):
+                if not self.wanted(item):
+                    continue
                 doc = patient(fetch, f"judgments/{item['id']}")
                 if doc is not None and (doc.get("data", doc).get("textContent") or "").strip():
                     yield judgment_row(doc, item.get("href"))
 
 
-class _JudgmentStream(SimpleDataSourceStreamReader):
-    """Dump pages in order; the offset is the next page, a restart overlaps."""
+class _PushingReader(_JudgmentReader):
+    """Filters on the id and on the modification date are applied before the
+    download; Spark applies them again. Needs ``spark.sql.python.filterPushdown.enabled``."""
+
+    def __init__(self, options):
+        super().__init__(options)
+        self.only, self.skip, self.since = None, frozenset(), None
+
+    def pushFilters(self, filters):  # noqa: N802
+        for f in filters:
+            if isinstance(f, (EqualTo, In)) and f.attribute == ("external_id",):
+                values = {str(v) for v in (f.value if isinstance(f, In) else [f.value])}
+                self.only = values if self.only is None else self.only & values
+            elif isinstance(f, Not) and isinstance(f.child, (EqualTo, In)) and f.child.attribute == ("external_id",):
+                self.skip |= {str(v) for v in (f.child.value if isinstance(f.child, In) else [f.child.value])}
+            elif isinstance(f, (GreaterThan, GreaterThanOrEqual)) and f.attribute == ("modified",):
+                self.since = max(self.since or "", str(f.value))
+            yield f
+
+    def wanted(self, item: dict) -> bool:
+        own, changed = str(item["id"]), item.get("modificationDate")
+        return own not in self.skip and (self.only is None or own in self.only) and (self.since is None or changed is None or changed >= self.since)
+
+
+class _ListingReader(_JudgmentReader):
+    """The search pages alone: what could be downloaded."""
+
+    def read(self, partition):
+        for page in range(partition.first, partition.last):
+            for item in (patient(resolve(self.options), f"search/{page}") or {}).get("items", []):
+                yield ("SAOS", str(item["id"]), item.get("href"), item.get("modificationDate"))
+
+
+class _JudgmentStream(DataSourceStreamReader):
+    """Dump pages since a date; the offset is the next page, a restart overlaps.
+
+    The driver only finds out where the dump ends, by doubling and halving; the
+    pages are read by tasks, a range each.
+    """
 
     def __init__(self, options):
         self.options = options
 
+    def path(self, page: int) -> str:
+        since = self.options.get("since")
+        return f"dump/since={since}/{page}" if since else f"dump/{page}"
+
     def initialOffset(self):  # noqa: N802
         return {"page": max(0, int(self.options.get("page", 0)) - OVERLAP)}
 
-    def read(self, start):
-        fetch, page, rows = resolve(self.options), start["page"], []
-        while (body := patient(fetch, f"dump/{page}")) is not None:
-            rows += [judgment_row({"data": d}, d.get("href")) for d in body.get("items", []) if (d.get("textContent") or "").strip()]
-            page += 1
-        return iter(rows), {"page": page}
+    def latestOffset(self):  # noqa: N802
+        fetch, low, step = resolve(self.options), self.initialOffset()["page"], 1
+        there = lambda page: patient(fetch, self.path(page)) is not None
+        while there(low + step - 1):
+            low, step = low + step, step * 2
+        high = low + step - 1  # page ``high`` is absent, all before ``low`` are there
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (mid + 1, high) if there(mid) else (low, mid)
+        return {"page": low}
+
+    def partitions(self, start, end):
+        step = int(self.options.get("pagesperpartition", 10))
+        return [Pages(a, min(a + step, end["page"])) for a in range(start["page"], end["page"], step)]
 
-    def readBetweenOffsets(self, start, end):  # noqa: N802
-        fetch = resolve(self.options)
-        for page in range(start["page"], end["page"]):
-            for d in (patient(fetch, f"dump/{page}") or {}).get("items", []):
-                if (d.get("textContent") or "").strip():
+    def read(self, partition):
+        fetch, since = resolve(self.options), self.options.get("since")
+        for page in range(partition.first, partition.last):
+            for d in (patient(fetch, self.path(page)) or {}).get("items", []):
+                if (d.get("textContent") or "").strip() and not (since and d.get("modificationDate") and d["modificationDate"] < since):
                     yield judgment_row({"data": d}, d.get("href"))
 
+    def commit(self, end):
+        """Offsets are in the query's checkpoint."""
+
 
 class JudgmentSource(DataSource):
-    """``spark.read.format("judgments").option("root", ...)``, also as a stream."""
+    """``spark.read.format("judgments").option("root", ...)``, also as a stream; option ``pushdown``: filters precede downloads."""
 
     @classmethod
     def name(cls):
@@ -118,12 +178,47 @@ class JudgmentSource(DataSource):
         return RAW
 
     def reader(self, schema):
-        return _JudgmentReader(self.options)
+        return (_PushingReader if self.options.get("pushdown") == "true" else _JudgmentReader)(self.options)
 
-    def simpleStreamReader(self, schema):  # noqa: N802
+    def streamReader(self, schema):  # noqa: N802
         return _JudgmentStream(self.options)
 
 
+class JudgmentListing(DataSource):
+    """(source, external_id, href, modified) of the search pages, without documents."""
+
+    @classmethod
+    def name(cls):
+        return "judgment_listing"
+
+    def schema(self):
+        return "source string, external_id string, href string, modified string"
+
+    def reader(self, schema):
+        return _ListingReader(self.options)
+
+
+def download_judgments(missing: DataFrame, options: dict) -> DataFrame:
+    """Raw rows of the listed documents (external_id, href), downloaded where the rows are.
+
+    An anti join of the listing with the raw store comes before, so that nothing
+    stored is downloaded, however many documents are stored.
+    """
+    def run(batches):
+        import pyarrow as pa
+
+        fetch, names = resolve(options), [c.split()[0] for c in RAW.split(", ")]
+        for b in batches:
+            rows = []
+            for own, href in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                doc = patient(fetch, f"judgments/{own}")
+                if doc is not None and (doc.get("data", doc).get("textContent") or "").strip():
+                    rows.append(judgment_row(doc, href))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(len(names))], names=names)
+
+    return missing.select("external_id", "href").mapInArrow(run, RAW)
+
+
 class Year(InputPartition):
     def __init__(self, year: int):
         self.year = year
@@ -202,7 +297,7 @@ def newest_reference(meta: dict, relation: str = "Inf. o tekście jednolitym") -
 
 
 def register(spark) -> None:
-    for s in (JudgmentSource, ActListSource, ActSource):
+    for s in (JudgmentSource, JudgmentListing, ActListSource, ActSource):
         spark.dataSource.register(s)
 
 

@@ -40,6 +40,17 @@ def stream_counts(events: DataFrame, width: str = "1 hour", slide: str | None =
     return ts.groupBy(w, by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), by, "n")
 
 
+def stream_sessions(events: DataFrame, gap: str = "10 minutes", late: str = "10 minutes", at: str = "ts", by: str = "user_id") -> DataFrame:
+    """(by, session_start, session_end, n): sessions closed by ``gap`` without events, the end lying ``gap`` after the last.
+
+    Events that come late but above the watermark join and merge sessions; a
+    session is given out once the watermark has passed its end.
+    """
+    ts = events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
+    out = ts.groupBy(F.session_window(at, gap).alias("w"), by).agg(F.count("*").alias("n"))
+    return out.select(by, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
+
+
 def stream_dedup(raw: DataFrame, at: str = "modified", late: str = "1 day") -> DataFrame:
     """Repeated deliveries of a document version are dropped within the watermark."""
     return raw.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).dropDuplicatesWithinWatermark(["source", "external_id", "content_hash"])
