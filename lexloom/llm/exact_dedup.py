@@ -146,15 +146,16 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """The rows of ``docs`` that stay, all their columns unchanged.
 
-    One row stays for each distinct text, that of the largest id.
+    One row stays for each distinct text, that of the largest id: the entries of
+    the index, which carry their row here. Rows meet by bucket, hash and the
+    bytes of their text, and all but one go before and in that one exchange.
     """
     others = [c for c in docs.columns if c != text_col]
     rows = records(docs, id_col, text_col, F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest"))
     slots, bits = directory(rows, bucket_bytes)
-    index, _, chains = build_index(rows, slots, bits)
-    keep = index.select(F.col("keep_row").alias("row_id"))
-    if chains is not None:
-        keep = keep.unionByName(chains.select(F.col("keep_row").alias("row_id")))
-    kept = rows.join(keep, "row_id", "left_semi")
+    own = F.struct(F.col("t").isNull().alias("none"), "rest")
+    keyed = with_bucket(rows.select("h", F.coalesce("t", F.lit("")).alias("t"), own.alias("own"), F.struct("id", "row_id").alias("at")), slots, bits)
+    kept = keyed.groupBy(*KEY, "t").agg(F.max_by("own", "at").alias("own"))
     kind = docs.schema[text_col].dataType
-    return kept.select(*[F.col("t").cast(kind).alias(c) if c == text_col else F.col(f"rest.`{c}`") for c in docs.columns])
+    text = F.when(~F.col("own.none"), F.col("t")).cast(kind)
+    return kept.select(*[text.alias(c) if c == text_col else F.col(f"own.rest.`{c}`") for c in docs.columns])
