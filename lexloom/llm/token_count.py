@@ -1,10 +1,10 @@
 """Token counts with a whole-token shortcut.
 
 Offline, every vocabulary string is encoded on its own by the library; those
-that come back as exactly their own id are proven whole. A file with any string that
-does not is counted by its library. A pre-token that equals
+that come back as exactly their own id are proven whole. A pre-token that equals
 one of them counts as one token without any merging; only the rest is merged,
-and its count is remembered in a bounded cache.
+and its count is remembered in a bounded cache. Pre-tokens that hold a string
+that is not proven are counted by the library.
 
 ``byte_level`` files of the tokenizers library (byte-level BPE, no normaliser,
 no post-processor) take this route; any other file is counted by its library
@@ -30,6 +30,8 @@ from .common import prepare
 WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}}]+|[{WS}]+(?![^{WS}])|[{WS}]+"
 CACHE = 400_000
+#: Characters beyond which a pre-token goes to the library.
+LONG_PIECE = 4096
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -62,8 +64,8 @@ def load_spec(path: str) -> dict | None:
     ordered = all(model["vocab"][a + b] == 256 + i for i, (a, b) in enumerate(merges)) and len(ranks) == 256 + len(merges)
     if not ordered:
         return None
-    whole = encoded_alone(path, ranks)
-    return {"ranks": ranks, "special": special, "whole": whole, "file": json.dumps(spec)} if whole is not None else None
+    whole, other = encoded_alone(path, ranks)
+    return {"ranks": ranks, "special": special, "whole": whole, "other": other, "file": json.dumps(spec)}
 
 
 def open_library(path: str, spec: dict | None = None):
@@ -76,8 +78,8 @@ def open_library(path: str, spec: dict | None = None):
     return tok
 
 
-def encoded_alone(path: str, ranks: dict[bytes, int]) -> set[str] | None:
-    """The vocabulary strings that are text, if the library encodes each alone as its own id."""
+def encoded_alone(path: str, ranks: dict[bytes, int]) -> tuple[set[str], set[str]]:
+    """The vocabulary strings that are text: those that the library encodes alone as their own id, and the others."""
     from tokenizers import Tokenizer
 
     texts = {}
@@ -87,7 +89,8 @@ def encoded_alone(path: str, ranks: dict[bytes, int]) -> set[str] | None:
         except UnicodeDecodeError:
             continue
     found = Tokenizer.from_file(path).encode_batch(list(texts), add_special_tokens=False)
-    return set(texts) if all(e.ids == [i] for e, i in zip(found, texts.values(), strict=True)) else None
+    whole = {t for (t, i), e in zip(texts.items(), found, strict=True) if e.ids == [i]}
+    return whole, set(texts) - whole
 
 
 def merge_engine(spec: dict):
@@ -105,19 +108,24 @@ def whole_tokens(spec: dict) -> set[str]:
 
 
 class Counts(dict):
-    """Tokens by pre-token: whole tokens for good, merged ones up to a bound."""
+    """Tokens by pre-token: whole tokens for good, merged ones up to a bound.
+
+    The engine makes any vocabulary string one token, so pre-tokens that hold one
+    that is not proven are counted by the library.
+    """
 
     def __init__(self, spec, whole):
         super().__init__((w, 1) for w in whole)
         self.spec, self.learned, self.whole = spec, 0, frozenset(whole)
-        self.engine, self.library = merge_engine(spec), None
+        self.unproven = regex.compile("|".join(map(regex.escape, sorted(spec["other"])))).search if spec["other"] else None
+        self.merged, self.library = merge_engine(spec)._encode_single_piece, None  # a pre-token is cut no further
 
     def __missing__(self, piece: str) -> int:
-        try:
-            n = len(self.engine.encode_to_numpy(piece, disallowed_special=()))  # a pre-token is cut no further
-        except ValueError:  # a run of blanks beyond the engine's stack
+        if len(piece) > LONG_PIECE or self.unproven and self.unproven(piece):
             self.library = self.library or open_library("", self.spec)
             n = len(self.library.encode(piece, add_special_tokens=False).ids)
+        else:
+            n = len(self.merged(piece))
         if self.learned >= CACHE:
             self.clear()
             self.update((w, 1) for w in self.whole)
@@ -141,6 +149,16 @@ class Counter:
         return len(parts) - 1 + sum(sum(map(get, self.find(p))) for p in parts if p)
 
 
+_worker: list = []
+
+
+def worker_counter(shared) -> Counter:
+    """The process's counter of a broadcast spec: engine, dictionary and learned counts serve all its tasks."""
+    if not _worker or _worker[0] is not shared.value:
+        _worker[:] = [shared.value, Counter(*shared.value)]
+    return _worker[1]
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, n_bytes, n_tokens), one per row of ``docs``."""
     spark = docs.sparkSession
@@ -152,7 +170,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     def run(batches):
         if shared.value:
-            counter = Counter(*shared.value)
+            counter = worker_counter(shared)
             count = lambda texts: [counter.count(t) for t in texts]
         elif tokenizer_path.endswith(".json"):
             tok = open_library(tokenizer_path)
