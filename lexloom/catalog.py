@@ -568,7 +568,11 @@ def rate_fixed_window(t, spark):
     return limits.fixed_window_limit(t("events"), 10, "1 hour").select("event_id", "accepted")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+  r AS (SELECT user_id, event_id, n, [t] AS q, true AS accepted FROM e WHERE n = 1
+    UNION ALL SELECT s.user_id, s.event_id, s.n, CASE WHEN len(s.q) < 3 THEN list_append(s.q, s.t) ELSE s.q END, len(s.q) < 3
+      FROM (SELECT e.user_id, e.event_id, e.n, e.t, list_filter(r.q, lambda x: x >= e.t - 86400000000) AS q FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1) s)
+  SELECT event_id, accepted FROM r""")
 def rate_sliding_greedy(t, spark):
     return limits.sliding_limit(t("events"), 3, 86_400).select("event_id", "accepted")
 
