@@ -4,18 +4,20 @@ A text is its lower-cased words and one end. Every symbol is coded in eight
 binary decisions:
 
 * a word of the vocabulary by its class (the first eight bits of its place in
-  the counted, alphabetical vocabulary: classes of nearly equal weight), then by
-  its share of the class, exact from the counts. Any other word is the escape,
-  followed by its bytes two by two and an end, in classes of byte pairs made the
-  same way. Decisions with one possible outcome cost nothing, so the
+  the counted, alphabetical vocabulary: classes of nearly equal weight), then, if
+  the class has several, by its place in the class (the next eight bits); what
+  words share a place is their exact share of it, from the counts. Any other word
+  is the escape, followed by its bytes two by two and an end, in classes of byte
+  pairs made the same way. Decisions with one possible outcome cost nothing, so the
   probabilities of all texts sum to one.
 * Each decision is predicted by five hashed contexts (one, two and three
   preceding words; the word before the last; the classes of the last two; in
-  spelled words the one to four pairs before, and the place), by
+  spelled words the one to four pairs before, and the place; for a place in a
+  class these and the class), by
   the exact counts without context, and by what the text itself has taken so far
   (counts that adapt inside the text).
 * The predictions, in the logistic domain, are summed with weights chosen by a
-  gate (words or spelling, and how often the one-word and two-word contexts were
+  gate (classes, spelling or places, and how often the one-word and two-word contexts were
   seen). The result is refined by an adaptive table over predictions.
 * Weights, refinement and the text's own counts learn while a text is coded:
   after every ``STEP`` symbols at first, and never later than after a sixteenth
@@ -54,8 +56,7 @@ from .common import BLANKS, materialize, prepare
 #: Memory limits of a worker: words of the vocabulary, and slots of each context table.
 VOCAB = 1 << 19
 MAX_BITS = 23
-MIN_COUNT = 2
-TUNE = 64
+TUNE = 16
 TUNE_ROUNDS = 2
 STEP = 8
 #: Symbols that are coded side by side.
@@ -67,11 +68,18 @@ END = b"\n"
 GAPS = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
 CONTEXTS = 5
 INPUTS = CONTEXTS + 3
-GATES = 2 * 4 * 4
+#: Kinds of symbols: class of a word, byte pair, place of a word in its class.
+KINDS = 3
+GATES = KINDS * 4 * 4
+#: Nodes whose outcomes a text counts: of classes, of pairs, and those that the places of all classes share by a hash.
+SHARED = 4096
+TAKEN = 512 + SHARED
+#: Texts that are coded side by side at most.
+TEXTS = 2048
 BUCKETS = 24
 #: Predictions end here, inside the first and the last bucket.
 LIMIT = np.float32(7.99)
-RATE = 0.04
+RATE = 0.07
 SCALE = np.float32(4096)
 #: Codes of byte pairs; the blank is in no word, so it fills the last pair, and two of them are the end.
 PAIRS, PAIR_END = 1 << 16, 32 * 257
@@ -114,18 +122,21 @@ class Code:
         order = sorted(range(len(words)), key=words.__getitem__)
         self.blob = b" ".join(words[i] for i in order)
         self.counts = np.array([counts[i] for i in order], np.int64)
-        self.cls, self.tail, whole = self.classes(np.append(self.counts, max(1, escaped)).astype(np.float64))
+        weight = np.append(self.counts, max(1, escaped)).astype(np.float64)
+        self.cls, self.sub, self.tail, whole = self.places(weight)
         first, second = np.divmod(np.arange(PAIRS), 256)
         blanks = np.array([9, 10, 11, 12, 13, 32])
         never = np.isin(first, blanks) | np.isin(second, blanks[:-1])
         never[PAIR_END] = False
         self.pair_cls, self.pair_tail, pairs = self.classes(np.where(never, 0, pair_counts + 1 / 64))
-        self.base, self.free = np.zeros(512, np.float32), np.zeros(512, np.float32)
-        self.share = np.full(512, 0.5, np.float32)
-        for kind, mass in enumerate((whole, pairs)):
+        deep = np.bincount(self.cls.astype(np.int64) * 256 + self.sub, weight, 1 << 16).reshape(256, 256)
+        self.several = (deep > 0).sum(axis=1) > 1  # classes in which a place is left open
+        # trees of the classes, of the pairs, and of the places in each class
+        self.base, self.free, self.share = (np.empty(512 + (1 << 16), np.float32) for _ in range(3))
+        for k, mass in enumerate([whole, pairs, *deep]):
             n = np.bincount(NODE.reshape(-1), np.repeat(mass, 8), 256)
             ones = np.bincount(NODE.reshape(-1), (mass[:, None] * SIDE).reshape(-1), 256)
-            at = slice(256 * kind, 256 * kind + 256)
+            at = slice(256 * k, 256 * k + 256)
             self.free[at] = (ones > 0) & (ones < n)
             self.base[at] = logit_counts(n - ones, ones)
             self.share[at] = np.clip((ones + 0.01) / (n + 0.02), 1e-4, 1 - 1e-4)
@@ -140,6 +151,14 @@ class Code:
         with np.errstate(divide="ignore"):
             return cls, (np.log(whole[cls]) - np.log(weight)).astype(np.float32), whole
 
+    @staticmethod
+    def places(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Class and place in the class of each symbol, nats of its share of the place, and the weight of the classes."""
+        place = (np.cumsum(weight) - weight / 2) / weight.sum()
+        both = np.minimum(place * 65536, 65535).astype(np.int64)
+        held = np.bincount(both, weight, 1 << 16)
+        return (both >> 8).astype(np.uint8), (both & 255).astype(np.uint8), (np.log(held[both]) - np.log(weight)).astype(np.float32), held.reshape(256, 256).sum(axis=1)
+
     def __getstate__(self):
         return self.__dict__ | {"_index": None}
 
@@ -155,7 +174,7 @@ class Code:
 
 
 class Symbols:
-    """Texts as symbols in order: class, kind (0 word, 1 byte pair), nats of the share, text, place, and context sources."""
+    """Texts as symbols in order: outcome, kind (0 class, 1 byte pair, 2 place in the class), tree, nats of the share, text, place, and context sources."""
 
     def __init__(self, code: Code, ids: np.ndarray, sizes: np.ndarray, unknown: list[bytes], words: bool = True):
         v = len(code.counts)
@@ -163,30 +182,37 @@ class Symbols:
         n = len(known)
         spelled = np.zeros(n, np.int64)
         spelled[ids < 0] = np.fromiter(map(len, unknown), np.int64, len(unknown)) // 2 + 1
-        first = np.cumsum(spelled + 1) - spelled - 1  # symbol of each word
-        total = n + int(spelled.sum())
+        deep = code.several[code.cls[known]].astype(np.int64)
+        first = np.cumsum(spelled + deep + 1) - spelled - deep - 1  # symbol of each word
+        total = n + int(spelled.sum() + deep.sum())
         text = np.repeat(np.arange(len(sizes)), sizes)
         own = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # place among the text's words
         back = [np.where(own >= k, np.concatenate([np.zeros(k, np.int64), known[:max(0, n - k)] + 1])[:n], 0) for k in (1, 2, 3)]
         cls = code.cls[known]
         pair = np.where(back[0] > 0, code.cls[back[0] - 1] + 1, 0).astype(np.int64) * 257 + np.where(back[1] > 0, code.cls[back[1] - 1] + 1, 0)
+        own = np.flatnonzero(deep)
+        second = first[own] + 1
         self.kind = np.ones(total, np.int64)
-        self.kind[first] = 0
+        self.kind[first], self.kind[second] = 0, 2
         self.cls = np.empty(total, np.uint8)
-        self.cls[first] = cls
+        self.cls[first], self.cls[second] = cls, code.sub[known[own]]
+        self.tree = self.kind.copy()
+        self.tree[second] += cls[own]
         self.tail = np.zeros(total, np.float32)
         self.tail[first] = code.tail[known]
         self.text = np.empty(total, np.int32)
-        self.text[first] = text
+        self.text[first], self.text[second] = text, text[own]
         self.source = np.zeros((4, total), np.int64)
         self.source[:, first] = [*back, pair]
+        within = cls[own].astype(np.int64) + 1
+        self.source[:, second] = [back[0][own] * 257 + within, back[1][own] * 257 + within, back[2][own], pair[own] * 257 + within]
         if unknown:
             # a word of even length ends with a pair of blanks, one of odd length with a half pair
             letters = np.frombuffer(b"".join([w + (b" " if len(w) % 2 else b"  ") for w in unknown]), np.uint8).reshape(-1, 2).astype(np.int64)
             pair = letters[:, 0] * 256 + letters[:, 1]
             size = spelled[ids < 0]
             at = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)  # place in the word
-            put = np.repeat(first[ids < 0] + 1, size) + at
+            put = np.repeat((first + deep)[ids < 0] + 1, size) + at
             self.cls[put] = code.pair_cls[pair]
             self.tail[put] = code.pair_tail[pair]
             self.text[put] = np.repeat(text[ids < 0], size)
@@ -197,10 +223,10 @@ class Symbols:
         starts = np.searchsorted(self.text, np.arange(len(sizes)))
         self.place = np.arange(total) - starts[self.text] if total else np.zeros(0, np.int64)
         if not words:  # spelling only: leave the escapes out
-            self.take(np.flatnonzero(self.kind))
+            self.take(np.flatnonzero(self.kind == 1))
 
     def take(self, at: np.ndarray) -> None:
-        self.kind, self.cls, self.tail, self.text, self.place = (x[at] for x in (self.kind, self.cls, self.tail, self.text, self.place))
+        self.kind, self.cls, self.tree, self.tail, self.text, self.place = (x[at] for x in (self.kind, self.cls, self.tree, self.tail, self.text, self.place))
         self.source = self.source[:, at]
 
     def blocks(self, rows: slice, bits: int) -> list[np.ndarray]:
@@ -246,7 +272,7 @@ class State:
         start = np.array([0.35, 0.35, 0.3, 0.15, 0.15, 0.05, 0.1, 0.0], np.float32)
         self.weights = np.repeat(start[:, None], GATES, axis=1)
         centre = (np.arange(BUCKETS, dtype=np.float32) - BUCKETS / 2 + 0.5) * (16 / BUCKETS)
-        self.refined = np.tile(1 / (1 + np.exp(-centre)), 2).astype(np.float32)
+        self.refined = np.tile(1 / (1 + np.exp(-centre)), KINDS).astype(np.float32)
 
 
 class Model:
@@ -278,9 +304,8 @@ class Model:
         ends = np.searchsorted(step, np.arange(len(cuts) - 1), "right").tolist()
         weights = [np.tile(w, texts) for w in state.weights]
         refined = np.tile(state.refined, texts)
-        taken = np.tile(np.stack([4 * (1 - code.share), 4 * code.share], axis=1).reshape(-1), texts)
+        taken = np.zeros(texts * TAKEN * 2, np.float32)
         used = np.zeros(texts * GATES, np.float32) if learned is not None else None
-        all_free = bool(code.free.reshape(2, 256)[:, 1:].all())
         loss = np.bincount(own, sym.tail, texts).astype(np.float64)
         depth = np.arange(4)[:, None]
         at = 0
@@ -290,15 +315,16 @@ class Model:
             if not n:
                 continue
             # arrays over (decision of the half, halves): first all upper halves, then all lower ones
-            text, kind = np.tile(own[rows], 2), np.tile(sym.kind[rows], 2)
+            text, kind, tree = np.tile(own[rows], 2), np.tile(sym.kind[rows], 2), np.tile(sym.tree[rows], 2)
             high = (sym.cls[rows] >> 4).astype(np.int64)
             half = np.concatenate([high, sym.cls[rows] & 15])
             top = np.concatenate([np.ones(n, np.int64), high | 16])
             live = int(text[:n].max()) + 1
             place, bit = PLACE.take(half, axis=1), BIT.take(half, axis=1)
-            node = (top << depth) + LOW.take(half, axis=1) + kind * 256
-            cell = (node + text * 512) * 2
-            x, seen = [code.base.take(node), np.log(taken.take(cell + 1) / taken.take(cell))], []
+            node = (top << depth) + LOW.take(half, axis=1) + tree * 256
+            cell = (np.where(kind == 2, 512 + ((node & 255) + tree * 1297 & SHARED - 1), node) + text * TAKEN) * 2
+            share = 4 * code.share.take(node)
+            x, seen = [code.base.take(node), np.log((taken.take(cell + 1) + share) / (taken.take(cell) + 4 - share))], []
             for k, block in enumerate(sym.blocks(rows, bits)):
                 block = block.reshape(-1)
                 if k < 2:
@@ -311,15 +337,13 @@ class Model:
             mixed += np.float32(0.3) * weights[-1].take(gate)
             mixed = np.clip(mixed, -LIMIT, LIMIT)
             p = 1 / (1 + np.exp(-mixed))
-            bucket = (mixed * np.float32(BUCKETS / 16) + np.float32(BUCKETS / 2)).astype(np.int64) + (text * 2 + kind) * BUCKETS
+            bucket = (mixed * np.float32(BUCKETS / 16) + np.float32(BUCKETS / 2)).astype(np.int64) + (text * KINDS + kind) * BUCKETS
             final = np.clip(np.float32(0.6) * p + np.float32(0.4) * refined.take(bucket), np.float32(1e-5), np.float32(1 - 1e-5))
-            cost, err, hit, ones = np.log(np.abs(1 - bit - final)), bit - p, None, bit.reshape(-1)
-            if not all_free:
-                free = code.free.take(node)
-                cost, err, hit, ones = cost * free, err * free, free.reshape(-1), (bit * free).reshape(-1)
+            free = code.free.take(node)
+            cost, err, hit, ones = np.log(np.abs(1 - bit - final)) * free, (bit - p) * free, free.reshape(-1), (bit * free).reshape(-1)
             loss[:live] -= np.bincount(text, cost.sum(axis=0), live)
             # learn
-            gates, width = live * GATES, live * 2 * BUCKETS
+            gates, width = live * GATES, live * KINDS * BUCKETS
             uses = np.bincount(gate, minlength=gates)
             rate = (RATE / np.sqrt(1 + uses)).astype(np.float32)
             for w, values in zip(weights, x, strict=False):
@@ -374,7 +398,7 @@ def groups(batches, column: int):
         held.append(b)
         words += own
         sizes.append(n)
-        if len(words) >= GROUP:
+        if len(words) >= GROUP or sum(map(len, sizes)) >= TEXTS:
             yield held, words, np.concatenate(sizes)
             held, words, sizes = [], [], []
     if held:
@@ -492,10 +516,9 @@ def context_tables(train: DataFrame, rare: DataFrame, shared, bits: int) -> list
 
 def fit_code(words: DataFrame, n_total: int, vocab: int) -> tuple[Code, DataFrame]:
     """The code, and the vocabulary's words other than the end."""
-    often = words.where((F.col("c") >= MIN_COUNT) | (F.col("word") == F.lit(END)))
-    least = MIN_COUNT
-    if often.count() > vocab:  # the least count that leaves at most ``vocab`` words
-        sizes = often.groupBy("c").count().orderBy(F.desc("c"))
+    least = 1
+    if words.count() > vocab:  # the least count that leaves at most ``vocab`` words
+        sizes = words.groupBy("c").count().orderBy(F.desc("c"))
         room = vocab
         for r in sizes.toLocalIterator():  # few distinct counts
             room -= r["count"]
@@ -518,10 +541,12 @@ def fit_code(words: DataFrame, n_total: int, vocab: int) -> tuple[Code, DataFram
         used = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], names=["b", "n"])
 
-    rare = words.where((F.col("c") < least) & (F.col("word") != F.lit(END)))
+    # words never seen are like those seen once: these stand for the escape and teach its pairs, beside what the vocabulary leaves out
+    rare = words.where(((F.col("c") < least) | (F.col("c") == 1)) & (F.col("word") != F.lit(END)))
+    once = words.where((F.col("c") == 1) & (F.col("word") != F.lit(END))).count() if least == 1 else 0
     for r in rare.select("word", "c").mapInArrow(tally, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():  # at most 65,536 rows
         pairs[r["b"]] += r["n"]
-    return Code(names, counts, n_total - sum(counts), pairs), words.where((F.col("c") >= least) & (F.col("word") != F.lit(END)))
+    return Code(names, counts, n_total - sum(counts) + once, pairs), words.where((F.col("c") >= least) & (F.col("word") != F.lit(END)))
 
 
 def fit_state(tune: DataFrame, shared) -> State:

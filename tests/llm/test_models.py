@@ -76,6 +76,14 @@ def small_model(bits=10):
     return lm_mixing.Model(code, bits, [lm_mixing.slot_table(rng.integers(0, 9, 1 << bits)) for _ in range(lm_mixing.CONTEXTS)])
 
 
+def large_model(words=1500):
+    """Rare words share classes, and some of them places."""
+    rng = np.random.default_rng(8)
+    counts = np.r_[rng.integers(20_000, 90_000, 20), rng.integers(1, 400, words)].tolist()
+    code = lm_mixing.Code([*(b"f%d" % i for i in range(20)), *(b"r%d" % i for i in range(words - 1)), b"\n"], counts, 50, rng.integers(0, 5, 65_536))
+    return lm_mixing.Model(code, 10, [lm_mixing.slot_table(rng.integers(0, 9, 1 << 10)) for _ in range(lm_mixing.CONTEXTS)])
+
+
 def symbols_of(model, texts):
     words, sizes = [w for t in texts for w in t], np.array([len(t) for t in texts], np.int64)
     ids, unknown = lm_mixing.look_up(model.code.index, words)
@@ -95,9 +103,10 @@ def model_state():
 
 def test_shares_of_a_class_sum_to_one():
     code = small_model().code
-    for cls, tail in ((code.cls, code.tail), (code.pair_cls, code.pair_tail)):
-        for c in set(cls.tolist()):
-            assert math.isclose(np.exp(-tail[cls == c].astype(float)).sum(), 1, rel_tol=1e-3)
+    for code_of in (code, large_model().code):
+        for cls, tail in ((code_of.cls.astype(int) * 256 + code_of.sub, code_of.tail), (code_of.pair_cls, code_of.pair_tail)):
+            for c in set(cls.tolist()):
+                assert math.isclose(np.exp(-tail[cls == c].astype(float)).sum(), 1, rel_tol=1e-3)
     sym = symbols_of(small_model(), [[b"a", b"zzz", b"zz", b"b"]])
     # the escape and, two by two, the letters: zz z_ and zz __
     assert sym.kind.tolist() == [0, 0, 1, 1, 0, 1, 1, 0]
@@ -118,11 +127,28 @@ def test_probabilities_sum_to_one():
     assert abs(total - 1) < 1e-4
 
 
+def test_probabilities_of_places_sum_to_one():
+    """Over all words of a vocabulary whose classes leave places open."""
+    model = large_model(60)
+    history = [b"r3", b"f1", b"r7"]
+    base = symbols_of(model, [history])
+    n, words = len(base.cls), [*model.code.index, b"unseen"]
+    before = math.exp(-model.nats(base, 1, model_state())[0])
+
+    def p(w):
+        sym = symbols_of(model, [[*history, w]])
+        own = 1 + int(model.code.several[model.code.cls[model.code.index.get(w, len(model.code.counts))]])
+        sym.take(np.arange(n + own))  # without spelling
+        return math.exp(-model.nats(sym, 1, model_state())[0])
+
+    assert any(model.code.several) and abs(sum(map(p, words)) / before - 1) < 1e-3
+
+
 def replay(model, words, state):
     """One text, decision by decision, in plain Python."""
     code, sym = model.code, symbols_of(model, [words])
     weights, refined = state.weights.astype(float).tolist(), state.refined.astype(float).tolist()
-    taken = [[4 * (1 - p), 4 * p] for p in code.share.astype(float).tolist()]
+    taken = [[0, 0] for _ in range(lm_mixing.TAKEN)]
     cuts, total, i = set(lm_mixing.steps(len(sym.cls)).tolist()[1:]), float(sym.tail.sum()), 0
     block = []
 
@@ -145,13 +171,14 @@ def replay(model, words, state):
     for i in range(len(sym.cls)):
         if i in cuts:
             learn()
-        cls, kind = int(sym.cls[i]), int(sym.kind[i])
+        cls, kind, tree = int(sym.cls[i]), int(sym.kind[i]), int(sym.tree[i])
         blocks = [b[:, 0].tolist() for b in sym.blocks(slice(i, i + 1), model.bits)]
         for d in range(8):
-            bit, node, half = cls >> (7 - d) & 1, (1 << d | cls >> (8 - d)) + 256 * kind, d // 4
+            bit, node, half = cls >> (7 - d) & 1, (1 << d | cls >> (8 - d)) + 256 * tree, d // 4
             place = 1 << d | cls >> (8 - d) if d < 4 else 1 << (d - 4) | (cls & 15) >> (8 - d)
             gate = (kind * 4 + int(model.tables[0][blocks[0][half]])) * 4 + int(model.tables[1][blocks[1][half]])
-            x = [float(code.base[node]), math.log(taken[node][1] / taken[node][0])]
+            cell, share = node if kind < 2 else 512 + ((node % 256) + 1297 * tree) % lm_mixing.SHARED, 4 * float(code.share[node])
+            x = [float(code.base[node]), math.log((taken[cell][1] + share) / (taken[cell][0] + 4 - share))]
             x += [float(t[b[half] + place]) / 4096 for t, b in zip(model.tables, blocks, strict=True)] + [0.3]
             if not code.free[node]:
                 continue
@@ -159,7 +186,7 @@ def replay(model, words, state):
             p, bucket = 1 / (1 + math.exp(-mixed)), int(mixed * 1.5 + 12) + 24 * kind
             final = max(1e-5, min(1 - 1e-5, 0.6 * p + 0.4 * refined[bucket]))
             total -= math.log(final if bit else 1 - final)
-            block.append((gate, bit - p, x, bucket, bit, node))
+            block.append((gate, bit - p, x, bucket, bit, cell))
     return total
 
 
@@ -168,6 +195,11 @@ def test_scores_match_a_plain_replay():
     rng = random.Random(4)
     texts = [[rng.choice([b"a", b"b", b"c", b"zz", b"long" * 9]) for _ in range(n)] + [b"\n"] for n in (0, 3, 60, 900)]
     assert np.allclose(nats(model, texts), [replay(model, t, model_state()) for t in texts], rtol=2e-3)
+    model = large_model()
+    texts = [[rng.choice([b"f%d" % rng.randrange(20), b"r%d" % rng.randrange(1499), b"unseen"]) for _ in range(n)] + [b"\n"] for n in (0, 5, 200, 600)]
+    sym = symbols_of(model, texts)
+    assert {0, 1, 2} == set(sym.kind.tolist()) and (sym.kind == 2).sum() > 200
+    assert np.allclose(nats(model, texts), [replay(model, t, model_state()) for t in texts], rtol=2e-3)
 
 
 def test_texts_learn_while_they_are_scored():
