@@ -56,7 +56,7 @@ from .common import BLANKS, materialize, prepare
 #: Memory limits of a worker: words of the vocabulary, and slots of each context table.
 VOCAB = 1 << 19
 MAX_BITS = 23
-TUNE = 16
+TUNE = 24
 TUNE_ROUNDS = 2
 STEP = 8
 #: Symbols that are coded side by side.
