@@ -126,7 +126,7 @@ def sequential(bad, limit):
     return len(bad)
 
 
-@pytest.mark.parametrize(("pattern", "limit", "wave_rows"), [("..x" + "x" * 12 + "...", 10, 5), ("xxx.xxxx.xxxxx..", 4, 7), ("xx.xx.xx.xx.", 3, 4), ("xxxxxx", 0, 4)])
+@pytest.mark.parametrize(("pattern", "limit", "wave_rows"), [("..x" + "x" * 12 + "...", 10, 9), ("xxx.xxxx.xxxxx..", 4, 6), ("xx.xx.xx.xx.", 3, 6), ("xxxxxx", 0, 6)])
 def test_breaker_stops_where_a_loop_would(spark, store, pattern, limit, wave_rows):
     bad = [c == "x" for c in pattern]
     raw = raws(spark, [(f"{i:03d}", BODY + ("zepsuty" if b else str(i)), "judgment") for i, b in enumerate(bad)])
