@@ -168,10 +168,12 @@ def discovered_addresses(t, spark):
   f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY nr ORDER BY rank) AS n FROM r) WHERE n = 1)
   SELECT k.nr, f.nr IS NOT NULL AS hit, CASE WHEN f.nr IS NULL THEN NULL WHEN st THEN 'structural' WHEN dn THEN 'dense' ELSE 'lexical' END AS path FROM (SELECT DISTINCT l_orderkey AS nr FROM lineitem) k LEFT JOIN f USING (nr)""")
 def basis_paths(t, spark):
-    rows = t("lineitem").select(F.col("l_orderkey").alias("nr"), F.col("l_linenumber").alias("rank"), F.concat(F.col("l_linenumber").cast("string"), F.lit(".")).alias("row_article"),
+    """Rows of equal rank keep the order of the table."""
+    stored = F.struct("_metadata.file_path", "_metadata.row_index").alias("stored")
+    rows = t("lineitem").select(stored, F.col("l_orderkey").alias("nr"), F.col("l_linenumber").alias("rank"), F.concat(F.col("l_linenumber").cast("string"), F.lit(".")).alias("row_article"),
                                 (1 + F.col("l_orderkey") % 3).cast("string").alias("article"), F.when(F.col("l_returnflag") == "R", F.lit(STRUCTURAL_SCORE)).otherwise(0.1).alias("score"),
                                 F.when(F.col("l_linestatus") == "F", 0.5).alias("sim"))
-    return evaluation.basis_path(rows)
+    return evaluation.basis_path(rows, tie="stored")
 
 
 @query("""WITH h AS (SELECT s_suppkey AS nr, l_orderkey * 10 + l_linenumber AS id, row_number() OVER (PARTITION BY s_suppkey ORDER BY l_orderkey, l_orderkey * 10 + l_linenumber) AS n

@@ -123,12 +123,15 @@ def letter_distribution(answers: DataFrame) -> DataFrame:
     return given.groupBy("mode").pivot("letter", ["A", "B", "C"]).agg(F.count(F.lit(1))).fillna(0, ["A", "B", "C"])
 
 
-def basis_path(rows: DataFrame, article: str = "article") -> DataFrame:
-    """(nr, hit, path) of the first retrieved row on the expected article: structural, dense or lexical."""
-    ok = rows.where(same_unit(F.col("row_article"), F.col(article)))
-    first = ok.withColumn("_n", F.row_number().over(W.partitionBy("nr").orderBy("rank"))).where("_n = 1")
+def basis_path(rows: DataFrame, article: str = "article", tie: str | None = None) -> DataFrame:
+    """(nr, hit, path) of the first retrieved row on the expected article: structural, dense or lexical.
+
+    ``tie``: a column that orders rows of equal rank.
+    """
+    ok = F.col("nr").isNotNull() & same_unit(F.col("row_article"), F.col(article))
     path = F.when(F.col("score") == STRUCTURAL_SCORE, "structural").when(F.col("sim").isNotNull(), "dense").otherwise("lexical")
-    return rows.select("nr").distinct().join(first.select("nr", path.alias("path")), "nr", "left").select("nr", F.col("path").isNotNull().alias("hit"), "path")
+    first = F.min_by(path, F.when(ok, F.struct("rank", *([tie] if tie else []))))
+    return rows.groupBy("nr").agg(first.alias("path")).select("nr", F.col("path").isNotNull().alias("hit"), "path")
 
 
 def oracle_chunks(keys: DataFrame, chunks: DataFrame, limit: int = 8) -> DataFrame:
