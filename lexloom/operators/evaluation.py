@@ -90,10 +90,14 @@ def best_threshold(points: DataFrame, lo: float = 0.30, hi: float = 0.90, step:
 
 
 def similarity_diagnostics(points: DataFrame, digits: int = 4) -> DataFrame:
-    """Per category: n, mean, min, max and distinct rounded similarities."""
+    """Per category: n, mean, min, max and distinct rounded similarities.
+
+    Rounded as SQL rounds doubles: the scaled double, not its decimal digits, decides ties.
+    """
+    rounded = F.round(F.col("max_similarity") * 10.0**digits) / 10.0**digits
     return points.groupBy("category").agg(
         F.count("*").alias("n"), F.avg("max_similarity").alias("mean"), F.min("max_similarity").alias("min"), F.max("max_similarity").alias("max"),
-        F.countDistinct(F.round("max_similarity", digits)).alias("distinct_values"))
+        F.countDistinct(rounded).alias("distinct_values"))
 
 
 def separable(points: DataFrame) -> DataFrame:
