@@ -93,10 +93,10 @@ ASSEMBLY_SQL = """structural AS (SELECT qid, doc_id AS id, row_number() OVER (PA
   SELECT qid, id, path, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY path, pos, id) AS rank FROM once) WHERE rank <= 8"""
 
 
-def shortest(t, spark) -> DataFrame:
-    """(qid, id, pos): the shortest documents, for every question."""
+def shortest(t, spark, k: int = 8) -> DataFrame:
+    """(qid, id, pos): the k first of the shortest documents, for every question; no later one can be among k rows."""
     least = t("documents").agg(F.min("n_chars").alias("n_chars"))
-    short = t("documents").join(F.broadcast(least), "n_chars").select(F.col("doc_id").alias("id"))
+    short = t("documents").join(F.broadcast(least), "n_chars").select(F.col("doc_id").alias("id")).orderBy("id").limit(k)
     return literal(spark, Q_VALUES, "qid, question").select(F.col("qid").cast("long").alias("qid")).crossJoin(short).withColumn(
         "pos", F.row_number().over(W.partitionBy("qid").orderBy("id")))
 
@@ -186,7 +186,7 @@ def final_assembly(t, spark):
     """Structural rows here: the shortest documents, for every question."""
     c, q, dense, lexical = both_paths(t, spark)
     best = retrieval.top_k(retrieval.rrf(dense, lexical), 32, "qid", F.desc("rrf"), F.asc("id"))
-    uniq = retrieval.text_dedup(c.select("id", "text").join(best, "id"))
+    uniq = retrieval.text_dedup(c.select("id", "text").join(F.broadcast(best), "id"))  # 32 rows a question
     ranked = uniq.withColumn("pos", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("rrf"), "id")))
     return retrieval.assemble(shortest(t, spark), ranked, 8).select("qid", "id", "path", "rank")
 
