@@ -117,7 +117,8 @@ def unabsorbed_amendments(references: Column, consolidated: Column) -> Column:
     """Amending acts after the consolidated text: array of (eli_id, effective_date)."""
     base = T.eli_key(F.concat(F.lit("x/"), consolidated))
     rows = F.coalesce(F.try_element_at(references, F.lit(AMENDING)), F.array().cast("array<struct<id:string,date:string>>"))
-    later = F.filter(rows, lambda r: T.eli_key(F.concat(F.lit("x/"), r["id"])) > base)
+    # the key as a variable of a lambda: inside the filter it would be found anew, over all references, for each row
+    later = F.element_at(F.transform(F.array(base), lambda b: F.filter(rows, lambda r: T.eli_key(F.concat(F.lit("x/"), r["id"])) > b)), 1)
     return F.transform(later, lambda r: F.struct(r["id"].alias("eli_id"), r["date"].alias("effective_date")))
 
 
