@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import SUBSTANTIVE
+from ..sources.workspace import short_batches
 
 WORDS = re.compile(SUBSTANTIVE)
 ROUNDS = 12
@@ -94,6 +95,7 @@ def chunk_segments(segments: DataFrame, options: ChunkOptions | None = None, cou
     With ``errors``, a segment that cannot be chunked is a row with null text and
     the message in that column, instead of ending the job.
     """
+    short_batches(segments.sparkSession)
     options = options or ChunkOptions()
     keep = [doc, order, *carry]
     src = segments.select(*keep, F.col(text).alias("_text"), F.coalesce(F.col(start), F.lit(0)).cast("int").alias("_start"))

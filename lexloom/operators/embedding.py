@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.workspace import short_batches
+
 #: Fixed value: what precedes a question before it is embedded.
 QUERY_PREFIX = "zapytanie: "
 BATCH = 32
@@ -60,6 +62,8 @@ def embed_passages(df: DataFrame, text_col: str, provider: Callable, dim: int, m
     that fails alone has a null vector and the message in that column; null texts
     are not asked then.
     """
+    short_batches(df.sparkSession)
+
     @F.pandas_udf("struct<vector:array<float>,error:string>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:

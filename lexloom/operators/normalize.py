@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
+from ..sources.workspace import short_batches
 from . import acts
 from .html import html_to_text
 
@@ -25,6 +26,8 @@ FORM_FILLER = "Nie dotyczy"
 
 def with_plain_text(df: DataFrame, html_col: str, out_col: str = "plain_text", errors: str | None = None) -> DataFrame:
     """Adds the text of an HTML column; with ``errors``, what a page raised, as a column instead of the job's end."""
+    short_batches(df.sparkSession)
+
     @F.pandas_udf("struct<text:string,error:string>")
     def convert(html: pd.Series) -> pd.DataFrame:
         rows = []
@@ -126,6 +129,8 @@ def with_act_segments(df: DataFrame, content_col: str, format_col: str, title_co
     """Adds ``segments``, ``segment_issues`` and ``error`` (what the parser raised) from HTML or flat PDF text."""
     schema = f"struct<segments:array<{acts.SEGMENT}>,issues:array<string>,error:string>"
 
+    short_batches(df.sparkSession)
+
     @F.pandas_udf(schema)
     def cut(content: pd.Series, kind: pd.Series, title: pd.Series) -> pd.DataFrame:
         out = []

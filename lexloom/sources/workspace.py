@@ -23,6 +23,17 @@ def file_system(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
 
 
+#: Rows of an Arrow batch: a worker holds whole documents and what is made of them.
+ARROW_ROWS = 512
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker holds at once, whatever the size of its partition."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    spark.conf.set(key, str(ARROW_ROWS if now <= 0 else min(now, ARROW_ROWS)))
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name below this application's shared folder."""
     app = spark.sparkContext.applicationId
