@@ -22,6 +22,8 @@ REASONS = "UZASADNIENIE"
 #: Form lines that carry no content.
 FORM_PREFIXES = ["Zwięźle o powodach", "STANOWISKO SĄDU ODWOŁAWCZEGO"]
 FORM_FILLER = "Nie dotyczy"
+#: Rows that a task sorts, about.
+TASK_ROWS = 500_000
 
 
 def with_plain_text(df: DataFrame, html_col: str, out_col: str = "plain_text", errors: str | None = None) -> DataFrame:
@@ -169,12 +171,18 @@ def normalize_acts(raw: DataFrame) -> DataFrame:
         F.to_json(meta).alias("typed_metadata"), "segments", "error")
 
 
-def mark_duplicate_units(units: DataFrame, doc: str = "doc_id", order: str = "pos") -> DataFrame:
-    """Relational form of the variant marks: adds ``variant`` (null for unique units)."""
-    key = W.partitionBy(doc, "article", "paragraph", "point")
+def mark_duplicate_units(units: DataFrame, doc: str = "doc_id", order: str = "pos", task_rows: int = TASK_ROWS) -> DataFrame:
+    """Relational form of the variant marks: adds ``variant`` (null for unique units).
+
+    A task sorts about ``task_rows`` rows, whatever the size of the table.
+    """
+    tasks = max(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-units.count() // task_rows))
+    # by a hash of the unit: constant columns among the keys would bring a second exchange
+    units = units.withColumn("_unit", F.xxhash64(doc, "article", "paragraph", "point")).repartition(tasks, "_unit")
+    key = W.partitionBy("_unit", doc, "article", "paragraph", "point")
     n = F.count("*").over(key)
     return units.withColumn("variant", F.when((n > 1) & F.col("article").isNotNull(), F.format_string(
-        " (wariant %d/%d)", F.row_number().over(key.orderBy(order)), n)))
+        " (wariant %d/%d)", F.row_number().over(key.orderBy(order)), n))).drop("_unit")
 
 
 def quality_report(docs: DataFrame, by: str = "source") -> DataFrame:
