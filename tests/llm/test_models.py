@@ -58,6 +58,60 @@ def test_long_texts_are_pooled_whole(spark):
         assert np.allclose(scorer.logits([text]), whole @ model.out + model.bias, atol=1e-4)
 
 
+def test_long_labelled_texts_are_learned(spark):
+    """All toxic texts are longer than 16 KB; every labelled row of the training folds is counted."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(300):
+        w = [f"w{rng.randrange(400)}" for _ in range(5000 if i % 3 == 0 else 40)]
+        if i % 3 == 0:
+            w.insert(rng.randrange(len(w)), "worst")
+        rows.append((i, " ".join(w), int(i % 3 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["s"] for r in toxicity.scored(docs, toxicity.fit(docs, labels), "s").collect()}
+    held = [(got[i], y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert auc(*zip(*held, strict=True)) > 0.95
+    marked = labels.selectExpr("cast(doc_id AS string) AS k", "toxic AS y")
+    counts, want = toxicity.bucket_counts(toxicity.tokens(docs, marked, "doc_id", "text", "lang")), np.zeros((2, toxicity.BUCKETS))
+    for i, t, _ in rows:
+        fold = zlib.crc32(str(i).encode()) % 5
+        if fold:
+            want[int(fold == 1):, list({toxicity.bucket(w) for w in lower_words(t, toxicity.ALNUM)})] += 1
+    assert (counts == want).all()
+
+
+def test_tasks_learn_together(spark, monkeypatch):
+    """A table over the limit of one task is learned in rounds over all rows."""
+    monkeypatch.setattr(toxicity, "GROUP_WORDS", 1000)
+    monkeypatch.setattr(toxicity, "START_WORDS", 8000)
+    monkeypatch.setattr(toxicity, "TASK_WORDS", 8000)
+    rows = synthetic()
+    docs = spark.createDataFrame([(i, t, lang) for i, t, _, lang in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, y) for i, _, y, _ in rows], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["s"] for r in toxicity.scored(docs, toxicity.fit(docs, labels), "s").collect()}
+    held = [(got[i], y) for i, _, y, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert auc(*zip(*held, strict=True)) > 0.9
+
+
+def test_long_texts_are_learned_like_whole():
+    """Pieces of a training text find the windows that a single piece finds."""
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(1, 50, n).astype(np.int32) for n in (0, 1, 7, 300, 1000)]
+    labels, nets, used = np.array([0, 1, 0, 1, 1.0]), [], []
+    for size in (16, 1 << 15):
+        before = toxicity.PIECE
+        toxicity.PIECE = size
+        try:
+            net, use = toxicity.Net(50, 3), np.zeros(51, np.float32)
+            net.learn(docs, labels, 3, np.random.default_rng(1), use)
+        finally:
+            toxicity.PIECE = before
+        nets.append(net)
+        used.append(use)
+    assert np.allclose(nets[0].vectors, nets[1].vectors, atol=1e-5) and (used[0] == used[1]).all()
+
+
 def test_toxicity_awkward_tables(spark):
     df = fixtures.docs(spark)
     labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
