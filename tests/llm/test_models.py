@@ -81,6 +81,16 @@ def test_long_labelled_texts_are_learned(spark):
     assert (counts == want).all()
 
 
+def test_no_text_reaches_the_driver(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i % 7} " * 600) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    kind, got = type(docs), []
+    plain = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: got.extend(out := plain(self)) or out)
+    toxicity.fit(docs, labels)
+    assert got and not any(isinstance(v, str) and len(v) > 1000 for r in got for v in r)
+
+
 def test_tasks_learn_together(spark, monkeypatch):
     """A table over the limit of one task is learned in rounds over all rows."""
     monkeypatch.setattr(toxicity, "GROUP_WORDS", 1000)
