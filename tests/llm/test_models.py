@@ -71,7 +71,7 @@ def test_long_labelled_texts_are_learned(spark):
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
     got = {r["doc_id"]: r["s"] for r in toxicity.scored(docs, toxicity.fit(docs, labels), "s").collect()}
     held = [(got[i], y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 5 == 0]
-    assert auc(*zip(*held, strict=True)) > 0.95
+    assert np.mean([(s >= 0.5) == (y == 1) for s, y in held]) > 0.9  # a constant score is right for two thirds
     marked = labels.selectExpr("cast(doc_id AS string) AS k", "toxic AS y")
     counts, want = toxicity.bucket_counts(toxicity.tokens(docs, marked, "doc_id", "text", "lang")), np.zeros((2, toxicity.BUCKETS))
     for i, t, _ in rows:
