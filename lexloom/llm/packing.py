@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .common import materialize, prepare
-from .token_count import load_spec, merge_engine, open_library
+from .token_count import merge_engine, open_library, share_spec, shared_spec
 
 #: Units in 1024 that best fit leaves free in a sequence with small pieces.
 SLACK = 8
@@ -72,14 +72,14 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024,
     """
     spark = docs.sparkSession
     prepare(spark)
-    spec = spark.sparkContext.broadcast(load_spec(tokenizer_path))
+    shared = share_spec(spark, tokenizer_path)
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     schema = PIECES.format(id=src.schema["id"].dataType.simpleString())
     kinds = [pa.int32(), pa.int64(), None, pa.int32(), pa.int64(), pa.int64(), pa.binary()]
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches):
-        encode, part, seen = encoder(spec.value, tokenizer_path), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        encode, part, seen = encoder(shared_spec(shared), tokenizer_path), TaskContext.get().partitionId(), [0] * (capacity + 1)
         end = np.array([end_id], "<u4")
         for b in batches:
             out, rows = [[] for _ in names], []

@@ -17,10 +17,13 @@ other columns are ignored, whatever their names; an empty table gives no rows.
 from __future__ import annotations
 
 import json
+import pickle
+from pathlib import Path
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import prepare
@@ -46,8 +49,31 @@ def byte_alphabet() -> dict[str, int]:
 
 def load_spec(path: str) -> dict | None:
     """What the shortcut needs of a tokenizer file, None if it does not apply."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+    return spec_of(Path(path).read_text(encoding="utf-8"))
+
+
+def share_spec(spark: SparkSession, path: str) -> Broadcast:
+    """The pickled spec of a tokenizer file for the tasks.
+
+    The driver only reads the file. One task parses it and proves its vocabulary,
+    as the objects of the library and the parser would stay in the driver's memory.
+    """
+    prepare(spark)
+    text = Path(path).read_text(encoding="utf-8")
+    raw = spark.sparkContext.parallelize([text], 1).map(lambda t: pickle.dumps(spec_of(t))).first()
+    return spark.sparkContext.broadcast(raw)  # a vocabulary: its size is fixed
+
+
+def shared_spec(shared: Broadcast) -> dict | None:
+    """In a task, the spec of ``share_spec``; a process keeps its last one."""
+    if not _spec or _spec[0] is not shared.value:
+        _spec[:] = [shared.value, pickle.loads(shared.value)]
+    return _spec[1]
+
+
+def spec_of(text: str) -> dict | None:
+    """The spec of a tokenizer file's text."""
+    spec = json.loads(text)
     model, pre = spec["model"], spec["pre_tokenizer"] or {}
     simple = (
         model["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
@@ -64,7 +90,7 @@ def load_spec(path: str) -> dict | None:
     ordered = all(model["vocab"][a + b] == 256 + i for i, (a, b) in enumerate(merges)) and len(ranks) == 256 + len(merges)
     if not ordered:
         return None
-    whole, other = encoded_alone(path, ranks)
+    whole, other = encoded_alone(text, ranks)
     return {"ranks": ranks, "special": special, "whole": whole, "other": other, "file": json.dumps(spec)}
 
 
@@ -78,7 +104,7 @@ def open_library(path: str, spec: dict | None = None):
     return tok
 
 
-def encoded_alone(path: str, ranks: dict[bytes, int]) -> tuple[set[str], set[str]]:
+def encoded_alone(file: str, ranks: dict[bytes, int]) -> tuple[set[str], set[str]]:
     """The vocabulary strings that are text: those that the library encodes alone as their own id, and the others."""
     from tokenizers import Tokenizer
 
@@ -88,7 +114,7 @@ def encoded_alone(path: str, ranks: dict[bytes, int]) -> tuple[set[str], set[str
             texts[raw.decode("utf-8")] = i
         except UnicodeDecodeError:
             continue
-    found = Tokenizer.from_file(path).encode_batch(list(texts), add_special_tokens=False)
+    found = Tokenizer.from_str(file).encode_batch(list(texts), add_special_tokens=False)
     whole = {t for (t, i), e in zip(texts.items(), found, strict=True) if e.ids == [i]}
     return whole, set(texts) - whole
 
@@ -150,12 +176,13 @@ class Counter:
 
 
 _worker: list = []
+_spec: list = []
 
 
-def worker_counter(shared) -> Counter:
-    """The process's counter of a broadcast spec: engine, dictionary and learned counts serve all its tasks."""
-    if not _worker or _worker[0] is not shared.value:
-        _worker[:] = [shared.value, Counter(*shared.value)]
+def worker_counter(spec: dict) -> Counter:
+    """The process's counter of a spec: engine, dictionary and learned counts serve all its tasks."""
+    if not _worker or _worker[0] is not spec:
+        _worker[:] = [spec, Counter(spec, whole_tokens(spec))]
     return _worker[1]
 
 
@@ -164,13 +191,12 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     spark = docs.sparkSession
     prepare(spark)
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    spec = load_spec(tokenizer_path) if tokenizer_path.endswith(".json") else None
-    shared = spark.sparkContext.broadcast((spec, whole_tokens(spec)) if spec else None)  # a vocabulary: its size is fixed
+    shared = share_spec(spark, tokenizer_path) if tokenizer_path.endswith(".json") else None
     names = ["id", "n_bytes", "n_tokens"]
 
     def run(batches):
-        if shared.value:
-            counter = worker_counter(shared)
+        if shared and (spec := shared_spec(shared)):
+            counter = worker_counter(spec)
             count = lambda texts: [counter.count(t) for t in texts]
         elif tokenizer_path.endswith(".json"):
             tok = open_library(tokenizer_path)

@@ -225,3 +225,15 @@ def test_unreachable_vocabulary_strings_are_no_whole_tokens(spark, tmp_path):
     got = {r["id"]: r["n_tokens"] for r in token_count.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()}
     library = Tokenizer.from_file(path)
     assert got == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in rows} and got[1] == 2
+
+
+def test_the_vocabulary_is_proven_in_a_task(spark, monkeypatch):
+    """What the parser and the library leave in memory would add up in the driver, call by call."""
+
+    def in_driver(*_):
+        raise AssertionError("called in the driver")
+
+    monkeypatch.setattr(token_count, "encoded_alone", in_driver)
+    df = fixtures.docs(spark, fixtures.rows()[:5])
+    assert token_count.count_tokens(df, PATH).count() == 5
+    assert packing.tokenize_pieces(df, PATH).select("id").distinct().count() > 0
