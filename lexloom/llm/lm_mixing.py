@@ -85,14 +85,27 @@ SCALE = np.float32(4096)
 PAIRS, PAIR_END = 1 << 16, 32 * 257
 M = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
-_depth, _half, _class = np.arange(4)[:, None], np.arange(16), np.arange(256)
-#: A class is two halves of four decisions. Of each half (4, 16): outcomes, places in the half's tree (1..15), and what a node adds.
-BIT = ((_half >> (3 - _depth)) & 1).astype(np.float32)
-LOW = _half >> (4 - _depth)
-PLACE = (1 << _depth) | LOW
+ODD = np.random.default_rng(7).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+
+_depth, _class = np.arange(8)[:, None], np.arange(256)
 #: Nodes of the whole tree (1..255) on the way to each class, and whether it goes on to the upper side.
-NODE = (1 << np.arange(8)) | (_class[:, None] >> (8 - np.arange(8)))
-SIDE = (_class[:, None] >> (7 - np.arange(8))) & 1
+NODE = ((1 << _depth) | (_class >> (8 - _depth))).T
+SIDE = ((_class >> (7 - _depth)) & 1).T
+
+
+def _halves(by_class: np.ndarray) -> np.ndarray:
+    """A class is two halves of four decisions: (4, 512), first the upper halves of all classes, then the lower ones."""
+    return np.ascontiguousarray(np.concatenate([by_class[:, :4], by_class[:, 4:]]).T)
+
+
+#: Of each half: outcomes, nodes of the whole tree, and nodes of the half's own tree (1..15).
+TURN = _halves(SIDE)
+BIT = TURN.astype(np.float32)
+STOP = _halves(NODE)
+PLACE = np.where(np.arange(512) < 256, STOP, (1 << _depth[:4]) | STOP & (1 << _depth[:4]) - 1)
+#: Cells of a text's own counts: nodes of classes and of pairs, and what the places of all classes share.
+_node = np.arange(512 + (1 << 16))
+CELL = np.where(_node < 512, _node, 512 + ((_node & 255) + (_node >> 8) * 1297 & SHARED - 1))
 
 
 def table_bits(tokens: int) -> int:
@@ -108,6 +121,12 @@ def steps(longest: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def word_keys(offsets: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """A number of eight bytes for each word: its bytes, each times an odd number of its place, summed."""
+    place = np.arange(len(flat)) - np.repeat(offsets[:-1], np.diff(offsets))
+    return np.add.reduceat((flat.astype(np.uint64) + M[0]) * ODD.take(place & 255), offsets[:-1])
+
+
 def logit_counts(n0, n1):
     return np.log((n1 + np.float32(0.35)) / (n0 + np.float32(0.35)))
 
@@ -140,7 +159,7 @@ class Code:
             self.free[at] = (ones > 0) & (ones < n)
             self.base[at] = logit_counts(n - ones, ones)
             self.share[at] = np.clip((ones + 0.01) / (n + 0.02), 1e-4, 1 - 1e-4)
-        self._index = None
+        self._index = self._keyed = None
 
     @staticmethod
     def classes(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,7 +179,7 @@ class Code:
         return (both >> 8).astype(np.uint8), (both & 255).astype(np.uint8), (np.log(held[both]) - np.log(weight)).astype(np.float32), held.reshape(256, 256).sum(axis=1)
 
     def __getstate__(self):
-        return self.__dict__ | {"_index": None}
+        return self.__dict__ | {"_index": None, "_keyed": None}
 
     @property
     def index(self) -> dict[bytes, int]:
@@ -168,6 +187,41 @@ class Code:
             self._index = {w: i for i, w in enumerate(self.blob.split(b" "))}
         return self._index
 
+    @property
+    def keyed(self) -> tuple[np.ndarray, ...]:
+        """Keys of the words in order, the word of each, and offsets and bytes of all words."""
+        if self._keyed is None:
+            flat = np.frombuffer(self.blob, np.uint8)
+            inside = flat != 32
+            ends = np.flatnonzero(np.append(~inside, True))
+            offsets, flat = np.append(0, ends - np.arange(len(ends))), flat[inside]
+            keys = word_keys(offsets, flat)
+            order = np.argsort(keys)
+            self._keyed = keys[order], order, offsets, flat
+        return self._keyed
+
+    def find(self, words: pa.Array) -> tuple[np.ndarray, list[bytes]]:
+        """``look_up`` of an Arrow array: each distinct word once, by its key; then its bytes are compared."""
+        if not len(words):
+            return np.zeros(0, np.int64), []
+        coded = words.dictionary_encode()
+        _, offsets, flat = coded.dictionary.buffers()
+        offsets = np.frombuffer(offsets, np.int64, len(coded.dictionary) + 1)
+        flat, size = np.frombuffer(flat, np.uint8, offsets[-1]), np.diff(offsets)
+        raw, (keys, order, starts, letters) = flat.tobytes(), self.keyed
+        if (keys[1:] == keys[:-1]).any():  # two words with one key: look up the words themselves
+            ids = look_up(self.index, [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])[0]
+        else:
+            key = word_keys(offsets, flat)
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            ids = order[at]
+            other = letters.take(np.repeat(starts[ids] - offsets[:-1], size) + np.arange(len(flat)), mode="clip") != flat
+            ids[(keys[at] != key) | (np.diff(starts)[ids] != size) | np.logical_or.reduceat(other, offsets[:-1])] = -1
+        at = np.frombuffer(coded.indices.buffers()[1], np.int32, len(words))
+        ids = ids.take(at)
+        at = at[ids < 0]
+        return ids, [raw[a:b] for a, b in zip(offsets[at].tolist(), offsets[at + 1].tolist(), strict=True)]
+
     def symbols(self, ids: np.ndarray, sizes: np.ndarray, unknown: list[bytes]) -> Symbols:
         """Symbols of texts: word ids (-1 unknown), words of each text, and the unknown words in order."""
         return Symbols(self, ids, sizes, unknown)
@@ -177,45 +231,54 @@ class Symbols:
     """Texts as symbols in order: outcome, kind (0 class, 1 byte pair, 2 place in the class), tree, nats of the share, text, place, and context sources."""
 
     def __init__(self, code: Code, ids: np.ndarray, sizes: np.ndarray, unknown: list[bytes], words: bool = True):
-        v = len(code.counts)
-        known = np.where(ids < 0, v, ids).astype(np.int64)
-        n = len(known)
-        spelled = np.zeros(n, np.int64)
-        spelled[ids < 0] = np.fromiter(map(len, unknown), np.int64, len(unknown)) // 2 + 1
-        deep = code.several[code.cls[known]].astype(np.int64)
-        first = np.cumsum(spelled + deep + 1) - spelled - deep - 1  # symbol of each word
-        total = n + int(spelled.sum() + deep.sum())
-        text = np.repeat(np.arange(len(sizes)), sizes)
-        own = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # place among the text's words
-        back = [np.where(own >= k, np.concatenate([np.zeros(k, np.int64), known[:max(0, n - k)] + 1])[:n], 0) for k in (1, 2, 3)]
-        cls = code.cls[known]
-        pair = np.where(back[0] > 0, code.cls[back[0] - 1] + 1, 0).astype(np.int64) * 257 + np.where(back[1] > 0, code.cls[back[1] - 1] + 1, 0)
+        known = np.where(ids < 0, len(code.counts), ids).astype(np.int32)
+        n, cls = len(known), code.cls[known]
+        deep = code.several[cls]
+        length = 1 + deep  # symbols of each word
+        spelled = np.fromiter(map(len, unknown), np.int64, len(unknown)) // 2 + 1
+        length[ids < 0] += spelled
+        first = np.cumsum(length) - length  # symbol of each word
+        total = n + int(spelled.sum()) + int(deep.sum())
+        text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        start = (np.cumsum(sizes) - sizes)[sizes > 0]  # of each text's words
+        back, before = [], np.zeros((2, n), np.int32)  # 0 where the text has no word so far back
+        for k in (1, 2, 3):
+            word = np.zeros(n, np.int32)
+            word[k:] = known[:max(0, n - k)] + 1
+            for j in range(k):
+                word[(start + j)[start + j < n]] = 0
+            back.append(word)
+            if k < 3:
+                before[k - 1, k:] = cls[:max(0, n - k)]
+                before[k - 1] += 1
+                before[k - 1] *= word > 0
+        pair = before[0] * 257 + before[1]
         own = np.flatnonzero(deep)
         second = first[own] + 1
-        self.kind = np.ones(total, np.int64)
+        self.kind = np.ones(total, np.int8)
         self.kind[first], self.kind[second] = 0, 2
         self.cls = np.empty(total, np.uint8)
         self.cls[first], self.cls[second] = cls, code.sub[known[own]]
-        self.tree = self.kind.copy()
+        self.tree = self.kind.astype(np.int16)
         self.tree[second] += cls[own]
         self.tail = np.zeros(total, np.float32)
         self.tail[first] = code.tail[known]
         self.text = np.empty(total, np.int32)
         self.text[first], self.text[second] = text, text[own]
-        self.source = np.zeros((4, total), np.int64)
-        self.source[:, first] = [*back, pair]
-        within = cls[own].astype(np.int64) + 1
-        self.source[:, second] = [back[0][own] * 257 + within, back[1][own] * 257 + within, back[2][own], pair[own] * 257 + within]
+        self.source = np.zeros((4, total), np.int32 if len(code.counts) < 1 << 22 else np.int64)
+        within = cls[own].astype(self.source.dtype) + 1
+        for k, x in enumerate([*back, pair]):
+            self.source[k, first] = x
+            self.source[k, second] = x[own] if k == 2 else x[own] * self.source.dtype.type(257) + within
         if unknown:
             # a word of even length ends with a pair of blanks, one of odd length with a half pair
             letters = np.frombuffer(b"".join([w + (b" " if len(w) % 2 else b"  ") for w in unknown]), np.uint8).reshape(-1, 2).astype(np.int64)
             pair = letters[:, 0] * 256 + letters[:, 1]
-            size = spelled[ids < 0]
-            at = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)  # place in the word
-            put = np.repeat((first + deep)[ids < 0] + 1, size) + at
+            at = np.arange(len(pair)) - np.repeat(np.cumsum(spelled) - spelled, spelled)  # place in the word
+            put = np.repeat((first + deep)[ids < 0] + 1, spelled) + at
             self.cls[put] = code.pair_cls[pair]
             self.tail[put] = code.pair_tail[pair]
-            self.text[put] = np.repeat(text[ids < 0], size)
+            self.text[put] = np.repeat(text[ids < 0], spelled)
             for k in range(4):
                 shifted = np.concatenate([np.zeros(k + 1, np.int64), pair[:max(0, len(pair) - k - 1)] + 1])[:len(pair)]
                 self.source[k, put] = np.where(at > k, shifted, 0)
@@ -231,6 +294,10 @@ class Symbols:
 
     def blocks(self, rows: slice, bits: int) -> list[np.ndarray]:
         """For each context the first slots (2, symbols) of the halves of the tree."""
+        return [lines << 4 for lines in self.lines(rows, bits)]
+
+    def lines(self, rows: slice, bits: int) -> list[np.ndarray]:
+        """For each context the blocks of 16 slots (2, symbols) of the halves of the tree."""
         a, b, c, d = (self.source[k, rows].astype(np.uint64) for k in range(4))
         kind = self.kind[rows].astype(np.uint64) * M[4]
         one = (a + kind + np.uint64(1)) * M[0]
@@ -245,7 +312,6 @@ class Symbols:
             both = np.empty((2, len(h)), np.int64)
             both[0] = (h * M[1]) >> shift
             both[1] = ((h ^ half) * M[3]) >> shift
-            both <<= 4
             out.append(both)
         return out
 
@@ -304,10 +370,14 @@ class Model:
         ends = np.searchsorted(step, np.arange(len(cuts) - 1), "right").tolist()
         weights = [np.tile(w, texts) for w in state.weights]
         refined = np.tile(state.refined, texts)
-        taken = np.zeros(texts * TAKEN * 2, np.float32)
+        # what each text took at each cell: (the lower side + 4, the upper side), read as one number of eight bytes
+        taken = np.zeros((texts * TAKEN, 2), np.float32)
+        taken[:, 0] = 4
+        taken = taken.reshape(-1)
+        both_sides = taken.view(np.int64)
         used = np.zeros(texts * GATES, np.float32) if learned is not None else None
         loss = np.bincount(own, sym.tail, texts).astype(np.float64)
-        depth = np.arange(4)[:, None]
+        shares, tables = 4 * code.share, [t.view("V32") for t in self.tables]
         at = 0
         for end in ends:
             rows, n = slice(at, end), end - at
@@ -315,43 +385,63 @@ class Model:
             if not n:
                 continue
             # arrays over (decision of the half, halves): first all upper halves, then all lower ones
-            text, kind, tree = np.tile(own[rows], 2), np.tile(sym.kind[rows], 2), np.tile(sym.tree[rows], 2)
-            high = (sym.cls[rows] >> 4).astype(np.int64)
-            half = np.concatenate([high, sym.cls[rows] & 15])
-            top = np.concatenate([np.ones(n, np.int64), high | 16])
+            cls, kind = sym.cls[rows].astype(np.int64), np.tile(sym.kind[rows].astype(np.int64), 2)
+            half, text = np.concatenate([cls, cls + 256]), np.tile(own[rows], 2)
             live = int(text[:n].max()) + 1
-            place, bit = PLACE.take(half, axis=1), BIT.take(half, axis=1)
-            node = (top << depth) + LOW.take(half, axis=1) + tree * 256
-            cell = (np.where(kind == 2, 512 + ((node & 255) + tree * 1297 & SHARED - 1), node) + text * TAKEN) * 2
-            share = 4 * code.share.take(node)
-            x, seen = [code.base.take(node), np.log((taken.take(cell + 1) + share) / (taken.take(cell) + 4 - share))], []
-            for k, block in enumerate(sym.blocks(rows, bits)):
-                block = block.reshape(-1)
+            node = STOP.take(half, axis=1)
+            node += np.tile(sym.tree[rows].astype(np.int64), 2) * 256
+            cell = CELL.take(node)
+            cell += text * TAKEN
+            share = shares.take(node)
+            sides = both_sides.take(cell).view(np.float32).reshape(4, 2 * n, 2)
+            under = sides[:, :, 0] - share
+            share += sides[:, :, 1]
+            share /= under
+            x = [code.base.take(node), np.log(share, out=share)]
+            # a block is read whole, then its slots; entries keep their scale, which the weights undo (a power of two)
+            slot = PLACE.take(half, axis=1)
+            slot += np.arange(0, 32 * n, 16)
+            gate = text * GATES + kind * 16
+            for k, lines in enumerate(sym.lines(rows, bits)):
+                found = tables[k].take(lines.reshape(-1)).view(np.int16)
                 if k < 2:
-                    seen.append(self.tables[k].take(block))
-                x.append(self.tables[k].take(block + place).astype(np.float32) * (1 / SCALE))
-            gate = (kind * 4 + seen[0]) * 4 + seen[1] + text * GATES
+                    gate += found[::16].astype(np.int64) * (4, 1)[k]
+                x.append(found.take(slot).astype(np.float32))
             mixed = x[0] * weights[0].take(gate)
-            for w, values in zip(weights[1:-1], x[1:], strict=True):
-                mixed += values * w.take(gate)
+            for k in range(1, INPUTS - 1):
+                w = weights[k].take(gate)
+                mixed += x[k] * (w if k < 2 else w * (1 / SCALE))
             mixed += np.float32(0.3) * weights[-1].take(gate)
-            mixed = np.clip(mixed, -LIMIT, LIMIT)
+            np.clip(mixed, -LIMIT, LIMIT, out=mixed)
             p = 1 / (1 + np.exp(-mixed))
-            bucket = (mixed * np.float32(BUCKETS / 16) + np.float32(BUCKETS / 2)).astype(np.int64) + (text * KINDS + kind) * BUCKETS
-            final = np.clip(np.float32(0.6) * p + np.float32(0.4) * refined.take(bucket), np.float32(1e-5), np.float32(1 - 1e-5))
-            free = code.free.take(node)
-            cost, err, hit, ones = np.log(np.abs(1 - bit - final)) * free, (bit - p) * free, free.reshape(-1), (bit * free).reshape(-1)
+            mixed *= np.float32(BUCKETS / 16)
+            mixed += np.float32(BUCKETS / 2)
+            bucket = mixed.astype(np.int64)
+            bucket += (text * KINDS + kind) * BUCKETS
+            final = np.float32(0.4) * refined.take(bucket)
+            final += np.float32(0.6) * p
+            np.clip(final, np.float32(1e-5), np.float32(1 - 1e-5), out=final)
+            free, bit = code.free.take(node), BIT.take(half, axis=1)
+            cost, err = np.log(np.abs(1 - bit - final)), bit - p
+            cost *= free
+            err *= free
+            bit *= free
             loss[:live] -= np.bincount(text, cost.sum(axis=0), live)
             # learn
             gates, width = live * GATES, live * KINDS * BUCKETS
             uses = np.bincount(gate, minlength=gates)
             rate = (RATE / np.sqrt(1 + uses)).astype(np.float32)
-            for w, values in zip(weights, x, strict=False):
-                w[:gates] += rate * np.bincount(gate, (err * values).sum(axis=0), gates)
+            scaled = rate * (1 / SCALE)
+            for k, (w, values) in enumerate(zip(weights, x, strict=False)):
+                values *= err
+                w[:gates] += (rate if k < 2 else scaled) * np.bincount(gate, values.sum(axis=0), gates)
             weights[-1][:gates] += rate * np.bincount(gate, np.float32(0.3) * err.sum(axis=0), gates)
-            hits, ones = np.bincount(bucket.reshape(-1), hit, width), np.bincount(bucket.reshape(-1), ones, width)
+            bucket = bucket.reshape(-1)
+            hits, ones = np.bincount(bucket, free.reshape(-1), width), np.bincount(bucket, bit.reshape(-1), width)
             refined[:width] += ((ones - hits * refined[:width]) / (hits + 60)).astype(np.float32)
-            np.add.at(taken, (cell + bit.astype(np.int64)).reshape(-1), np.float32(1))
+            cell *= 2
+            cell += TURN.take(half, axis=1)
+            np.add.at(taken, cell.reshape(-1), np.float32(1))
             if used is not None:
                 used[:gates] += uses
         if learned is not None:
@@ -379,15 +469,20 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        ((fold != 0) & (tune == 0)).alias("tune"))
 
 
-def split_words(texts: list) -> tuple[list[bytes], np.ndarray]:
-    """All words of the texts, an end after each text, and how many each text has."""
-    words, sizes = [], []
-    for t in texts:
-        own = t.translate(BLANKS).split() if t else []
-        words += own
-        words.append(END)
-        sizes.append(len(own) + 1)
-    return words, np.array(sizes, np.int64)
+def binary_array(offsets: np.ndarray, flat: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(flat)])
+
+
+def split_words(texts: list) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts, an end after each text, without Python objects, and how many each text has."""
+    flat = np.frombuffer(b"   ".join([*(t or b"" for t in texts), b""]).translate(BLANKS), np.uint8).copy()
+    ends = np.cumsum(np.fromiter((len(t or b"") + 3 for t in texts), np.int64, len(texts))) - 2
+    inside = ~GAPS.take(flat)
+    flat[ends], inside[ends] = END[0], True
+    change = np.flatnonzero(np.diff(inside, prepend=False))
+    starts = change[0::2]
+    words = binary_array(np.append(0, np.cumsum(change[1::2] - starts)), flat[inside])
+    return words, np.diff(np.searchsorted(starts, ends), prepend=-1)
 
 
 def groups(batches, column: int):
@@ -396,31 +491,21 @@ def groups(batches, column: int):
     for b in batches:
         own, n = split_words(b.column(column).to_pylist())
         held.append(b)
-        words += own
+        words.append(own)
         sizes.append(n)
-        if len(words) >= GROUP or sum(map(len, sizes)) >= TEXTS:
-            yield held, words, np.concatenate(sizes)
+        if sum(map(len, words)) >= GROUP or sum(map(len, sizes)) >= TEXTS:
+            yield held, pa.concat_arrays(words), np.concatenate(sizes)
             held, words, sizes = [], [], []
     if held:
-        yield held, words, np.concatenate(sizes)
-
-
-def word_array(texts: list) -> pa.Array:
-    """The words of all texts as one Arrow array, without Python objects."""
-    flat = np.frombuffer(b" ".join(t or b"" for t in texts).translate(BLANKS) + b" ", np.uint8)
-    inside = ~GAPS.take(flat)
-    change = np.flatnonzero(np.diff(inside, prepend=False))
-    offsets = np.concatenate([[0], np.cumsum(change[1::2] - change[0::2])]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(flat[inside])])
+        yield held, pa.concat_arrays(words), np.concatenate(sizes)
 
 
 def count_words(train: DataFrame) -> DataFrame:
     """Rows (word, c) over all training texts, written to the shared folder."""
 
     def counted(texts: list) -> pa.RecordBatch:
-        counts = pc.value_counts(word_array(texts))
-        words, n = counts.field(0).to_pylist(), counts.field(1).to_pylist()
-        return pa.RecordBatch.from_arrays([pa.array([*words, END], pa.binary()), pa.array([*n, len(texts)], pa.int64())], names=["word", "c"])
+        counts = pc.value_counts(split_words(texts)[0])
+        return pa.RecordBatch.from_arrays([counts.field(0).cast(pa.binary()), counts.field(1)], names=["word", "c"])
 
     def run(batches):
         texts, size = [], 0
@@ -437,6 +522,7 @@ def count_words(train: DataFrame) -> DataFrame:
 
 
 def look_up(index: dict[bytes, int], words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """Ids of words (-1 unknown), and the unknown words in order."""
     ids = np.fromiter(map(index.get, words, repeat(-1)), np.int32, len(words))
     return ids, [words[i] for i in np.flatnonzero(ids < 0).tolist()]
 
@@ -487,7 +573,7 @@ def context_tables(train: DataFrame, rare: DataFrame, shared, bits: int) -> list
                     add(Symbols(code, np.full(len(words), -1, np.int32), np.ones(len(words), np.int64), words, words=False))
             else:
                 for _, words, sizes in groups(batches, 0):
-                    ids, unknown = look_up(code.index, words)
+                    ids, unknown = code.find(words)
                     add(code.symbols(ids, sizes, unknown))
             for i, t in enumerate(tables):
                 for c in range(len(t) // step):
@@ -559,7 +645,7 @@ def fit_state(tune: DataFrame, shared) -> State:
             for _ in [0]:
                 every = []
                 for _, words, sizes in groups(batches, 0):
-                    ids, unknown = look_up(model.code.index, words)
+                    ids, unknown = model.code.find(words)
                     learned: list = []
                     model.nats(model.code.symbols(ids, sizes, unknown), len(sizes), here, learned)
                     here = average(learned, here)
@@ -605,22 +691,19 @@ def score_texts(docs: DataFrame, bits: int | None = None, vocab: int = VOCAB, id
     def run(batches):
         model = shared.value
         logs = np.log10(model.code.counts + 0.1)
-        lengths = np.fromiter(map(len, model.code.index), np.int64, len(model.code.index))
         row = TaskContext.get().partitionId() << 33
         for held, words, sizes in groups(batches, 1):
-            ids, unknown = look_up(model.code.index, words)
+            ids, unknown = model.code.find(words)
             n, text = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
             nats = model.nats(model.code.symbols(ids, sizes, unknown), n, state)
-            size = lengths[ids]
-            size[ids < 0] = np.fromiter(map(len, unknown), np.int64, len(unknown))
-            n_bytes = np.bincount(text, size + 1, n).astype(np.int64) - 1
+            n_bytes = np.bincount(text, pc.binary_length(words).to_numpy() + 1, n).astype(np.int64) - 1
             inside = ids >= 0 if trained else np.zeros(len(ids), bool)
-            rest = [words[i] for i in np.flatnonzero(~inside).tolist()]
+            rest = words.filter(pa.array(~inside)).cast(pa.binary())
             known = np.bincount(text[inside], minlength=n)
             base = np.bincount(text[inside], logs[ids[inside]], n)
             offsets = np.concatenate([[0], np.cumsum(sizes - known)]).astype(np.int32)
             arrays = [pa.array(np.arange(row, row + n)), pa.concat_arrays([b.column(0) for b in held]), pa.concat_arrays([b.column(2) for b in held]), pa.array(sizes),
-                      pa.array(known), pa.array(base), pa.array(nats), pa.array(n_bytes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(rest, pa.binary()))]
+                      pa.array(known), pa.array(base), pa.array(nats), pa.array(n_bytes), pa.ListArray.from_arrays(pa.array(offsets), rest)]
             row += n
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 

@@ -282,6 +282,31 @@ def test_texts_side_by_side_score_as_alone():
     assert len(nats(model, [])) == 0
 
 
+def test_distinct_words_are_found_once_by_their_bytes(monkeypatch):
+    rng = random.Random(6)
+    pool = [b"a", b"b", b"ab", b"\x00", b"a\x00", b"w" * 300, b"w" * 556, "\u00e9\u4e2d".encode(), *(b"k%d" % i for i in range(40))]
+    vocab = [*pool[::2], b"\n"]
+    texts = [b"", None, b" \n\t\x0b\x0c\r", b"A \x1f\x85", *(b"  ".join(rng.choice(pool) for _ in range(n)) for n in (1, 3, 400))]
+    words, sizes = lm_mixing.split_words(texts)
+    plain = [[*(t or b"").translate(BLANKS).split(), b"\n"] for t in texts]
+    assert words.to_pylist() == [w for t in plain for w in t] and sizes.tolist() == [len(t) for t in plain]
+    listed = words.to_pylist()
+    # keys of all words apart, keys that words outside the vocabulary share with others, and one key for all
+    own = lm_mixing.word_keys
+    for keys, python in ((own, False), (lambda o, f: own(o, f) % np.uint64(1 << 12), None), (lambda o, f: np.zeros(len(o) - 1, np.uint64), True)):
+        monkeypatch.setattr(lm_mixing, "word_keys", keys)
+        code = lm_mixing.Code(vocab, [3] * len(vocab), 5, np.zeros(lm_mixing.PAIRS, int))
+        want = lm_mixing.look_up(code.index, listed)
+        looked = []
+        with monkeypatch.context() as m:
+            plain_look_up = lm_mixing.look_up
+            m.setattr(lm_mixing, "look_up", lambda index, w: looked.extend(w) or plain_look_up(index, w))
+            ids, unknown = code.find(words)
+        assert ids.tolist() == want[0].tolist() and unknown == want[1]
+        assert len(looked) == len(set(looked)) and (python is None or bool(looked) == python)
+    assert [len(x) for x in code.find(words[:0])] == [0, 0]
+
+
 def test_scores_match_brute_force_base(spark):
     data = fixtures.rows()
     got = lm_mixing.score_texts(fixtures.docs(spark), bits=12, vocab=64).collect()
