@@ -377,6 +377,7 @@ class Model:
         both_sides = taken.view(np.int64)
         used = np.zeros(texts * GATES, np.float32) if learned is not None else None
         loss = np.bincount(own, sym.tail, texts).astype(np.float64)
+        opened = code.free.reshape(-1, 256).take(NODE[:, 4:], axis=1).any(axis=2).reshape(-1)
         shares, tables = 4 * code.share, [t.view("V32") for t in self.tables]
         at = 0
         for end in ends:
@@ -384,26 +385,29 @@ class Model:
             at = end
             if not n:
                 continue
-            # arrays over (decision of the half, halves): first all upper halves, then all lower ones
-            cls, kind = sym.cls[rows].astype(np.int64), np.tile(sym.kind[rows].astype(np.int64), 2)
-            half, text = np.concatenate([cls, cls + 256]), np.tile(own[rows], 2)
+            # arrays over (decision of the half, halves): all upper halves, then the lower ones in which anything is left to decide
+            cls, tree = sym.cls[rows].astype(np.int64), sym.tree[rows].astype(np.int64) * 256
+            lower = np.flatnonzero(opened.take(tree + cls))
+            which = np.concatenate([np.arange(n), lower])
+            half, text, kind, tree = cls.take(which), own[rows].take(which), sym.kind[rows].take(which).astype(np.int64), tree.take(which)
+            half[n:] += 256
             live = int(text[:n].max()) + 1
             node = STOP.take(half, axis=1)
-            node += np.tile(sym.tree[rows].astype(np.int64), 2) * 256
+            node += tree
             cell = CELL.take(node)
             cell += text * TAKEN
             share = shares.take(node)
-            sides = both_sides.take(cell).view(np.float32).reshape(4, 2 * n, 2)
+            sides = both_sides.take(cell).view(np.float32).reshape(4, len(half), 2)
             under = sides[:, :, 0] - share
             share += sides[:, :, 1]
             share /= under
             x = [code.base.take(node), np.log(share, out=share)]
             # a block is read whole, then its slots; entries keep their scale, which the weights undo (a power of two)
             slot = PLACE.take(half, axis=1)
-            slot += np.arange(0, 32 * n, 16)
+            slot += np.arange(0, 16 * len(half), 16)
             gate = text * GATES + kind * 16
             for k, lines in enumerate(sym.lines(rows, bits)):
-                found = tables[k].take(lines.reshape(-1)).view(np.int16)
+                found = tables[k].take(np.concatenate([lines[0], lines[1].take(lower)])).view(np.int16)
                 if k < 2:
                     gate += found[::16].astype(np.int64) * (4, 1)[k]
                 x.append(found.take(slot).astype(np.float32))
@@ -427,18 +431,24 @@ class Model:
             err *= free
             bit *= free
             loss[:live] -= np.bincount(text, cost.sum(axis=0), live)
-            # learn
+            # learn, where the symbols came by
             gates, width = live * GATES, live * KINDS * BUCKETS
             uses = np.bincount(gate, minlength=gates)
-            rate = (RATE / np.sqrt(1 + uses)).astype(np.float32)
+            met = np.flatnonzero(uses)
+            slot = np.empty(gates, np.int64)
+            slot[met] = np.arange(len(met))
+            slot = slot.take(gate)
+            rate = (RATE / np.sqrt(1 + uses.take(met))).astype(np.float32)
             scaled = rate * (1 / SCALE)
             for k, (w, values) in enumerate(zip(weights, x, strict=False)):
                 values *= err
-                w[:gates] += (rate if k < 2 else scaled) * np.bincount(gate, values.sum(axis=0), gates)
-            weights[-1][:gates] += rate * np.bincount(gate, np.float32(0.3) * err.sum(axis=0), gates)
+                w[met] += (rate if k < 2 else scaled) * np.bincount(slot, values.sum(axis=0), len(met))
+            weights[-1][met] += rate * np.bincount(slot, np.float32(0.3) * err.sum(axis=0), len(met))
             bucket = bucket.reshape(-1)
             hits, ones = np.bincount(bucket, free.reshape(-1), width), np.bincount(bucket, bit.reshape(-1), width)
-            refined[:width] += ((ones - hits * refined[:width]) / (hits + 60)).astype(np.float32)
+            met = np.flatnonzero(hits)
+            hits, before = hits.take(met), refined.take(met)
+            refined[met] = before + ((ones.take(met) - hits * before) / (hits + 60)).astype(np.float32)
             cell *= 2
             cell += TURN.take(half, axis=1)
             np.add.at(taken, cell.reshape(-1), np.float32(1))
